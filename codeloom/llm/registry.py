@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import near_dedup, quality_rules
+from codeloom.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
 from codeloom.llm.io import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark passages: doc_id, item_id, n_windows, start, end, edits."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of each document: doc_id, shard_id, depth, n_bytes."""
+    return sharding.shard_map(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed order: doc_id, source, n_tokens, epoch, block, position, weight."""
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: doc_id, n_shingles, component_id, kept over whole documents."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -23,7 +38,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_minhash_near_dedup, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination, op4_extendible_sharding, op7_source_mixing, op8_minhash_near_dedup, op9_quality_rules,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_extendible_sharding": sharding.ORACLE_SQL}
