@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
+from codeloom.llm import (
+    decontaminate,
+    language_id,
+    mixing,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+)
 from codeloom.llm.io import table
 
 
@@ -15,6 +24,16 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: doc_id, held_out, lang_pred, score over whole documents."""
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: doc_id, n_assign, n_access, n_hex, base_sha256, spans, then n_markov."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of each document: doc_id, shard_id, depth, n_bytes."""
     return sharding.shard_map(table(spark, sf_dir, "documents"))
@@ -37,10 +56,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: doc_id, held_out, score, predicted over whole documents."""
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_benchmark_decontamination, op4_extendible_sharding, op7_source_mixing, op8_minhash_near_dedup, op9_quality_rules,
+        op1_benchmark_decontamination, op2_language_id, op3_secret_scan, op4_extendible_sharding, op7_source_mixing,
+        op8_minhash_near_dedup, op9_quality_rules, op10_quality_classifier,
     )
 }
 
