@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import (
     decontaminate,
+    html_text,
     language_id,
     mixing,
     near_dedup,
+    passage_dedup,
     quality_classifier,
     quality_rules,
     secrets,
@@ -39,6 +41,16 @@ def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_map(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: page_id, url, text, n_chars over whole pages."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated runs to remove: doc_id, start, end, n_words, first_doc_id."""
+    return passage_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed order: doc_id, source, n_tokens, epoch, block, position, weight."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
@@ -64,8 +76,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_benchmark_decontamination, op2_language_id, op3_secret_scan, op4_extendible_sharding, op7_source_mixing,
-        op8_minhash_near_dedup, op9_quality_rules, op10_quality_classifier,
+        op1_benchmark_decontamination, op2_language_id, op3_secret_scan, op4_extendible_sharding, op5_html_extraction,
+        op6_passage_dedup, op7_source_mixing, op8_minhash_near_dedup, op9_quality_rules, op10_quality_classifier,
     )
 }
 
