@@ -125,4 +125,6 @@ def clean_lines(text: Column) -> Column:
 def keep_quality(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` whose text passes, with all their columns; no row is judged by doc_id, so null and repeated ids are fine."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    return quality_verdicts(keyed, **options).where("kept").select("doc_id.*")
+    # a generator, as a filter would be pushed below the features and work them out again for each mention
+    kept = F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("row")
+    return quality_verdicts(keyed, **options).select(kept).select("row.*")
