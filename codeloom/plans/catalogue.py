@@ -193,9 +193,9 @@ def flow_stats(spark, d):
 
 
 @_query("""+ f AS (SELECT source AS entry, target AS node, min(ord) AS position FROM calls WHERE ord < 1000000 GROUP BY 1, 2),
-p AS (SELECT entry, node AS symbol, position AS pivot FROM f),
-a AS (SELECT symbol, f.entry, node, position, CASE WHEN position < pivot THEN 'up' ELSE 'down' END AS direction, abs(position - pivot) AS gap
-  FROM f JOIN p ON f.entry = p.entry AND position <> pivot),
+p AS (SELECT entry, node AS symbol, position AS mid FROM f),
+a AS (SELECT symbol, f.entry, node, position, CASE WHEN position < mid THEN 'up' ELSE 'down' END AS direction, abs(position - mid) AS gap
+  FROM f JOIN p ON f.entry = p.entry AND position <> mid),
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol, entry, direction ORDER BY gap) AS rn FROM a)
 SELECT symbol, entry, direction, node, position FROM r WHERE rn <= 2""")
 def flow_slices_up_down(spark, d):
