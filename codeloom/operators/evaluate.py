@@ -75,30 +75,26 @@ def bootstrap_ci(cases: DataFrame, samples: int = 1000, low: float = 0.025, high
     return ranked.agg(F.count("*").alias("samples"), at(low).alias("lo"), at(high).alias("hi"))
 
 
-def _matching(pairs: pd.DataFrame) -> int:
-    """Kuhn's augmenting paths over (pred, gold) pairs of one run."""
-    to: dict = {}
-    for p, g in zip(pairs["pred"], pairs["gold"], strict=True):
-        to.setdefault(p, []).append(g)
-    owner: dict = {}
-
-    def place(p, seen) -> bool:
-        for g in to[p]:
-            if g not in seen:
-                seen.add(g)
-                if g not in owner or place(owner[g], seen):
-                    owner[g] = p
-                    return True
-        return False
-
-    return sum(place(p, set()) for p in sorted(to))
-
-
 def match_sizes(pairs: DataFrame) -> DataFrame:
     """run, matched: the size of a maximum matching of predictions and golds; one run's findings are few and bounded by its review."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "matched": [_matching(pdf)]})
+        to: dict = {}
+        for p, g in zip(pdf["pred"], pdf["gold"], strict=True):
+            to.setdefault(p, []).append(g)
+        owner: dict = {}
+
+        def place(p, seen) -> bool:
+            # an augmenting path from a free prediction
+            for g in to[p]:
+                if g not in seen:
+                    seen.add(g)
+                    if g not in owner or place(owner[g], seen):
+                        owner[g] = p
+                        return True
+            return False
+
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "matched": [sum(place(p, set()) for p in sorted(to))]})
 
     return pairs.select("run", "pred", "gold").distinct().groupBy("run").applyInPandas(one, "run string, matched long")
 
