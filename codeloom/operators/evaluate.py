@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -78,25 +80,30 @@ def bootstrap_ci(cases: DataFrame, samples: int = 1000, low: float = 0.025, high
 def match_sizes(pairs: DataFrame) -> DataFrame:
     """run, matched: the size of a maximum matching of predictions and golds; one run's findings are few and bounded by its review."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        to: dict = {}
-        for p, g in zip(pdf["pred"], pdf["gold"], strict=True):
-            to.setdefault(p, []).append(g)
-        owner: dict = {}
-
-        def place(p, seen) -> bool:
-            # an augmenting path from a free prediction
-            for g in to[p]:
-                if g not in seen:
-                    seen.add(g)
-                    if g not in owner or place(owner[g], seen):
-                        owner[g] = p
-                        return True
-            return False
-
-        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "matched": [sum(place(p, set()) for p in sorted(to))]})
-
-    return pairs.select("run", "pred", "gold").distinct().groupBy("run").applyInPandas(one, "run string, matched long")
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def matched(found) -> int:
+            to: dict = {}
+            for x in found:
+                to.setdefault(x["pred"], []).append(x["gold"])
+            owner: dict = {}
+
+            def place(p, seen) -> bool:
+                # an augmenting path from a free prediction
+                for g in to[p]:
+                    if g not in seen:
+                        seen.add(g)
+                        if g not in owner or place(owner[g], seen):
+                            owner[g] = p
+                            return True
+                return False
+
+            return sum(place(p, set()) for p in sorted(to))
+
+        for pdf in batches:
+            yield pd.DataFrame({"run": pdf["run"], "matched": [matched(x) for x in pdf["found"]]})
+
+    found = pairs.groupBy("run").agg(F.sort_array(F.collect_set(F.struct("pred", "gold"))).alias("found"))
+    return found.mapInPandas(sizes, "run string, matched long")
 
 
 def scores(matched: DataFrame) -> DataFrame:
