@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: texts may be long, and two Python workers share an executor.
 BATCH_ROWS = 1000
@@ -44,6 +45,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing lazy still reads."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getName().startswith("codeloom-"):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Ids broadcast at most, 8 bytes each; larger sets of ids are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """Materialised ids, marked for broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 _shipped: set[str] = set()
 
 

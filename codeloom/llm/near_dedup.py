@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import textnp
 from codeloom.llm.components import connected_components
-from codeloom.llm.io import prepare, materialise
+from codeloom.llm.io import discard, materialise, prepare, small
 
 WIDTH, BANDS, ROWS = 5, 48, 5
 UNIVERSE = 1 << 18
-#: Ids broadcast at most (8 bytes each) to pick the documents whose sets are compared; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 _BLOCK = 8192
 
 
@@ -108,10 +106,7 @@ def _shingle_sets(width: int):
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(cls, shingles) of the classes in `wanted` (doc_id, cls); materialised."""
-    wanted = materialise(wanted)
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return materialise(docs.join(wanted, "doc_id").select("cls", "text").mapInArrow(
+    return materialise(docs.join(small(materialise(wanted)), "doc_id").select("cls", "text").mapInArrow(
         _shingle_sets(width), "cls long, shingles array<long>"
     ))
 
@@ -178,19 +173,23 @@ def near_duplicates(
     a row. An empty table gives an empty result. Only doc_id and text are read; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    feats = materialise(docs.mapInArrow(
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    wide = materialise(docs.mapInArrow(
         _features(width, bands, rows_per_band, seed), "doc_id long, n long, cls long, bands array<long>"
     ))
+    feats = materialise(wide.select("doc_id", "n", "cls"))
     classes = materialise(
         feats.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     )
-    banded = feats.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"]).select(
-        "cls", "n", F.explode("bands").alias("key")
-    )
-    banded = materialise(banded)
+    of_class = classes.select("cls", F.col("rep").alias("doc_id"))
+    first = wide.join(of_class, ["cls", "doc_id"])
+    if feats.join(of_class, ["cls", "doc_id"]).count() > classes.count():
+        first = first.dropDuplicates(["cls"])  # rows that repeat a doc_id
+    banded = materialise(first.select("cls", "n", F.explode("bands").alias("key")))
+    discard(spark, wide)
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = materialise(banded.join(shared, "key").distinct())
+    discard(spark, banded)
     reach = members.groupBy("cls").agg(F.sum(F.col("c") - 1).alias("reach"))
     members = materialise(members.join(reach, "cls"))
     centres = members.groupBy("key").agg(F.max(F.struct("reach", "cls", "n")).alias("centre"))
@@ -199,7 +198,9 @@ def near_duplicates(
     ).select(F.col("cls").alias("a"), F.col("centre.cls").alias("b")).distinct())
     of = lambda ids: classes.join(ids, "cls").select(F.col("rep").alias("doc_id"), "cls")
     ends = stars.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    links = _confirmed(stars, _sets_of(of(ends), docs, width), percent)
+    sets = _sets_of(of(ends), docs, width)
+    links = _confirmed(stars, sets, percent)
+    discard(spark, sets)
     roots = connected_components(links)
     labelled = materialise(members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "key", "cls", "n", F.coalesce("root", "cls").alias("root")
@@ -208,6 +209,7 @@ def near_duplicates(
     nodes = materialise(labelled.join(open_keys, "key").select("cls", "n", "root").distinct())
     sets = _sets_of(of(nodes.select("cls")), docs, width)
     more = _confirmed(materialise(_prefix_pairs(nodes, sets, percent)), sets, percent)
+    discard(spark, sets)
     if not more.isEmpty():
         roots = connected_components(links.union(more))
     grouped = materialise(
@@ -230,7 +232,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Rows without doc_id or words stay. Of rows that repeat a doc_id that stays, one stays.
     """
     verdict = materialise(near_duplicates(docs, **options))
-    gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
+    gone = small(materialise(verdict.where(~F.col("kept")).select("doc_id").distinct()))
     repeated = verdict.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if repeated.isEmpty():
