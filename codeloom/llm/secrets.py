@@ -25,8 +25,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: Tokens of the models: at least MIN_TOKEN of these characters, with two of lower case, upper case and digits.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_TOKEN, MARGIN = 20, 1.0
-#: Bound of the training sample: documents, and generated strings of each label.
-SAMPLE_DOCS, SAMPLE_STRINGS = 500, 2000
+#: Bound of the training sample: about so many documents, characters of each from a hashed place, generated strings of each label.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_STRINGS = 500, 5000, 2000
 
 _CODE = np.full(256, len(ALPHABET), np.int64)
 _CODE[list(ALPHABET)] = np.arange(len(ALPHABET))
@@ -143,14 +143,17 @@ def _scan(model: Markov):
 
 
 def training_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> tuple[list[bytes], list[bytes]]:
-    """Random strings and ordinary identifiers, from a hashed sample of at most `n_docs` documents.
+    """Random strings and ordinary identifiers, from a hashed sample of about `n_docs` documents.
 
     Labels come from the patterns: what they match is random, all other words are ordinary, alone and joined into
     identifiers of several words. Seeded random strings of common alphabets stand for secrets that a sample lacks.
     """
-    texts = [x[0] for x in docs.where("text is not null").select(
-        F.substring("text", 1, 20_000).alias("t"), F.xxhash64("doc_id", "text", F.lit(5)).alias("h")
-    ).orderBy("h").limit(n_docs).select("t").collect()]
+    known = docs.where("text is not null and text <> ''")
+    rate = min(1.0, n_docs / max(1, known.count()))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(5)), 11) / float(1 << 53)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(1))) + 1
+    rows = known.where(u < rate).select(F.substring("text", F.coalesce(place, F.lit(1)).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), u.alias("u")).collect()
+    texts = [x.t for x in sorted(rows, key=lambda x: (x.u, x.t))]
     rng = np.random.default_rng(4)
     random, words = [], []
     for t in texts:
