@@ -96,11 +96,13 @@ def quality_features(docs: DataFrame) -> DataFrame:
     )).alias("at"))
     covered = F.transform("at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - x, F.lit(WINDOW))))
     long = lambda c: F.col(c).cast("long").alias(c)
-    return d.select(
+    out = F.struct(
         "doc_id", F.col("n").cast("long").alias("n_words"), long("word_chars"), long("n_symbols"), long("n_dup_lines"),
         F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
         long("lost_chars"),
     )
+    # a generator of one row: filters on the features stay above it, where they would else repeat the features' work
+    return d.select(F.explode(F.array(out)).alias("x")).select("x.*")
 
 
 def quality_verdicts(docs: DataFrame, *, max_loss: int = MAX_LOSS) -> DataFrame:
@@ -125,6 +127,4 @@ def clean_lines(text: Column) -> Column:
 def keep_quality(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` whose text passes, with all their columns; no row is judged by doc_id, so null and repeated ids are fine."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    # a generator, as a filter would be pushed below the features and work them out again for each mention
-    kept = F.explode(F.when(F.col("kept"), F.array("doc_id"))).alias("row")
-    return quality_verdicts(keyed, **options).select(kept).select("row.*")
+    return quality_verdicts(keyed, **options).where("kept").select("doc_id.*")
