@@ -1,9 +1,12 @@
-"""Repeated passages by line and paragraph hashing.
-
-Lines are the units; so that a passage pasted into the middle of a line is found too, a line is also cut
-after its own content: a unit runs from a line start, or from a word whose hash says so, to the next such
-place at least ten words on. Units are normalised (A-Z lower-cased, white space single), their digests are
-grouped over all documents, the earliest occurrence is kept, and all others are removed by offset.
+"""Repeated passages by hashing of units cut by their own content.
+
+A passage is repeated word for word where runs of RUN_WORDS words (grams) occur earlier. Every gram is named by the
+least hash among its pieces of UNIT_WORDS words, its anchor (winnowing: ties go to the last one), and neighbouring
+grams with one anchor are one unit. So equal grams always have equal anchors, wherever they stand, and units inside a
+repeated passage are equal throughout; only at its edges do equal grams lie in unequal units. Units are normalised
+(A-Z lower-cased, white space single), their digests are grouped over all documents, the earliest occurrence is kept,
+and all others are removed by offset. Where units that differ share an anchor, their grams are grouped one by one,
+which gives the passage's true edges.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import textnp
-from codeloom.llm.io import materialise, prepare
+from codeloom.llm.io import discard, materialise, prepare
 
-#: Least words of a unit; mean words from one cut to the next; least words of a removed run.
-UNIT_WORDS, CUT_EVERY, RUN_WORDS = 10, 6, 20
+#: Words of the pieces that anchors are chosen from; words of a gram, the least run that is removed.
+UNIT_WORDS, RUN_WORDS = 10, 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -32,68 +35,128 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def unit_spans(data: np.ndarray, offsets: np.ndarray, unit_words: int, cut_every: int):
-    """Digest, row, first and last word (within the row), start and end byte of every unit of a slice."""
-    starts, ends, first = textnp.word_spans(data, offsets)
-    n = len(starts)
-    words = textnp.word_hashes(data, starts, ends)
-    line = np.zeros(n, bool)
-    breaks = np.flatnonzero(data == 10)
-    line[np.searchsorted(starts, breaks)[np.searchsorted(starts, breaks) < n]] = True
-    line[first[:-1][first[:-1] < n]] = True
-    cut = line | (words % np.uint64(cut_every) == 0)
-    places = np.flatnonzero(cut)
-    row = np.searchsorted(first, places, "right") - 1
-    nxt = np.searchsorted(places, places + unit_words)
-    row_end = first[row + 1]
-    end = np.where(nxt < len(places), places[np.minimum(nxt, len(places) - 1)] if len(places) else 0, n)
-    end = np.minimum(end, row_end)
-    ok = end - places >= unit_words
-    places, row, end = places[ok], row[ok], end[ok]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * _powers(_BASE, n), out=total[1:])
-    digest = textnp.mix64((total[end] - total[places]) * _powers(_INVERSE, n + 1)[places] + (end - places).astype(np.uint64))
-    return digest, row, places - first[row], end - first[row], starts[places], ends[end - 1]
-
-
-def _units(unit_words: int, cut_every: int):
+class _Words:
+    """The words of a slice of documents, with digests of any run of them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.starts, self.ends, self.first = textnp.word_spans(data, offsets)
+        self.n = len(self.starts)
+        self.total = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(textnp.word_hashes(data, self.starts, self.ends) * _powers(_BASE, self.n), out=self.total[1:])
+        self.inverse = _powers(_INVERSE, self.n + 1)
+
+    def digest(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return textnp.mix64((self.total[end] - self.total[at]) * self.inverse[at] + (end - at).astype(np.uint64))
+
+
+def unit_spans(words: _Words, unit_words: int, run_words: int):
+    """Anchor's digest, unit's digest, row, first and last word (over the slice) of every unit."""
+    pieces, window = words.n - unit_words + 1, run_words - unit_words + 1
+    row_end = np.repeat(words.first[1:], np.diff(words.first))
+    grams = np.flatnonzero(np.arange(words.n) + run_words <= row_end)
+    if not len(grams):
+        return *(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(3))
+    at = np.arange(pieces)
+    hashes = words.digest(at, at + unit_words)
+    least, anchor = hashes[grams], grams.copy()
+    for k in range(1, window):
+        h = hashes[grams + k]
+        lower = h <= least
+        least = np.where(lower, h, least)
+        anchor[lower] = grams[lower] + k
+    row = np.searchsorted(words.first, grams, "right") - 1
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
+    head = np.flatnonzero(new)
+    begin, end = grams[head], grams[np.r_[head[1:], len(grams)] - 1] + run_words
+    return least[head], words.digest(begin, end), row[head], begin, end
+
+
+def _units(unit_words: int, run_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textnp.column_bytes(batch.column(1))
+            for i, j in textnp.slices(offsets):
+                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                words = _Words(part, at)
+                anchor, digest, row, begin, end = unit_spans(words, unit_words, run_words)
+                yield _placed(words, part, at, batch.column(0).slice(i, j - i), row, begin, end, anchor=anchor, digest=digest)
+    return run
+
+
+def _placed(words: _Words, part, at, ids, row, begin, end, **digests) -> pa.RecordBatch:
+    """Digests with the document, words and code points of their runs."""
+    points = textnp.code_points_before(part)
+    base, w = points[at[row]], words.first[row]
+    places = (begin - w, end - w, points[words.starts[begin]] - base, points[words.ends[end - 1]] - base)
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(x.view(np.int64)) for x in digests.values()), ids.take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in places)],
+        [*digests, "doc_id", "w0", "w1", "start", "end"],
+    )
+
+
+def _grams(run_words: int):
+    """Every gram of the listed units of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textnp.column_bytes(batch.column(1))
             for i, j in textnp.slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                digest, row, w0, w1, b0, b1 = unit_spans(part, at, unit_words, cut_every)
-                points = textnp.code_points_before(part)
-                base = points[at[row]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest.view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(row)),
-                     *(pa.array(x.astype(np.int32)) for x in (w0, w1, points[b0] - base, points[b1] - base))],
-                    ["digest", "doc_id", "w0", "w1", "start", "end"],
+                words = _Words(part, at)
+                listed = batch.column(2).slice(i, j - i)
+                row = listed.value_parent_indices().to_numpy()
+                spans = listed.flatten()
+                w0, w1 = (spans.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                n = w1 - w0 - run_words + 1
+                row, within = np.repeat(row, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = words.first[row] + np.repeat(w0, n) + within
+                ok = begin + run_words <= words.first[row + 1]
+                row, begin = row[ok], begin[ok]
+                yield _placed(
+                    words, part, at, batch.column(0).slice(i, j - i), row, begin, begin + run_words,
+                    digest=words.digest(begin, begin + run_words),
                 )
     return run
 
 
-def repeated_passages(
-    docs: DataFrame, *, unit_words: int = UNIT_WORDS, cut_every: int = CUT_EVERY, run_words: int = RUN_WORDS
-) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """The runs to remove: doc_id, start, end (code points of the original text, end exclusive), n_words, first_doc_id.
 
-    A run joins overlapping or adjacent units that occur earlier, by doc_id and then place, in this or another document;
-    it has at least `run_words` words; first_doc_id is the least document that has one of its units first. A passage
-    of over 50 words shared by two documents holds several whole units, as only its edges depend on what
-    surrounds it. Null and empty texts have no units. Rows that repeat a doc_id and text are one occurrence. A null
-    doc_id ranks first. An empty table gives an empty result. Only doc_id and text are read.
+    A word is in a run if it is in a gram of `run_words` words that occurs earlier, by doc_id and then place, in this or
+    another document, without overlap of the two; overlapping or adjacent grams are one run. first_doc_id is the least
+    document that has one of its units (at its edges, grams) first. Null and empty texts have no units. Rows that
+    repeat a doc_id and text are one occurrence. A null doc_id ranks first. An empty table gives an empty result. Only
+    doc_id and text are read.
     """
-    prepare(docs.sparkSession)
-    units = docs.select("doc_id", "text").mapInArrow(
-        _units(unit_words, cut_every), "digest long, doc_id long, w0 int, w1 int, start int, end int"
+    if not 0 < unit_words <= run_words:
+        raise ValueError("unit_words must be from 1 to run_words")
+    spark = docs.sparkSession
+    prepare(spark)
+    docs = docs.select("doc_id", "text")
+    found = "doc_id long, w0 int, w1 int, start int, end int"
+    units = docs.mapInArrow(_units(unit_words, run_words), f"anchor long, digest long, {found}")
+    place = F.struct("doc_id", "w0")
+    by_unit = units.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    again = ~F.col("first").eqNullSafe(F.col("last"))
+    # per anchor: its digests that repeat with their first places, and whether units differ
+    by_unit = materialise(by_unit.select("anchor", "digest", "first", again.alias("again")))
+    forked = by_unit.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("forked"))
+    wanted = materialise(by_unit.join(forked, "anchor", "left").where("again OR forked").select("digest", "first", "forked"))
+    discard(spark, by_unit)
+    apart = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("w0") >= F.col("first.w0") + run_words)
+    of = F.col("first.doc_id").alias("of")
+    placed = materialise(units.drop("anchor").join(wanted, "digest").select(
+        "doc_id", "w0", "w1", "start", "end", of, apart.alias("apart"), "forked"
+    ).where("apart OR forked").distinct())
+    discard(spark, wanted)
+    listed = placed.where("NOT apart").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("w0", "w1")).alias("spans"))
+    grams = materialise(
+        docs.join(listed, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "spans")
+        .mapInArrow(_grams(run_words), f"digest long, {found}")
     )
-    place = F.struct("doc_id", "start")
-    again = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(
-        ~F.col("first").eqNullSafe(F.col("last"))
-    ).select("digest", "first")
-    later = units.join(materialise(again), "digest").where(~F.struct("doc_id", "start").eqNullSafe(F.col("first"))).select(
-        "doc_id", F.struct("w0", "w1", "start", "end", F.col("first.doc_id").alias("of")).alias("u")
+    common = grams.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(again).select("digest", "first")
+    edges = grams.join(common, "digest").where(apart).select("doc_id", "w0", "w1", "start", "end", of)
+    later = placed.where("apart").select("doc_id", "w0", "w1", "start", "end", "of").union(edges).select(
+        "doc_id", F.struct("w0", "w1", "start", "end", "of").alias("u")
     )
     listed = later.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("u")).alias("units"))
     empty = F.array().cast("array<struct<w0:int,w1:int,start:int,end:int,of:bigint>>")
@@ -106,7 +169,7 @@ def repeated_passages(
         ))),
     ).otherwise(F.concat(runs, F.array(u))))
     run = F.col("r")
-    return listed.select("doc_id", F.explode(joined).alias("r")).where(run.w1 - run.w0 >= run_words).select(
+    return listed.select("doc_id", F.explode(joined).alias("r")).select(
         "doc_id", run.start.cast("long").alias("start"), run.end.cast("long").alias("end"),
         (run.w1 - run.w0).cast("long").alias("n_words"), run.of.alias("first_doc_id"),
     )

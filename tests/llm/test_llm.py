@@ -479,3 +479,29 @@ def test_repeated_passages(spark):
         else:
             assert out[i][0] == t
     assert passage_dedup.repeated_passages(d.where("false")).count() == 0
+
+
+def test_every_shared_passage_is_found_to_its_edges(spark):
+    """Against a dictionary of all runs of 20 words: 51-word passages in mid-line, low vocabulary included, and repeats within a text."""
+    rng = random.Random(77)
+    rows = []
+    for k in range(300):
+        few = [f"v{k}x{i}" for i in range(rng.choice([1, 2, 3, 5]))]
+        shared = prose(rng, 51) if k % 2 else " ".join(rng.choice(few) for _ in range(51))
+        rows += [(10 * k + j, f"{prose(rng, rng.randrange(1, 40))} {shared} {prose(rng, rng.randrange(1, 40))}") for j in range(2)]
+    line = prose(rng, 25)
+    rows += [(4000, f"{line}\n{line}\n{line}"), (4001, "la " * 70), (4002, None), (4003, prose(rng, 19))]
+    first, want = {}, set()
+    for i, t in rows:
+        w = WORD.findall((t or "").lower())
+        for a in range(len(w) - 19):
+            d, b = first.setdefault(tuple(w[a:a + 20]), (i, a))
+            if d != i or a - b >= 20:
+                want |= {(i, x) for x in range(a, a + 20)}
+    got, text = set(), dict(rows)
+    for x in passage_dedup.repeated_passages(docs_of(spark, rows).repartition(4)).collect():
+        at = len(WORD.findall(text[x.doc_id][:x.start]))
+        assert x.n_words == len(WORD.findall(text[x.doc_id][x.start:x.end])) >= 20
+        got |= {(x.doc_id, at + k) for k in range(x.n_words)}
+    assert got == want
+    assert all(sum((10 * k + 1, x) in got for x in range(200)) >= 51 for k in range(300))
