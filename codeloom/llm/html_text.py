@@ -3,7 +3,8 @@
 A page is cut into blocks. Structure settles most of them: navigation, adverts, forms and the like go, an article
 stays. Where structure is silent, the host decides: the token streams of its pages are concatenated and sorted
 by suffix, runs that recur in distinct pages are found by comparing neighbours, blocks that such runs cover
-are boilerplate, and unique runs stay. A run on most pages of a host goes even from an article.
+are boilerplate, and unique runs stay. A run on most pages of a host goes even from an article. Pages that are copies
+of one another in most of their text count as one, so a copied article isn't taken for boilerplate.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from codeloom.llm.io import materialise, prepare
 
 #: Least tokens of a repeated run, and the share of a block's tokens that runs must cover.
 RUN, COVERED = 8, 0.9
+#: Pages are copies of each other if runs they share cover this part of the tokens of both and leave no run of RUN tokens.
+COPY_SHARE = 0.8
 #: Inside an article a run goes only if this share of the pages compared have it, and at least so many.
 COMMON_SHARE, COMMON_PAGES = 0.5, 5
 #: Markup of a host's pages that are compared together; larger hosts are dealt into groups of about this size.
@@ -133,16 +136,15 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def repeated_pages(tokens: np.ndarray, page: np.ndarray, length: int = RUN) -> np.ndarray:
-    """For each position, in how many distinct pages the run of `length` tokens that starts there occurs.
+def sorted_runs(tokens: np.ndarray, page: np.ndarray, length: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all runs of `length` tokens inside a page, sorted by run and then page, and a number for each one's run.
 
     `tokens` are the pages' streams one after another. A suffix array sorted to that depth by prefix doubling
-    puts equal runs side by side; 0 where fewer tokens are left in the page.
+    puts equal runs side by side.
     """
     n = len(tokens)
-    out = np.zeros(n, np.int64)
     if n < length:
-        return out
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     have = 1
     while have < length:
@@ -155,16 +157,67 @@ def repeated_pages(tokens: np.ndarray, page: np.ndarray, length: int = RUN) -> n
     whole[: n - length + 1] = page[: n - length + 1] == page[length - 1 :]
     at = np.flatnonzero(whole)
     suffixes = at[np.lexsort((page[at], rank[at]))]
-    if not len(suffixes):
-        return out
-    new_run = np.r_[True, rank[suffixes[1:]] != rank[suffixes[:-1]]]
-    new_page = new_run | np.r_[True, page[suffixes[1:]] != page[suffixes[:-1]]]
-    first = np.flatnonzero(new_run)
-    pages = np.add.reduceat(new_page.astype(np.int64), first)
-    out[suffixes] = np.repeat(pages, np.diff(np.r_[first, len(suffixes)]))
+    new = np.r_[True, rank[suffixes[1:]] != rank[suffixes[:-1]]][: len(suffixes)]
+    return suffixes, np.cumsum(new) - 1
+
+
+def _count(n: int, suffixes: np.ndarray, run: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each position, in how many distinct pages (or classes of pages) the run that starts there occurs; 0 where none starts."""
+    out = np.zeros(n, np.int64)
+    if len(suffixes):
+        order = np.lexsort((page[suffixes], run))
+        suffixes, run = suffixes[order], run[order]
+        new_run = np.r_[True, run[1:] != run[:-1]]
+        new_page = new_run | np.r_[True, page[suffixes[1:]] != page[suffixes[:-1]]]
+        out[suffixes] = np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_run))[run]
     return out
 
 
+def repeated_pages(tokens: np.ndarray, page: np.ndarray, length: int = RUN) -> np.ndarray:
+    """For each position, in how many distinct pages the run of `length` tokens that starts there occurs; 0 where fewer tokens are left in the page."""
+    return _count(len(tokens), *sorted_runs(tokens, page, length), page)
+
+
+def _copied(covered: np.ndarray, length: int) -> bool:
+    """Whether the covered tokens of a page are all of it but for short gaps."""
+    gaps = np.diff(np.r_[-1, np.flatnonzero(covered), len(covered)]) - 1
+    return covered.sum() >= COPY_SHARE * len(covered) and gaps.max() < length
+
+
+def copy_classes(suffixes: np.ndarray, run: np.ndarray, page: np.ndarray, n_pages: int, length: int = RUN) -> np.ndarray:
+    """For each page the first page it is a copy of, or the page itself: neither of them has a run of text of its own."""
+    leader = np.arange(n_pages)
+    size = np.bincount(page, minlength=n_pages)
+    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
+    bounds = np.r_[first, len(run)]
+    run_at = np.full(len(page), -1, np.int64)
+    run_at[suffixes] = run
+    starts = np.searchsorted(page, np.arange(n_pages + 1))
+    inside = np.r_[0, np.cumsum(_covered(_count(len(page), suffixes, run, page), 2, length))]
+    share = (inside[starts[1:]] - inside[starts[:-1]]) / np.maximum(size, 1)
+    maybe = (size >= length) & (share >= COPY_SHARE)
+    free = maybe.copy()
+    for p in np.flatnonzero(maybe):
+        if not free[p]:
+            continue
+        free[p] = False
+        own = run_at[starts[p] : starts[p + 1]]
+        own = np.unique(own[own >= 0])
+        n = bounds[own + 1] - bounds[own]
+        at = suffixes[np.repeat(bounds[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        marks = np.zeros(len(page), bool)
+        marks[at] = True
+        others = np.unique(page[at])
+        for q in others[free[others]]:
+            theirs = marks[starts[q] : starts[q + 1]]
+            if not _copied(_covered(2 * theirs, 2, length), length):
+                continue
+            shared = np.isin(run_at[starts[p] : starts[p + 1]], run_at[starts[q] : starts[q + 1]][theirs])
+            if _copied(_covered(2 * shared, 2, length), length):
+                leader[q], free[q] = p, False
+    return leader
+
+
 def _covered(counts: np.ndarray, least: int, length: int = RUN) -> np.ndarray:
     """Positions inside runs that at least `least` pages have."""
     marks = np.zeros(len(counts) + 1, np.int64)
@@ -185,8 +238,10 @@ def main_texts(pages: list[list[tuple[str, int]]]) -> list[str]:
     kept_blocks = [sum(s != DROPPED for _, s in p) for p in pages]
     page_of_block = np.repeat(np.arange(len(pages)), kept_blocks)
     page = np.repeat(page_of_block, np.diff(first))
-    counts = repeated_pages(tokens, page)
-    common = max(COMMON_PAGES, int(np.ceil(COMMON_SHARE * len(pages))))
+    suffixes, run = sorted_runs(tokens, page)
+    leader = copy_classes(suffixes, run, page, len(pages))
+    counts = _count(len(tokens), suffixes, run, leader[page])
+    common = max(COMMON_PAGES, int(np.ceil(COMMON_SHARE * len(np.unique(leader)))))
     share = []
     for least in (2, common):
         inside = np.r_[0, np.cumsum(_covered(counts, least))]

@@ -452,6 +452,27 @@ def test_html_extraction(spark):
     assert html_text.extract_text(d.where("false")).count() == 0
 
 
+def test_copies_of_an_article_keep_it(spark):
+    rng = random.Random(31)
+    story, legal = prose(rng, 120), prose(rng, 20)
+    silent = lambda t, note="": f"<div><p>{t}</p><p>{note}</p><p>{legal}</p></div>"
+    article = lambda t: f"<article><p>{t}</p></article>"
+    rows = [(i, f"http://two.example/{i}", f"<div><p>{story}</p></div>") for i in range(2)]
+    rows += [(10 + i, f"http://near.example/{i}", silent(story, f"seen {i} times")) for i in range(5)]
+    rows += [(20 + i, f"http://near.example/o{i}", silent(prose(rng, 90))) for i in range(3)]
+    rows += [(30 + i, f"http://five.example/{i}", article(story)) for i in range(5)]
+    rows += [(40 + i, f"http://five.example/o{i}", article(prose(rng, 90))) for i in range(5)]
+    terms, short = prose(rng, 150), [prose(rng, 12) for _ in range(3)]
+    rows += [(50 + i, f"http://short.example/{i}", f"<div><p>{t}</p><p>{terms}</p></div>") for i, t in enumerate(short)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_text.extract_text(d).collect()}
+    assert [got[i] for i in range(2)] == [story] * 2
+    assert [got[10 + i] for i in range(5)] == [f"{story}\nseen {i} times" for i in range(5)]
+    assert all(got[20 + i] and legal not in got[20 + i] for i in range(3))
+    assert [got[30 + i] for i in range(5)] == [story] * 5 and all(got[40 + i] for i in range(5))
+    assert [got[50 + i] for i in range(3)] == short
+
+
 # 6: passages
 
 
