@@ -5,7 +5,7 @@ least hash among its pieces of UNIT_WORDS words, its anchor (winnowing: ties go
 grams with one anchor are one unit. So equal grams always have equal anchors, wherever they stand, and units inside a
 repeated passage are equal throughout; only at its edges do equal grams lie in unequal units. Units are normalised
 (A-Z lower-cased, white space single), their digests are grouped over all documents, the earliest occurrence is kept,
-and all others are removed by offset. Where units that differ share an anchor, their grams are grouped one by one,
+and all others are removed by offset. Whole lines and paragraphs of LINE_WORDS words or more are units too, by themselves. Where units that differ share an anchor, their grams are grouped one by one,
 which gives the passage's true edges.
 """
 
@@ -23,6 +23,8 @@ from codeloom.llm.io import discard, materialise, prepare
 
 #: Words of the pieces that anchors are chosen from; words of a gram, the least run that is removed.
 UNIT_WORDS, RUN_WORDS = 10, 20
+#: Least words of a line or paragraph that is removed whole where it occurs earlier as a line or paragraph.
+LINE_WORDS = 5
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -39,6 +41,7 @@ class _Words:
     """The words of a slice of documents, with digests of any run of them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data = data
         self.starts, self.ends, self.first = textnp.word_spans(data, offsets)
         self.n = len(self.starts)
         self.total = np.zeros(self.n + 1, np.uint64)
@@ -71,14 +74,34 @@ def unit_spans(words: _Words, unit_words: int, run_words: int):
     return least[head], words.digest(begin, end), row[head], begin, end
 
 
-def _units(unit_words: int, run_words: int):
+def line_spans(words: _Words, line_words: int):
+    """Digest, row, first and last word (over the slice) of every whole line, and of every paragraph of several lines."""
+    row_start = np.zeros(words.n + 1, bool)
+    row_start[words.first] = True
+    breaks = np.r_[0, np.cumsum(words.data == 10)]
+    gap = np.r_[0, breaks[words.starts[1:]] - breaks[words.ends[:-1]]] if words.n else np.zeros(0, np.int64)
+    found = []
+    for least in (1, 2):
+        begin = np.flatnonzero(row_start[:-1] | (gap >= least))
+        end = np.r_[begin[1:], words.n][: len(begin)]
+        found.append((begin, end))
+    (begin, end), (p0, p1) = found
+    lines = np.searchsorted(begin, p1) - np.searchsorted(begin, p0)
+    begin, end = np.r_[begin, p0[lines > 1]], np.r_[end, p1[lines > 1]]
+    ok = end - begin >= line_words
+    begin, end = begin[ok], end[ok]
+    return textnp.mix64(~words.digest(begin, end)), np.searchsorted(words.first, begin, "right") - 1, begin, end
+
+
+def _units(unit_words: int, run_words: int, line_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textnp.column_bytes(batch.column(1))
             for i, j in textnp.slices(offsets):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words = _Words(part, at)
-                anchor, digest, row, begin, end = unit_spans(words, unit_words, run_words)
+                found, lines = unit_spans(words, unit_words, run_words), line_spans(words, line_words)
+                anchor, digest, row, begin, end = (np.r_[a, b] for a, b in zip(found, (lines[0], *lines), strict=True))
                 yield _placed(words, part, at, batch.column(0).slice(i, j - i), row, begin, end, anchor=anchor, digest=digest)
     return run
 
@@ -118,11 +141,12 @@ def _grams(run_words: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, *, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """The runs to remove: doc_id, start, end (code points of the original text, end exclusive), n_words, first_doc_id.
 
     A word is in a run if it is in a gram of `run_words` words that occurs earlier, by doc_id and then place, in this or
-    another document, without overlap of the two; overlapping or adjacent grams are one run. first_doc_id is the least
+    another document, without overlap of the two, or in a line or paragraph of `line_words` words or more that occurs
+    earlier as a line or paragraph, whatever stands around it; overlapping or adjacent grams are one run. first_doc_id is the least
     document that has one of its units (at its edges, grams) first. Null and empty texts have no units. Rows that
     repeat a doc_id and text are one occurrence. A null doc_id ranks first. An empty table gives an empty result. Only
     doc_id and text are read.
@@ -133,7 +157,7 @@ def repeated_passages(docs: DataFrame, *, unit_words: int = UNIT_WORDS, run_word
     prepare(spark)
     docs = docs.select("doc_id", "text")
     found = "doc_id long, w0 int, w1 int, start int, end int"
-    units = docs.mapInArrow(_units(unit_words, run_words), f"anchor long, digest long, {found}")
+    units = docs.mapInArrow(_units(unit_words, run_words, line_words), f"anchor long, digest long, {found}")
     place = F.struct("doc_id", "w0")
     by_unit = units.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     again = ~F.col("first").eqNullSafe(F.col("last"))
@@ -142,13 +166,15 @@ def repeated_passages(docs: DataFrame, *, unit_words: int = UNIT_WORDS, run_word
     forked = by_unit.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("forked"))
     wanted = materialise(by_unit.join(forked, "anchor", "left").where("again OR forked").select("digest", "first", "forked"))
     discard(spark, by_unit)
-    apart = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("w0") >= F.col("first.w0") + run_words)
+    other = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    # units of equal digest are shorter than a gram only if they are whole lines or paragraphs
+    apart = other | (F.col("w0") >= F.col("first.w0") + F.least(F.lit(run_words), F.col("w1") - F.col("w0")))
     of = F.col("first.doc_id").alias("of")
     placed = materialise(units.drop("anchor").join(wanted, "digest").select(
         "doc_id", "w0", "w1", "start", "end", of, apart.alias("apart"), "forked"
     ).where("apart OR forked").distinct())
     discard(spark, wanted)
-    listed = placed.where("NOT apart").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("w0", "w1")).alias("spans"))
+    listed = placed.where(~F.col("apart") & (F.col("w1") - F.col("w0") >= run_words)).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("w0", "w1")).alias("spans"))
     grams = materialise(
         docs.join(listed, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "spans")
         .mapInArrow(_grams(run_words), f"digest long, {found}")

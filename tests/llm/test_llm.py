@@ -526,3 +526,16 @@ def test_every_shared_passage_is_found_to_its_edges(spark):
         got |= {(x.doc_id, at + k) for k in range(x.n_words)}
     assert got == want
     assert all(sum((10 * k + 1, x) in got for x in range(200)) >= 51 for k in range(300))
+
+
+def test_whole_lines_and_paragraphs_are_removed(spark):
+    rng = random.Random(5)
+    line, brief = prose(rng, 9), prose(rng, 4)
+    block = "\n".join(prose(rng, 3) for _ in range(4))
+    rows = [(k, f"{prose(rng, 12)}\n{line}\n{prose(rng, 8)}\n\n{brief}\n{prose(rng, 3)}\n\n{block}") for k in range(3)]
+    rows += [(7, f"{prose(rng, 6)} {line} {prose(rng, 6)}"), (8, f"{line.upper()} \n{line}")]
+    out = {x.doc_id: x.text for x in passage_dedup.remove_repeats(docs_of(spark, rows).repartition(3)).collect()}
+    assert out[0] == rows[0][1] and out[7] == rows[3][1]
+    for k in (1, 2):
+        assert out[k] == rows[k][1].replace(line, "").replace(block, "")
+    assert out[8] == ""
