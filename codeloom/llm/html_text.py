@@ -1,10 +1,10 @@
-"""Main text of web pages by structure and by a host's suffix array.
+"""Main text of web pages by a host's suffix array, with structure as a second judge.
 
-A page is cut into blocks. Structure settles most of them: navigation, adverts, forms and the like go, an article
-stays. Where structure is silent, the host decides: the token streams of its pages are concatenated and sorted
-by suffix, runs that recur in distinct pages are found by comparing neighbours, blocks that such runs cover
-are boilerplate, and unique runs stay. A run on most pages of a host goes even from an article. Pages that are copies
-of one another in most of their text count as one, so a copied article isn't taken for boilerplate.
+A page is cut into blocks, whose tokens make one stream. Suffixes of all streams of a host are compared through the
+shuffle: each is cut to a run that its own content delimits, equal runs meet by digest, and a run that stands in two
+distinct pages of the host is boilerplate. Blocks that such runs cover go, unique runs stay. Structure then adds what
+only it can know: an article's own blocks stay though they recur, and furniture (comments, forms, sidebars) goes
+though it is unique. A host is never gathered in one place, so the result doesn't depend on its size.
 """
 
 from __future__ import annotations
@@ -19,58 +19,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import textnp
-from codeloom.llm.io import materialise, prepare
-
-#: Least tokens of a repeated run, and the share of a block's tokens that runs must cover.
-RUN, COVERED = 8, 0.9
-#: Pages are copies of each other if runs they share cover this part of the tokens of both and leave no run of RUN tokens.
-COPY_SHARE = 0.8
-#: Inside an article a run goes only if this share of the pages compared have it, and at least so many.
-COMMON_SHARE, COMMON_PAGES = 0.5, 5
-#: Markup of a host's pages that are compared together; larger hosts are dealt into groups of about this size.
-GROUP_CHARS = 4 << 20
-#: Hosts over one group that are named in the plan; with more, they are joined as a table.
-LARGE_HOSTS = 5_000
+from codeloom.llm.io import BROADCAST_IDS, materialise, prepare
+
+#: Least tokens of a repeated run, suffixes among which one is kept, and the share of a block's tokens that runs must cover.
+RUN, WINDOW, COVERED = 8, 8, 0.9
+#: Pages with one content are joined apart from the others if they are more than this part of all pages.
+HOT_SHARE = 1000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>", re.S)
-_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select")}
+_RAW = "script style noscript template textarea title iframe svg math select datalist".split()
+_CONTROLS = frozenset(["button", "label"])
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in (*_RAW, *_CONTROLS)}
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("nav header footer aside form menu dialog button label fieldset head figure".split()) - {"figure"}
-_DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-_DROP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
-    "breadcrumbs header masthead footer sidebar aside widget related recommended cookie cookies consent gdpr notice popup modal overlay "
-    "newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social toolbar pagination pager skip".split()
-)
-_ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
            "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
-UNKNOWN, ARTICLE, DROPPED = 0, 1, 2
+
+#: Elements and roles of furniture. In the closed ones nothing is an article; the open ones may wrap a whole page.
+_CLOSED, _OPEN = frozenset("nav footer aside menu dialog".split()), frozenset("header form fieldset head".split())
+_CLOSED_ROLES = frozenset("navigation contentinfo complementary search dialog alert menu menubar toolbar".split())
+_OPEN_ROLES = frozenset(["banner", "form"])
+#: Whole class names and ids of furniture; part of a name says nothing (has-sidebar, no-comments, entry-header).
+_COMMENTS = re.compile(r"(?:reader|user|post)?[-_]?comments?(?:[-_]?(?:list|section|area|thread|form|body|wrapper|container|box))?|disqus.*|respond|repl(?:y|ies)(?:[-_]?list)?")
+_FURNITURE = re.compile(
+    r"ads?(?:[-_]?(?:box|slot|unit|banner|wrap|wrapper|container|block|space|zone|\d+))?|advert\w*|adsense|(?:top|side|bottom|inline|google|banner)[-_]?ads?"
+    r"|sponsor\w*|promo|promotions?|banner"
+    r"|nav|navbar|navigation|menu|(?:main|top|site|primary|sub|footer|page)[-_]?(?:nav|navigation|menu)|nav[-_]?(?:bar|menu|links)|breadcrumbs?|pagination|pager|skip[-_]?(?:link|nav|links)"
+    r"|(?:site|global|top)?[-_]?(?:header|masthead)|(?:site|page|global|main)?[-_]?footer|(?:left|right|main|page)?[-_]?side[-_]?bar|sidebar[-_]\w+|widgets?|aside"
+    r"|cookies?(?:[-_]?\w+)*|consent(?:[-_]?\w+)*|gdpr|notice(?:[-_]?(?:bar|box))?|popup|modal|overlay|newsletter(?:[-_]?\w+)*|subscri(?:be|ption)(?:[-_]?\w+)*|sign[-_]?up|log[-_]?in"
+    r"|(?:social|share|sharing)(?:[-_]?(?:bar|box|buttons?|links?|icons?|list))?|toolbar|related(?:[-_]?(?:posts?|articles?|stories|links|content))?|recommended(?:[-_]?\w+)?"
+)
+_ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_NAMED_AS_THEY_LIKE = frozenset("body html h1 h2 h3 h4 h5 h6".split())
+SILENT, ARTICLE, FURNITURE, CLOSED = 0, 1, 2, 3
 
 
 def _kind(name: str, attributes: str) -> int:
-    """What an element says of its content."""
-    if name in _DROP:
-        return DROPPED
-    if attributes:
-        for key, value in _ATTR.findall(attributes):
-            key, value = key.lower(), value.strip("\"'").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true":
-                return DROPPED
-            if key == "role":
-                if value in _DROP_ROLES:
-                    return DROPPED
-                if value in ("main", "article"):
-                    return ARTICLE
-            if key == "itemprop" and value == "articlebody":
-                return ARTICLE
-            if key in ("class", "id") and not _DROP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)) and name not in ("body", "html"):
-                return DROPPED
-    return ARTICLE if name in ("article", "main") else UNKNOWN
+    """What an element says of its content: CLOSED is furniture with no article inside."""
+    found = CLOSED if name in _CLOSED else FURNITURE if name in _OPEN else ARTICLE if name in ("article", "main") else SILENT
+    for key, value in _ATTR.findall(attributes) if attributes else ():
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return CLOSED
+        if key == "role":
+            said = CLOSED if value in _CLOSED_ROLES else FURNITURE if value in _OPEN_ROLES else ARTICLE if value in ("main", "article") else SILENT
+            found = said or found
+        elif key == "itemprop" and value == "articlebody":
+            found = found or ARTICLE
+        elif key in ("class", "id") and name not in _NAMED_AS_THEY_LIKE:
+            for word in value.split():
+                if _COMMENTS.fullmatch(word):
+                    return CLOSED
+                if found == SILENT and _FURNITURE.fullmatch(word):
+                    found = FURNITURE
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -78,7 +83,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
-    state = UNKNOWN
+    state = SILENT
 
     def flush() -> None:
         if parts:
@@ -88,7 +93,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 text = entities.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append((text, state))
+                out.append((text, min(state, FURNITURE)))
 
     at = 0
     while m := _TAG.search(page, at):
@@ -102,16 +107,14 @@ def blocks(page: str) -> list[tuple[str, int]]:
             parts.append(" ")
             continue
         if name in _RAW_END:
-            if not m[1]:
-                end = _RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
+            end = None if m[1] else _RAW_END[name].search(page, at)
+            if end:
+                at = end.end()
+            elif not m[1] and name not in _CONTROLS:
+                at = len(page)
+            continue
+        if name not in _BLOCK:
             continue
-        if name not in _BLOCK and name not in ("button", "label"):
-            if name in _VOID or m[3].endswith("/"):
-                continue
-            kind = UNKNOWN if m[1] else _kind(name, m[3])
-            if kind == UNKNOWN and not any(x[0] == name for x in stack[-8:]):
-                continue
         flush()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -125,193 +128,245 @@ def blocks(page: str) -> list[tuple[str, int]]:
                     state = stack.pop()[1]
             stack.append((name, state))
             kind = _kind(name, m[3])
-            if state != DROPPED and kind != UNKNOWN:
-                # a header inside an article holds its title
-                if not (state == ARTICLE and name == "header"):
-                    state = kind
-    parts.append(page[at:] if not page[at:].startswith("<") or not re.match(r"<[/!a-zA-Z]", page[at:]) else "")
+            # a header inside an article holds its title
+            if kind != SILENT and state != CLOSED and not (state == ARTICLE and name == "header" and kind == FURNITURE):
+                state = kind
+    parts.append(page[at:] if not re.match(r"<[/!a-zA-Z]", page[at : at + 2]) else "")
     flush()
-    if any(s == ARTICLE for _, s in out):
-        return [(t, s if s == ARTICLE else DROPPED) for t, s in out]
     return out
 
 
-def sorted_runs(tokens: np.ndarray, page: np.ndarray, length: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """The starts of all runs of `length` tokens inside a page, sorted by run and then page, and a number for each one's run.
-
-    `tokens` are the pages' streams one after another. A suffix array sorted to that depth by prefix doubling
-    puts equal runs side by side.
-    """
-    n = len(tokens)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    while have < length:
-        step = min(have, length - have)
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + nxt + 1, return_inverse=True)[1].astype(np.int64)
-        have += step
-    whole = np.zeros(n, bool)
-    whole[: n - length + 1] = page[: n - length + 1] == page[length - 1 :]
-    at = np.flatnonzero(whole)
-    suffixes = at[np.lexsort((page[at], rank[at]))]
-    new = np.r_[True, rank[suffixes[1:]] != rank[suffixes[:-1]]][: len(suffixes)]
-    return suffixes, np.cumsum(new) - 1
-
-
-def _count(n: int, suffixes: np.ndarray, run: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """For each position, in how many distinct pages (or classes of pages) the run that starts there occurs; 0 where none starts."""
-    out = np.zeros(n, np.int64)
-    if len(suffixes):
-        order = np.lexsort((page[suffixes], run))
-        suffixes, run = suffixes[order], run[order]
-        new_run = np.r_[True, run[1:] != run[:-1]]
-        new_page = new_run | np.r_[True, page[suffixes[1:]] != page[suffixes[:-1]]]
-        out[suffixes] = np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new_run))[run]
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_EDGE = np.uint64(0x5851F42D4C957F2D)
+
+
+class Streams:
+    """The token streams of a batch of pages one after another, each between RUN edge marks, with digests of any run."""
+
+    def __init__(self, texts: pa.ListArray) -> None:
+        flat = texts.flatten()
+        self.n_blocks = np.diff(texts.offsets.to_numpy())
+        data, offsets = textnp.column_bytes(flat)
+        starts, ends, first = textnp.word_spans(data, offsets)
+        tokens = textnp.word_hashes(data, starts, ends)
+        self.page_of_block = np.repeat(np.arange(len(self.n_blocks)), self.n_blocks)
+        sizes = np.diff(first)
+        self.size = np.bincount(self.page_of_block, sizes, len(self.n_blocks)).astype(np.int64) if len(sizes) else np.zeros(len(self.n_blocks), np.int64)
+        shift = RUN * (2 * self.page_of_block + 1)
+        self.begin, self.end = first[:-1] + shift, first[1:] + shift
+        self.page_begin = np.cumsum(self.size) - self.size + RUN * (2 * np.arange(len(self.size)) + 1)
+        padded = np.full(len(tokens) + 2 * RUN * len(self.size), _EDGE)
+        padded[np.arange(len(tokens)) + np.repeat(shift, sizes)] = tokens
+        self.total = np.zeros(len(padded) + 1, np.uint64)
+        np.cumsum(padded * _powers(_BASE, len(padded)), out=self.total[1:])
+        self.inverse = _powers(_INVERSE, len(padded) + 1)
+
+    def digest(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return textnp.mix64((self.total[end] - self.total[at]) * self.inverse[at] + (end - at).astype(np.uint64))
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Page, first and last position of the runs that stand for the streams' suffixes.
+
+        Each block is a run, a short one with what follows and with what goes before it up to RUN tokens. Of WINDOW
+        neighbouring suffixes the one of least hash is kept, with the run to the next one kept and RUN - 1 tokens more.
+        """
+        b = [self.begin, np.minimum(self.begin, self.end - RUN)]
+        e = [np.maximum(self.end, self.begin + RUN), self.end]
+        p = [self.page_of_block, self.page_of_block]
+        counts = np.maximum(self.size - RUN + 1, 0)
+        page = np.repeat(np.arange(len(counts)), counts)
+        at = np.repeat(self.page_begin - np.cumsum(counts) + counts, counts) + np.arange(len(page))
+        wide = len(at) - WINDOW + 1
+        if wide > 0:
+            hashes = self.digest(at, at + RUN)
+            least, anchor = hashes[:wide].copy(), np.arange(wide)
+            for k in range(1, WINDOW):
+                lower = hashes[k : k + wide] <= least
+                least[lower] = hashes[k : k + wide][lower]
+                anchor[lower] = np.flatnonzero(lower) + k
+            anchor = np.unique(anchor[page[:wide] == page[WINDOW - 1 :]])
+            same = page[anchor[1:]] == page[anchor[:-1]] if len(anchor) else np.zeros(0, bool)
+            p.append(page[anchor[:-1]][same])
+            b.append(at[anchor[:-1]][same])
+            e.append(at[anchor[1:]][same] + RUN - 1)
+        return np.concatenate(p), np.concatenate(b), np.concatenate(e)
+
+    def keys(self, hosts: np.ndarray, page: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return textnp.mix64(self.digest(begin, end) ^ textnp.mix64(hosts.view(np.uint64))[page])
+
+    def contents(self, furniture: np.ndarray) -> np.ndarray:
+        """A digest of each page's long blocks that are no furniture (without any, of its stream): pages of one digest are copies."""
+        out = self.digest(self.page_begin, self.page_begin + self.size)
+        own = ~furniture & (self.end - self.begin >= RUN)
+        if own.any():
+            page = self.page_of_block[own]
+            h = self.digest(self.begin[own], self.end[own])
+            head = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+            rank = np.arange(len(page)) - np.repeat(head, np.diff(np.r_[head, len(page)]))
+            out[page[head]] = textnp.mix64(np.add.reduceat(textnp.mix64(h + rank.astype(np.uint64)), head))
+        return out
+
+    def covered(self, page: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The share of each block's tokens inside the runs given by page and place in its stream."""
+        marks = np.zeros(len(self.total) + 1, np.int64)
+        base = self.page_begin[page]
+        np.add.at(marks, base + np.maximum(begin, 0), 1)
+        np.add.at(marks, base + np.maximum(np.minimum(end, self.size[page]), 0), -1)
+        inside = np.r_[0, np.cumsum(np.cumsum(marks[:-1]) > 0)]
+        return (inside[self.end] - inside[self.begin]) / np.maximum(self.end - self.begin, 1)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+        np.multiply.accumulate(out, out=out)
     return out
 
 
-def repeated_pages(tokens: np.ndarray, page: np.ndarray, length: int = RUN) -> np.ndarray:
-    """For each position, in how many distinct pages the run of `length` tokens that starts there occurs; 0 where fewer tokens are left in the page."""
-    return _count(len(tokens), *sorted_runs(tokens, page, length), page)
-
-
-def _copied(covered: np.ndarray, length: int) -> bool:
-    """Whether the covered tokens of a page are all of it but for short gaps."""
-    gaps = np.diff(np.r_[-1, np.flatnonzero(covered), len(covered)]) - 1
-    return covered.sum() >= COPY_SHARE * len(covered) and gaps.max() < length
-
-
-def copy_classes(suffixes: np.ndarray, run: np.ndarray, page: np.ndarray, n_pages: int, length: int = RUN) -> np.ndarray:
-    """For each page the first page it is a copy of, or the page itself: neither of them has a run of text of its own."""
-    leader = np.arange(n_pages)
-    size = np.bincount(page, minlength=n_pages)
-    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
-    bounds = np.r_[first, len(run)]
-    run_at = np.full(len(page), -1, np.int64)
-    run_at[suffixes] = run
-    starts = np.searchsorted(page, np.arange(n_pages + 1))
-    inside = np.r_[0, np.cumsum(_covered(_count(len(page), suffixes, run, page), 2, length))]
-    share = (inside[starts[1:]] - inside[starts[:-1]]) / np.maximum(size, 1)
-    maybe = (size >= length) & (share >= COPY_SHARE)
-    free = maybe.copy()
-    for p in np.flatnonzero(maybe):
-        if not free[p]:
-            continue
-        free[p] = False
-        own = run_at[starts[p] : starts[p + 1]]
-        own = np.unique(own[own >= 0])
-        n = bounds[own + 1] - bounds[own]
-        at = suffixes[np.repeat(bounds[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        marks = np.zeros(len(page), bool)
-        marks[at] = True
-        others = np.unique(page[at])
-        for q in others[free[others]]:
-            theirs = marks[starts[q] : starts[q + 1]]
-            if not _copied(_covered(2 * theirs, 2, length), length):
-                continue
-            shared = np.isin(run_at[starts[p] : starts[p + 1]], run_at[starts[q] : starts[q + 1]][theirs])
-            if _copied(_covered(2 * shared, 2, length), length):
-                leader[q], free[q] = p, False
-    return leader
-
-
-def _covered(counts: np.ndarray, least: int, length: int = RUN) -> np.ndarray:
-    """Positions inside runs that at least `least` pages have."""
-    marks = np.zeros(len(counts) + 1, np.int64)
-    starts = np.flatnonzero(counts >= least)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, np.minimum(starts + length, len(counts)), -1)
-    return np.cumsum(marks[:-1]) > 0
-
-
-def main_texts(pages: list[list[tuple[str, int]]]) -> list[str]:
-    """The main text of each page of one group."""
-    flat = [t for p in pages for t, s in p if s != DROPPED]
-    if not flat:
-        return ["" for _ in pages]
-    data, offsets = textnp.column_bytes(pa.array(flat, pa.string()))
-    starts, ends, first = textnp.word_spans(data, offsets)
-    tokens = textnp.word_hashes(data, starts, ends)
-    kept_blocks = [sum(s != DROPPED for _, s in p) for p in pages]
-    page_of_block = np.repeat(np.arange(len(pages)), kept_blocks)
-    page = np.repeat(page_of_block, np.diff(first))
-    suffixes, run = sorted_runs(tokens, page)
-    leader = copy_classes(suffixes, run, page, len(pages))
-    counts = _count(len(tokens), suffixes, run, leader[page])
-    common = max(COMMON_PAGES, int(np.ceil(COMMON_SHARE * len(np.unique(leader)))))
-    share = []
-    for least in (2, common):
-        inside = np.r_[0, np.cumsum(_covered(counts, least))]
-        share.append((inside[first[1:]] - inside[first[:-1]]) / np.maximum(np.diff(first), 1))
-    out, k = [], 0
-    for p in pages:
-        texts = []
-        for t, s in p:
-            if s == DROPPED:
-                continue
-            if share[1 if s == ARTICLE else 0][k] < COVERED:
-                texts.append(t)
-            k += 1
-        out.append("\n".join(texts))
-    return out
-
-
-def _extract(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pages of one group at a time; a group is bounded by GROUP_CHARS."""
-    got = pa.Table.from_batches(list(tables))
-    pages = [
-        list(zip(t.as_py() or [], s.as_py() or [], strict=True)) for t, s in zip(got["texts"], got["states"], strict=True)
-    ]
-    texts = main_texts(pages)
-    return pa.table({
-        "page_id": got["page_id"], "url": got["url"], "text": pa.array(texts, pa.string()),
-        "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-    })
-
-
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
             found = [blocks(x.as_py() or "") for x in part.column("html")]
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), part.column("host"), part.column("part"),
+                [*(part.column(c) for c in ("page_id", "url", "host", "k1", "k2")),
                  pa.array([[t for t, _ in b] for b in found], pa.list_(pa.string())),
                  pa.array([[s for _, s in b] for b in found], pa.list_(pa.int32()))],
-                ["page_id", "url", "host", "part", "texts", "states"],
+                ["page_id", "url", "host", "k1", "k2", "texts", "states"],
             )
 
 
-def extract_text(pages: DataFrame, *, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """One row per row of `pages`: page_id, url, text, n_chars (code points).
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about 1 MB of text, or of one page."""
+    sizes = np.array([sum(map(len, x.as_py() or [])) for x in batch.column("texts")])
+    for i, j in textnp.slices(np.r_[0, np.cumsum(sizes)], 1 << 20):
+        yield batch.slice(i, j - i)
+
+
+def _states(part: pa.RecordBatch) -> np.ndarray:
+    return part.column("states").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
-    Blocks are trimmed, their white space runs made one space, and joined by line feeds in page order. A null
-    html is empty; a null url is a host of its own. Pages of a host are compared in groups of about
-    `group_chars` of markup, dealt by a hash of the page, so no task holds a whole large host; a page over that size
-    stays whole. Repeated rows each get a row; an empty table gives none. Other columns are not read.
+
+def _run_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every run of a slice once: its key, the least and greatest content that has it, and its places."""
+    for batch in batches:
+        for part in _slices(batch):
+            s = Streams(part.column("texts"))
+            page, begin, end = s.runs()
+            keys = s.keys(part.column("host").to_numpy(), page, begin, end)
+            content = s.contents(_states(part) == FURNITURE)[page].view(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, content = keys[order], content[order]
+            head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            if len(head):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[head].view(np.int64)), pa.array(np.minimum.reduceat(content, head)), pa.array(np.maximum.reduceat(content, head)),
+                     pa.array(np.diff(np.r_[head, len(keys)]))], ["key", "lo", "hi", "n"],
+                )
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs that touch a block outside of articles, by content of the page and place in its stream."""
+    for batch in batches:
+        for part in _slices(batch):
+            s = Streams(part.column("texts"))
+            page, begin, end = s.runs()
+            outside = np.zeros(len(s.total), np.int64)
+            open_ = _states(part) != ARTICLE
+            np.add.at(outside, s.begin[open_], 1)
+            np.add.at(outside, s.end[open_], -1)
+            inside = np.r_[0, np.cumsum(np.cumsum(outside) > 0)]
+            touch = inside[np.minimum(end, len(s.total))] > inside[np.maximum(begin, 0)]
+            page, begin, end = page[touch], begin[touch], end[touch]
+            rows = pa.array(page)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.keys(part.column("host").to_numpy(), page, begin, end).view(np.int64)), part.column("k1").take(rows), part.column("k2").take(rows),
+                 pa.array((begin - s.page_begin[page]).astype(np.int32)), pa.array((end - s.page_begin[page]).astype(np.int32))],
+                ["key", "k1", "k2", "b", "e"],
+            )
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of pages with the runs that their hosts repeat."""
+    for batch in batches:
+        for part in _slices(batch):
+            s = Streams(part.column("texts"))
+            runs = part.column("runs").fill_null([])
+            page = runs.value_parent_indices().to_numpy() if len(runs) else np.zeros(0, np.int64)
+            spans = runs.flatten()
+            begin, end = (spans.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            repeated = s.covered(page, begin, end) >= COVERED
+            states = _states(part)
+            has_article = np.zeros(len(s.size), bool)
+            has_article[s.page_of_block[states == ARTICLE]] = True
+            inside = states == ARTICLE
+            # outside of an article the suffixes decide first, then structure
+            by_run = repeated & ~inside
+            by_structure = ~by_run & ~inside & ((states == FURNITURE) | has_article[s.page_of_block])
+            keep = ~(by_run | by_structure)
+            count = lambda x: pa.array(np.bincount(s.page_of_block[x], minlength=len(s.size)).astype(np.int64))
+            flat, bounds = part.column("texts").flatten().to_pylist(), np.r_[0, np.cumsum(s.n_blocks)]
+            texts = ["\n".join(flat[k] for k in range(bounds[i], bounds[i + 1]) if keep[k]) for i in range(len(s.size))]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), count(by_run), count(by_structure)],
+                ["page_id", "url", "text", "n_chars", "n_repeated", "n_furniture"],
+            )
+
+
+def _repeated_runs(parsed: DataFrame) -> DataFrame:
+    """k1, k2, runs: for each content its runs outside of articles that stand in two distinct pages of the host."""
+    counts = parsed.select("host", "texts", "states").mapInArrow(_run_counts, "key long, lo long, hi long, n long")
+    repeated = materialise(
+        counts.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo <> hi").select("key", "n")
+    )
+    asked = parsed.select("host", "k1", "k2", "texts", "states").mapInArrow(_asked, "key long, k1 long, k2 long, b int, e int")
+    found, total = repeated.agg(F.count("*"), F.sum("n")).first()
+    keys = repeated.select("key")
+    if found <= BROADCAST_IDS:
+        hits = asked.join(F.broadcast(keys), "key", "left_semi")
+    else:
+        # at most 10,000 runs can have more than a ten-thousandth of all places
+        hot, cold = F.col("n") > total / 10_000, F.col("n") <= total / 10_000
+        hits = asked.join(F.broadcast(repeated.where(hot).select("key")), "key", "left_semi").unionByName(
+            asked.join(F.broadcast(repeated.where(hot).select("key")), "key", "left_anti").join(repeated.where(cold).select("key"), "key", "left_semi")
+        )
+    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("b", "e")).alias("runs"))
+
+
+def extract_text(pages: DataFrame) -> DataFrame:
+    """One row per row of `pages`: page_id, url, text, n_chars (code points), n_repeated, n_furniture.
+
+    Blocks are trimmed, their white space runs made one space, and joined by line feeds in page order. A block outside of
+    an article or main element goes if runs of RUN tokens or more that stand in two distinct pages of its host cover it
+    (counted in n_repeated); else it goes if structure calls it furniture or the page has an article elsewhere (counted
+    in n_furniture). All other blocks stay. Pages whose long blocks are equal are copies and count as one, so a copied
+    story isn't boilerplate. A null html is empty; a null url is a host of its own. Repeated rows each get a row; an
+    empty table gives none. Ties can't arise: runs are counted, not ranked. Other columns are not read.
     """
-    spark = pages.sparkSession
-    prepare(spark)
+    prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    large = materialise(
-        rows.groupBy("host").agg(F.sum(F.char_length("html")).alias("c")).where(F.col("c") > group_chars)
-        .select("host", F.ceil(F.col("c") / group_chars).alias("parts"))
-    )
-    if large.limit(LARGE_HOSTS + 1).count() <= LARGE_HOSTS:
-        large = F.broadcast(large)
-    deal = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
-    rows = rows.join(large, "host", "left").select("page_id", "url", "html", "host", deal.alias("part"))
-    parsed = rows.mapInArrow(
-        _parse, "page_id long, url string, host string, part long, texts array<string>, states array<int>"
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(
+        "page_id", "url", html.alias("html"), F.xxhash64(host).alias("host"), F.xxhash64(host, html).alias("k1"), F.xxhash64(html, host, F.lit(1)).alias("k2")
     )
-    return parsed.groupBy("host", "part").applyInArrow(
-        _extract_group, "page_id long, url string, text string, n_chars long"
+    parsed = materialise(rows.mapInArrow(
+        _parse, "page_id long, url string, host long, k1 long, k2 long, texts array<string>, states array<int>"
+    ))
+    runs = materialise(_repeated_runs(parsed))
+    # contents of which there are very many copies are few; they are joined by themselves
+    copies = parsed.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    hot = materialise(copies.where(F.col("n") > F.greatest(F.lit(1000), F.lit(parsed.count() / HOT_SHARE))).select("k1", "k2"))
+    if hot.isEmpty():
+        joined = parsed.join(runs, ["k1", "k2"], "left")
+    else:
+        mine = materialise(runs.join(F.broadcast(hot), ["k1", "k2"], "left_semi"))
+        if mine.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0] <= BROADCAST_IDS:
+            mine = F.broadcast(mine)
+        joined = parsed.join(F.broadcast(hot), ["k1", "k2"], "left_semi").join(mine, ["k1", "k2"], "left").unionByName(
+            parsed.join(F.broadcast(hot), ["k1", "k2"], "left_anti").join(runs, ["k1", "k2"], "left")
+        )
+    return joined.select("page_id", "url", "texts", "states", "runs").mapInArrow(
+        _write, "page_id long, url string, text string, n_chars long, n_repeated long, n_furniture long"
     )
-
-
-def _extract_group(table: pa.Table) -> pa.Table:
-    return _extract(iter(table.to_batches()))

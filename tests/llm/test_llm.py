@@ -417,62 +417,111 @@ def test_markov_ratio():
 # 5: html
 
 
-def test_blocks_and_entities():
-    page = ("<html><head><title>T</title><style>p{}</style></head><body><nav>n</nav><script>var t='</p>';</script><!-- c --><article><header><h1>A &amp; B</h1></header>"
-            "<p>one\n  two<br>three <b>bold</b><p>x &lt; y<div class='share-bar'>tweet</div><aside>side</aside><form>f</form></article><div id=comments>c</div><footer>f</footer>")
-    assert html_text.main_texts([html_text.blocks(page)]) == ["A & B\none two three bold\nx < y"]
-    assert html_text.main_texts([html_text.blocks("")]) == [""]
+def texts_of(spark, pages, **columns):
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for c, v in columns.items():
+        d = d.withColumn(c, F.lit(v))
+    return {x.page_id: x.text for x in html_text.extract_text(d).collect()}
+
+
+def test_blocks_and_entities(spark):
+    story = lambda inner: f"<body>{inner}</body>"
+    pages = {
+        1: ("<html><head><title>T</title><style>p{}</style></head><body><nav>n</nav><script>var t='</p>';</script><!-- c --><article><header><h1>A &amp; B</h1></header>"
+            "<p>one\n  two<br>three <b>bold</b><p>x &lt; y<div class='share-bar'>tweet</div><aside>side</aside><form>f</form></article><div id=comments>c</div><footer>f</footer>",
+            "A & B\none two three bold\nx < y"),
+        2: ("", ""),
+        3: ("<div class='layout has-sidebar'><article><p>Kept.</p></article><div class='sidebar'>s</div></div>", "Kept."),
+        4: ("<article class='post no-comments'><div class='entry-header'><h1 class='page-header'>Title</h1></div><p>He said <span class='share'>the share</span> price rose.</p></article>",
+            "Title\nHe said the share price rose."),
+        5: ("<article><p>Body.</p></article><ol class='commentlist'><li><article class='comment'>Nice!</article></ol><div class='adbox'>Buy</div>", "Body."),
+        6: ("<form id='page'><main><p>In a form.<button>Go</button> On.</p></main></form>", "In a form. On."),
+        7: ("<div><b>" * 12 + "deep" + "</b></div>" * 12 + "<div class='cookie-banner'>c</div><p>end", "deep\nend"),
+    }
+    got = texts_of(spark, [(i, f"http://{i}.example/", story(h) if h else h) for i, (h, _) in pages.items()])
+    assert got == {i: t for i, (_, t) in pages.items()}
 
 
 def test_suffix_runs_match_brute_force():
+    """Every block whose tokens lie in runs of 16 tokens or more that another page has is covered; none without a shared run of 8 is."""
     rng = random.Random(9)
-    streams = [[rng.randrange(3) for _ in range(40)] for _ in range(5)]
-    streams[3][5:20] = streams[1][10:25]
-    tokens = np.array([t for s in streams for t in s], np.uint64)
-    page = np.repeat(np.arange(5), 40)
-    got = html_text.repeated_pages(tokens, page, 6)
+    shared = [prose(rng, n) for n in (16, 40, 9, 25)]
+    pages = [[prose(rng, rng.randint(1, 30)) if rng.random() < 0.6 else rng.choice(shared) for _ in range(8)] for _ in range(12)]
+    s = html_text.Streams(pa.array(pages, pa.list_(pa.string())))
+    page, begin, end = s.runs()
+    hosts = np.zeros(12, np.int64)
+    keys = s.keys(hosts, page, begin, end)
+    owners = {}
+    for k, p in zip(keys.tolist(), page.tolist(), strict=True):
+        owners.setdefault(k, set()).add(p)
+    again = np.array([len(owners[k]) > 1 for k in keys.tolist()])
+    got = s.covered(page[again], begin[again] - s.page_begin[page[again]], end[again] - s.page_begin[page[again]])
+    words = [" ".join(p).split() for p in pages]
     seen = {}
-    for p, s in enumerate(streams):
-        for i in range(35):
-            seen.setdefault(tuple(s[i:i + 6]), set()).add(p)
-    want = [len(seen[tuple(s[i:i + 6])]) if i < 35 else 0 for s in streams for i in range(40)]
-    assert got.tolist() == want
+    for p, w in enumerate(words):
+        for i in range(len(w) - 7):
+            seen.setdefault(tuple(w[i:i + 8]), set()).add(p)
+    k = 0
+    for p, parts in enumerate(pages):
+        at = 0
+        for t in parts:
+            n = len(t.split())
+            if t in shared:
+                assert got[k] == (1.0 if sum(t in q for q in pages) > 1 else 0.0) or sum(t in q for q in pages) == 1
+            around = words[p][max(0, at - 7):at + n + 7]
+            if not any(len(seen.get(tuple(around[i:i + 8]), ())) > 1 for i in range(len(around))):
+                assert got[k] == 0 or n < 8 and at in (0, len(words[p]) - n)
+            at += n
+            k += 1
 
 
 def test_html_extraction(spark):
     legal = "This site is operated by the example company and all its friends of the web."
     rows = [(i, f"http://h.example/{i}", f"<div><p>{legal}</p><p>Unique story number {i} about the {i} things that one may see here.</p></div>") for i in range(6)]
     rows += [(10, None, None), (11, "u", ""), (12, "http://x.example", "<article><p>a</p><p>a</p></article>"), (12, "http://x.example", "<article><p>a</p><p>a</p></article>")]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(3)).withColumn("text", F.lit(""))
-    for size in (html_text.GROUP_CHARS, 300):
-        got = sorted((x.page_id, x.text, x.n_chars) for x in html_text.extract_text(d, group_chars=size).collect())
-        if size > 300:
-            assert got[:6] == [(i, t := f"Unique story number {i} about the {i} things that one may see here.", len(t)) for i in range(6)]
-        assert got[6:] == [(10, "", 0), (11, "", 0), (12, "a\na", 3), (12, "a\na", 3)]
+    rows += [(13, "http://long.example/1", "<p>" + "w " * 200_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(3)).withColumn("text", F.lit("")).withColumn("k1", F.lit("x"))
+    for n in (1, 7):
+        got = sorted((x.page_id, x.text, x.n_chars) for x in html_text.extract_text(d.repartition(n)).collect())
+        assert got[:6] == [(i, t := f"Unique story number {i} about the {i} things that one may see here.", len(t)) for i in range(6)]
+        assert got[6:10] == [(10, "", 0), (11, "", 0), (12, "a\na", 3), (12, "a\na", 3)]
+        assert got[10] == (13, ("w " * 200_000).strip(), 399_999)
     assert html_text.extract_text(d.where("false")).count() == 0
 
 
-def test_copies_of_an_article_keep_it(spark):
+def test_article_text_stays_and_copies_count_once(spark):
     rng = random.Random(31)
-    story, legal = prose(rng, 120), prose(rng, 20)
+    story, legal, quote = prose(rng, 120), prose(rng, 20), prose(rng, 30)
     silent = lambda t, note="": f"<div><p>{t}</p><p>{note}</p><p>{legal}</p></div>"
-    article = lambda t: f"<article><p>{t}</p></article>"
+    article = lambda t: f"<div class='ad'>{legal}</div><article><p>{t}</p><p>{quote}</p></article>"
     rows = [(i, f"http://two.example/{i}", f"<div><p>{story}</p></div>") for i in range(2)]
     rows += [(10 + i, f"http://near.example/{i}", silent(story, f"seen {i} times")) for i in range(5)]
     rows += [(20 + i, f"http://near.example/o{i}", silent(prose(rng, 90))) for i in range(3)]
-    rows += [(30 + i, f"http://five.example/{i}", article(story)) for i in range(5)]
-    rows += [(40 + i, f"http://five.example/o{i}", article(prose(rng, 90))) for i in range(5)]
+    stories = [prose(rng, 90) for _ in range(10)]
+    rows += [(30 + i, f"http://five.example/{i}", article(t)) for i, t in enumerate(stories)]
     terms, short = prose(rng, 150), [prose(rng, 12) for _ in range(3)]
     rows += [(50 + i, f"http://short.example/{i}", f"<div><p>{t}</p><p>{terms}</p></div>") for i, t in enumerate(short)]
-    d = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {x.page_id: x.text for x in html_text.extract_text(d).collect()}
+    got = texts_of(spark, rows)
     assert [got[i] for i in range(2)] == [story] * 2
     assert [got[10 + i] for i in range(5)] == [f"{story}\nseen {i} times" for i in range(5)]
     assert all(got[20 + i] and legal not in got[20 + i] for i in range(3))
-    assert [got[30 + i] for i in range(5)] == [story] * 5 and all(got[40 + i] for i in range(5))
+    assert [got[30 + i] for i in range(10)] == [f"{t}\n{quote}" for t in stories]
     assert [got[50 + i] for i in range(3)] == short
 
 
+def test_pages_without_structure(spark):
+    """With all tags made divs, only the suffixes of a host can tell furniture from text."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("url", F.concat(F.lit("http://one.example/"), "page_id"))
+    bare = pages.withColumn("html", F.regexp_replace("html", r"</?(nav|ul|li|footer|article|h1|div)\b[^>]*>", "</div><div>"))
+    want = {x.page_id: x.text.split("\n") for x in html_text.extract_text(pages).collect()}
+    got = {x.page_id: (x.text.split("\n"), x.n_repeated) for x in html_text.extract_text(bare).collect()}
+    assert sum(n > 0 for _, n in got.values()) > 0.8 * len(got)
+    assert sum(t in got[i][0] for i, w in want.items() for t in w) > 0.85 * sum(map(len, want.values()))
+    rest = lambda texts: sum(t not in want[i] for i, x in texts for t in x)
+    furniture = [(x.page_id, [t for t, _ in html_text.blocks(x.html)]) for x in pages.collect()]
+    assert rest([(i, t) for i, (t, _) in got.items()]) < 0.5 * rest(furniture)
+
+
 # 6: passages
 
 
