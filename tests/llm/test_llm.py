@@ -588,3 +588,50 @@ def test_whole_lines_and_paragraphs_are_removed(spark):
     for k in (1, 2):
         assert out[k] == rows[k][1].replace(line, "").replace(block, "")
     assert out[8] == ""
+
+
+def test_rows_of_one_id_or_none_are_documents_by_text(spark):
+    rng = random.Random(8)
+    line, own = prose(rng, 30), [prose(rng, 40) for _ in range(6)]
+    rows = [(1, f"{own[0]}\n{line}"), (1, f"{own[1]}\n{line}"), (2, f"{own[2]}\n{line}"), (2, f"{own[2]}\n{line}"), (None, own[3]), (None, f"{own[4]}\n{line}"), (None, f"{own[5]}\n{line}")]
+    d = docs_of(spark, rows).withColumn("text_hash", F.lit("clash"))
+    out = sorted((str(x.doc_id), x.text) for x in passage_dedup.remove_repeats(d.repartition(3)).collect())
+    assert len(out) == 7 and sum(line in t for _, t in out) == 1
+    assert all(any(o in t for _, t in out) for o in own)
+    assert [t for i, t in out if i == "2"] == [f"{own[2]}\n"] * 2
+
+
+def test_lines_and_paragraphs_match_brute_force(spark):
+    """All lines and paragraphs of five words or more of whole texts, where no run inside of lines repeats."""
+    rng = random.Random(21)
+    pool = [prose(rng, n) for n in (1, 3, 4, 5, 6, 9, 12, 18)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(pool) if rng.random() < 0.3 else f"u{i}x{k} {prose(rng, rng.randint(1, 12))}" for k in range(rng.randint(1, 9))]
+        rows.append((i, "".join(p + rng.choice(["\n", "\n", "\n\n", " \n"]) for p in parts)))
+    rows += [(70, None), (71, ""), (72, "\n\n")]
+    first, want = {}, {}
+    for i, t in rows:
+        spans = []
+        for m in re.finditer(r"[^\n]+", t or ""):
+            spans.append((m.start(), m.end()))
+        for m in re.finditer(r"(?:[^\n]|\n(?!\s*\n))+", t or ""):
+            spans.append((m.start(), m.end()))
+        want[i] = set()
+        for a, b in spans:
+            words = tuple(WORD.findall(t[a:b].lower()))
+            if len(words) >= 5:
+                where = (i, len(WORD.findall(t[:a])))
+                first[words] = min(first.get(words, where), where)
+    for i, t in rows:
+        for m in [*re.finditer(r"[^\n]+", t or ""), *re.finditer(r"(?:[^\n]|\n(?!\s*\n))+", t or "")]:
+            words = tuple(WORD.findall(m[0].lower()))
+            at = len(WORD.findall(t[:m.start()]))
+            if len(words) >= 5 and first[words] != (i, at):
+                want[i] |= set(range(at, at + len(words)))
+    got = {i: set() for i, _ in rows}
+    text = dict(rows)
+    for x in passage_dedup.repeated_passages(docs_of(spark, rows).repartition(3), run_words=1000).collect():
+        at = len(WORD.findall(text[x.doc_id][:x.start]))
+        got[x.doc_id] |= set(range(at, at + x.n_words))
+    assert got == want
