@@ -63,6 +63,26 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+#: Rows of one key from which on it is joined apart from the others.
+HOT_ROWS = 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """`left` joined with `right`, a materialised table that has one row per key and in `rows` the number of its rows on the left.
+
+    Keys with more than a thousandth of all rows are a thousand at most: they are broadcast, so their rows stay where
+    they are; all others are joined by a shuffle in which no key is hot.
+    """
+    total, most = (x or 0 for x in right.agg(F.sum("rows"), F.max("rows")).first())
+    hot = F.col("rows") > max(total / 1000, HOT_ROWS)
+    if most <= HOT_ROWS:
+        return left.join(right.drop("rows"), key)
+    apart = right.where(hot).drop("rows")
+    return left.join(F.broadcast(apart), key).unionByName(
+        left.join(F.broadcast(apart.select(key)), key, "left_anti").join(right.where(~hot).drop("rows"), key)
+    )
+
+
 _shipped: set[str] = set()
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import textnp
 from codeloom.llm.components import connected_components
-from codeloom.llm.io import discard, materialise, prepare, small
+from codeloom.llm.io import discard, materialise, prepare, small, spread_join
 
 WIDTH, BANDS, ROWS = 5, 48, 5
 UNIVERSE = 1 << 18
@@ -84,9 +84,9 @@ def _features(width: int, bands: int, rows_per_band: int, seed: int):
                 keys = textnp.mix64(keys + lane)
                 lengths = np.where(counts > 0, bands, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(counts.astype(np.int64)), pa.array(digest.view(np.int64)),
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(counts.astype(np.int64)), pa.array(digest.view(np.int64)),
                      _long_lists(np.ascontiguousarray(keys).reshape(-1), lengths)],
-                    ["doc_id", "n", "cls", "bands"],
+                    ["doc_id", "h", "n", "cls", "bands"],
                 )
     return run
 
@@ -153,31 +153,16 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select(F.col("cls").alias("a"), "b").distinct()
 
 
-def near_duplicates(
+def _grouped(
     docs: DataFrame, *, width: int = WIDTH, percent: int = 75, bands: int = BANDS, rows_per_band: int = ROWS, seed: int = 8
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    A document's set holds the distinct `width`-word shingles of its text (A-Z lower-cased, words split at
-    ASCII white space); fewer words make one shingle, no words an empty set that is linked with nothing.
-    Documents are linked where 100 * intersection >= percent * union; component_id is the least doc_id
-    reachable over links and kept marks that document. 48 bands of 5 coordinates miss a pair of
-    similarity 0.75 with probability 3e-6.
-
-    Equal sets are one class and are never compared. In each bucket the classes are first compared with the
-    bucket's most connected class, which settles large groups with one comparison per member. Classes of
-    buckets that still span components are then compared by an exact prefix filter over their sets, so no
-    link between components is lost and a group of n that share a passage doesn't make n * n pairs.
-
-    A row without doc_id is not linked (component_id null, kept true). Rows that repeat a doc_id each get
-    a row. An empty table gives an empty result. Only doc_id and text are read; other columns are ignored.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """Rows as (doc_id, h, n, cls), with the hash of the text, the size of its set and the class of equal sets, and (cls, rep, root)."""
     prepare(docs.sparkSession)
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     wide = materialise(docs.mapInArrow(
-        _features(width, bands, rows_per_band, seed), "doc_id long, n long, cls long, bands array<long>"
+        _features(width, bands, rows_per_band, seed), "doc_id long, h long, n long, cls long, bands array<long>"
     ))
-    feats = materialise(wide.select("doc_id", "n", "cls"))
+    feats = materialise(wide.select("doc_id", "h", "n", "cls"))
     classes = materialise(
         feats.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     )
@@ -215,27 +200,58 @@ def near_duplicates(
     grouped = materialise(
         classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     )
-    least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    component = grouped.join(least, "root").select("cls", "component_id")
-    empty = (F.col("n") == 0) | F.col("doc_id").isNull()
-    linked = feats.where(~empty).select("doc_id", "n", "cls").join(component, "cls")
-    alone = feats.where(empty).select("doc_id", "n", F.col("cls"), F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n", "component_id").unionByName(alone.select("doc_id", "n", "component_id")).select(
+    discard(spark, members, stars, labelled, nodes)
+    return feats, grouped
+
+
+_EMPTY = "n = 0 OR doc_id IS NULL"
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    A document's set holds the distinct `width`-word shingles of its text (A-Z lower-cased, words split at
+    ASCII white space); fewer words make one shingle, no words an empty set that is linked with nothing.
+    Documents are linked where 100 * intersection >= percent * union; component_id is the least doc_id
+    reachable over links and kept marks that document. 48 bands of 5 coordinates miss a pair of
+    similarity 0.75 with probability 3e-6.
+
+    Equal sets are one class and are never compared. In each bucket the classes are first compared with the
+    bucket's most connected class, which settles large groups with one comparison per member. Classes of
+    buckets that still span components are then compared by an exact prefix filter over their sets, so no
+    link between components is lost and a group of n that share a passage doesn't make n * n pairs.
+
+    A row without doc_id is not linked (component_id null, kept true). Rows that repeat a doc_id each get
+    a row. An empty table gives an empty result. Only doc_id and text are read; other columns are ignored.
+    """
+    feats, grouped = _grouped(docs, **options)
+    least = materialise(grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("rows")))
+    component = spread_join(grouped, least, "root").select("cls", "component_id")
+    rows = materialise(component.join(feats.where(f"NOT ({_EMPTY})").groupBy("cls").agg(F.count("*").alias("rows")), "cls"))
+    linked = spread_join(feats.where(f"NOT ({_EMPTY})").select("doc_id", "n", "cls"), rows, "cls")
+    alone = feats.where(_EMPTY).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "n", "component_id").unionByName(alone).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` with one document of each group of near-duplicates, all columns as they came.
+    """The rows of `docs` with one row of each group of near-duplicates, all columns as they came.
 
-    Rows without doc_id or words stay. Of rows that repeat a doc_id that stays, one stays.
+    Rows are judged by doc_id and text: of a group the row of the least doc_id stays (of several, that of the least hash of
+    its text), so rows of one id with different texts are each kept or dropped by their own group. Rows without doc_id or
+    words stay. Of rows that repeat doc_id and text one stays.
     """
-    verdict = materialise(near_duplicates(docs, **options))
-    gone = small(materialise(verdict.where(~F.col("kept")).select("doc_id").distinct()))
-    repeated = verdict.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if repeated.isEmpty():
-        return left
-    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(again)
+    feats, grouped = _grouped(docs, **options)
+    linked = feats.where(f"NOT ({_EMPTY})").groupBy("doc_id", "h", "cls").agg(F.count("*").alias("c"))
+    of_class = linked.groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    heads = grouped.join(of_class, "cls").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
+    gone = small(materialise(linked.join(heads, ["doc_id", "h"], "left_anti").select("doc_id", "h")))
+    again = linked.where("c > 1").select("doc_id", "h")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.xxhash64("text").alias("h"))
+    left = keyed.join(gone, ["doc_id", "h"], "left_anti")
+    if not again.isEmpty():
+        repeated = left.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+        left = left.join(again, ["doc_id", "h"], "left_anti").unionByName(repeated)
+    return left.select("_row.*")

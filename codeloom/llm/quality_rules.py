@@ -33,13 +33,14 @@ def _size(text: Column, without: str) -> Column:
     return F.char_length(F.regexp_replace(text, without, ""))
 
 
-def _measured(lines: Column) -> Column:
-    """Lines with what their rules read, so that each is measured once."""
-    return F.transform(lines, lambda x: F.struct(
+def _judged(text: Column) -> Column:
+    """The lines of a text, blank ones too, with their characters that are not white space and whether a rule fails them."""
+    measured = F.transform(F.split(text, "\n"), lambda x: F.struct(
         x.alias("line"), F.lower(x).alias("low"), _size(x, _SPACES).alias("size"),
         (F.char_length(x) - _size(x, _SYMBOLS)).alias("symbols"),
         (F.char_length(x) - F.char_length(F.replace(F.replace(x, F.lit("!"), F.lit("")), F.lit("?"), F.lit("")))).alias("shouts"),
     ))
+    return F.transform(measured, lambda x: F.struct(x.getField("line").alias("line"), x.getField("size").alias("size"), _line_fails(x).alias("fails")))
 
 
 def _line_fails(x: Column) -> Column:
@@ -58,10 +59,11 @@ def _line_fails(x: Column) -> Column:
 
 
 def quality_features(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars.
+    """One row per row of `docs`: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, clean.
 
     Words are runs without ASCII white space; null texts have none. n_repeat_words counts the words inside
-    5-word windows that the text has twice or more. lost_chars are the word characters of failing lines.
+    5-word windows that the text has twice or more. lost_chars are the word characters of failing lines, clean is the
+    text without them (the text itself where no line fails; null texts are empty).
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", t.alias("text"))
@@ -69,7 +71,9 @@ def quality_features(docs: DataFrame) -> DataFrame:
         "doc_id", "text",
         F.filter(F.split("text", _SPACES), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")).alias("lines"),
+        _judged(F.col("text")).alias("judged"),
     )
+    fails, line = (lambda x: x.getField("fails")), (lambda x: x.getField("line"))
     d = d.select(
         "doc_id",
         F.size("words").alias("n"),
@@ -77,9 +81,10 @@ def quality_features(docs: DataFrame) -> DataFrame:
         F.aggregate("words", F.lit(0), lambda a, w: a + F.char_length(w)).alias("word_chars"),
         (F.char_length("text") - _size(F.col("text"), _SYMBOLS)).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.aggregate(F.filter(_measured(F.col("lines")), _line_fails), F.lit(0), lambda a, x: a + x.getField("size")).alias("lost_chars"),
+        F.aggregate(F.filter("judged", fails), F.lit(0), lambda a, x: a + x.getField("size")).alias("lost_chars"),
+        F.array_join(F.transform(F.filter("judged", lambda x: ~fails(x)), line), "\n").alias("clean"),
     )
-    counts = ["doc_id", "n", "word_chars", "n_symbols", "n_dup_lines", "lost_chars"]
+    counts = ["doc_id", "n", "word_chars", "n_symbols", "n_dup_lines", "lost_chars", "clean"]
     at = lambda i, k: F.get("h", i + F.lit(k))
     d = d.select(*counts, F.when(
         F.col("n") >= WINDOW,
@@ -99,14 +104,14 @@ def quality_features(docs: DataFrame) -> DataFrame:
     out = F.struct(
         "doc_id", F.col("n").cast("long").alias("n_words"), long("word_chars"), long("n_symbols"), long("n_dup_lines"),
         F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
-        long("lost_chars"),
+        long("lost_chars"), "clean",
     )
     # a generator of one row: filters on the features stay above it, where they would else repeat the features' work
     return d.select(F.explode(F.array(out)).alias("x")).select("x.*")
 
 
 def quality_verdicts(docs: DataFrame, *, max_loss: int = MAX_LOSS) -> DataFrame:
-    """The features, then base_failed and kept.
+    """The features, then clean_chars (code points of the cleaned text), base_failed and kept.
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated windows. kept: not base_failed,
     and the failing lines hold at most `max_loss` percent of the word characters. Null and empty texts fail;
@@ -116,15 +121,15 @@ def quality_verdicts(docs: DataFrame, *, max_loss: int = MAX_LOSS) -> DataFrame:
     d = quality_features(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     kept = ~failed & (100 * F.col("lost_chars") <= max_loss * F.col("word_chars"))
-    return d.withColumns({"base_failed": failed, "kept": kept})
-
-
-def clean_lines(text: Column) -> Column:
-    """The text without its failing lines; null stays null."""
-    return F.array_join(F.transform(F.filter(_measured(F.split(text, "\n")), lambda x: ~_line_fails(x)), lambda x: x.getField("line")), "\n")
+    return d.withColumns({"clean_chars": F.char_length("clean").cast("long"), "base_failed": failed, "kept": kept})
 
 
 def keep_quality(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose text passes, with all their columns; no row is judged by doc_id, so null and repeated ids are fine."""
+    """The rows of `docs` that pass, with their texts cleaned of failing lines and all other columns as they came.
+
+    No row is judged by doc_id, so null and repeated ids are fine: each row passes or goes by its own text.
+    Null and empty texts go; an empty table gives none.
+    """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    return quality_verdicts(keyed, **options).where("kept").select("doc_id.*")
+    passed = quality_verdicts(keyed, **options).where("kept")
+    return passed.select(*[F.col("clean").alias("text") if c == "text" else F.col(f"doc_id.`{c}`") for c in docs.columns])

@@ -131,6 +131,14 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(d.where("false")).count() == 0
 
 
+def test_one_id_with_several_texts_loses_none(spark):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 30) for _ in range(3))
+    d = docs_of(spark, [(1, a), (1, b), (1, b.upper()), (2, a), (2, c), (3, b), (4, None), (4, ""), (4, "")]).withColumn("h", F.lit("x")).repartition(3)
+    kept = sorted((x.doc_id, (x.text or "").lower()) for x in near_dedup.drop_near_duplicates(d).collect())
+    assert kept == sorted([(1, a), (1, b), (2, c), (4, ""), (4, ""), (4, "")])
+
+
 def test_circulant_signature_estimates():
     scatter, shifted = near_dedup._permutations(240, 8)
     rng = np.random.default_rng(0)
@@ -161,14 +169,36 @@ def test_quality_base_counts(spark, sample):
         assert not (x.base_failed and x.kept)
 
 
-def test_quality_lines(spark):
+def line_fails(x):
+    """The line rules in plain Python; characters that aren't ASCII white space are counted."""
+    size, low = len(re.sub(r"[\x20\x09-\x0D]", "", x)), x.lower()
+    return (
+        len(re.findall(r"[#*$%&|<>]", x)) * 100 > 8 * size or (x.count("!") + x.count("?")) * 100 > 6 * size
+        or size > 25 and not re.search(r"[.,;:!?…。、]", x) and bool(re.search(r"(?:\S+\s+){24}\S", x, re.A))
+        or bool(re.search(quality_rules.NAVIGATION, x, re.A)) or any(p in low for p in quality_rules.BOILERPLATE)
+    )
+
+
+def test_quality_lines_match_brute_force(spark, sample):
     good = "The quick brown fox jumps over the lazy dog, and then it rests for a while. "
-    rows = [(1, good * 3), (2, "a | b | c | d | e | f | g | h | i | j | k | l"), (3, good + "\nAll rights reserved.\n" + good.upper()), (4, "WOW!! " * 3 + "BUY!! NOW!! THIS!! IS!! SO!! GOOD!! YES!! OK!!")]
-    got = {x.doc_id: x.kept for x in quality_rules.quality_verdicts(docs_of(spark, rows)).collect()}
-    assert got == {1: False, 2: False, 3: True, 4: False}  # 1 repeats itself
-    assert quality_rules.keep_quality(docs_of(spark, rows)).columns == DOCS.replace(",", "").split()[::2]
-    cleaned = docs_of(spark, [(1, "Fine line here.\nHome | About | Contact\nMore.")]).select(quality_rules.clean_lines(F.col("text"))).first()[0]
-    assert cleaned == "Fine line here.\nMore."
+    rows = [(10_001, good * 3), (10_002, "a | b | c | d | e | f | g | h | i | j | k | l"), (10_003, good + "\nAll rights reserved.\n" + good.upper()), (10_004, "WOW!! " * 3 + "BUY!! NOW!! THIS!! IS!! SO!! GOOD!! YES!! OK!!"),
+            (10_005, "Fine line here, and it has quite some words in it.\nHome | About | Contact\n\nMore of the same kind."), (10_005, None), (None, ""), (None, good)]
+    d = docs_of(spark, rows).unionByName(sample.select("doc_id", "text", "lang", "source", "n_chars")).withColumn("clean", F.lit(1)).withColumn("judged", F.lit(1))
+    kept = []
+    for x in quality_rules.quality_verdicts(d.select("text", F.struct("doc_id", "text").alias("doc_id"))).collect():
+        text = x.doc_id.text or ""
+        bad = [line_fails(k) for k in text.split("\n")]
+        lost = sum(len(re.sub(r"[\x20\x09-\x0D]", "", k)) for k, f in zip(text.split("\n"), bad, strict=True) if f)
+        clean = "\n".join(k for k, f in zip(text.split("\n"), bad, strict=True) if not f)
+        assert (x.lost_chars, x.clean, x.clean_chars) == (lost, clean, len(clean))
+        assert x.kept == (not x.base_failed and 100 * lost <= 60 * x.word_chars)
+        if x.kept:
+            kept.append((str(x.doc_id.doc_id), clean))
+    out = quality_rules.keep_quality(d)
+    assert out.columns == d.columns
+    assert sorted((str(x.doc_id), x.text) for x in out.collect()) == sorted(kept)
+    assert {t for i, t in kept if i in ("10003", "10005")} == {good + "\n" + good.upper(), "Fine line here, and it has quite some words in it.\n\nMore of the same kind."}
+    assert quality_rules.keep_quality(d.where("false")).count() == 0
 
 
 # 1: decontamination
