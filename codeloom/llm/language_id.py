@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import textnp
-from codeloom.llm.io import prepare
+from codeloom.llm.io import BROADCAST_IDS, materialise, prepare
 
 HIDDEN, CHUNK, BLOCK = 8, 128, 2048
-#: Bound of the training sample: documents of each language, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 1000
+#: Bound of the training sample: documents of each language, characters of each, and documents in all.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ROWS = 400, 1000, 200_000
 STEPS, TRAIN_BATCH, TRAIN_LENGTH = 350, 192, 48
 
 
@@ -201,19 +201,20 @@ def _scores(p: dict[str, np.ndarray], hidden: int, labels: list[str]):
 def training_sample(docs: DataFrame, per_label: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
     """A hashed sample of about `per_label` documents of each language, `chars` characters of each from a hashed place.
 
-    Only rows with a language whose crc32(doc_id) mod 4 is not 2 are taken. Of more than 512 languages the 512 most
-    frequent are learned, which bounds the sample.
+    Only rows with a language whose crc32(doc_id) mod 4 is not 2 are taken. With so many languages that the sample would
+    pass SAMPLE_ROWS rows, each has its even part of them. Repeated rows enter once.
     """
     known = docs.where("lang is not null and text is not null and text <> '' and crc32(cast(doc_id as string)) % 4 <> 2")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()
-    if not counts:
+    counts = materialise(known.groupBy("lang").agg(F.count("*").alias("n")))
+    n_labels = counts.count()
+    if not n_labels:
         return []
-    rate = F.lit(None)
-    for lang, n in counts:
-        rate = F.when(F.col("lang") == lang, min(1.0, per_label / n)).otherwise(rate)
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) / float(1 << 53)
+    per_label = max(1, min(per_label, SAMPLE_ROWS // n_labels))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(17)), 11) / float(1 << 53)
     place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.greatest(F.char_length("text") - chars, F.lit(1))) + 1
-    rows = known.where(u < rate).select("lang", F.substring("text", place.cast("int"), F.lit(chars)).alias("t"), u.alias("u"))
+    rows = known.select("lang", F.substring("text", place.cast("int"), F.lit(chars)).alias("t"), u.alias("u"))
+    rates = counts.select("lang", (per_label / F.col("n")).alias("rate"))
+    rows = rows.join(F.broadcast(rates) if n_labels <= BROADCAST_IDS else rates, "lang").where("u < rate").select("lang", "t", "u").distinct()
     taken: dict[str, list] = {}
     for lang, t, u_ in sorted((tuple(x) for x in rows.collect()), key=lambda x: (x[0], x[2], x[1])):
         taken.setdefault(lang, []).append((lang, t.encode()))

@@ -148,12 +148,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_
         return [], np.zeros(0), 0.0
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(31)), 11) / float(1 << 53)
     rate = {q: min(1.0, per_label / counts[q]) for q in counts}
-    picked = usable.where(u < F.when(F.col("quality") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0))))
+    picked = usable.where(u < F.when(F.col("quality") == 1, F.lit(rate.get(1, 0.0))).otherwise(F.lit(rate.get(0, 0.0)))).distinct()
     place = F.pmod(F.xxhash64("doc_id", F.lit(37)), F.greatest(F.char_length("text") - chars, F.lit(1))) + 1
-    # about 2 * per_label rows of two numbers: bounded by the rates
+    # about 2 * per_label rows of two numbers: bounded by the rates; rows that repeat one of them enter once
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(
         "doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), F.coalesce(place, F.lit(1)).cast("int"), F.lit(chars)).alias("t")
-    ).collect()
+    ).distinct().collect()
     rows.sort(key=lambda x: (x[0], x[1], x[2]))
     y = np.array([x[1] for x in rows], np.float32)
     lost = math.log(rate.get(0, 1.0) / rate.get(1, 1.0)) if len(counts) == 2 else 0.0

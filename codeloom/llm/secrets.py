@@ -24,10 +24,12 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: Tokens of the models: at least MIN_TOKEN of these characters, with two of lower case, upper case and digits.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-MIN_TOKEN, MARGIN = 20, 1.0
+MIN_TOKEN, MARGIN = 20, 1.5
 #: Bound of the training sample: about so many documents, characters of each from a hashed place, generated strings of each label.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_STRINGS = 500, 5000, 2000
 
+#: Ordinary words of a text: letters that are no part of a longer token.
+_WORD = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,30}(?![A-Za-z0-9+/_=-])")
 _CODE = np.full(256, len(ALPHABET), np.int64)
 _CODE[list(ALPHABET)] = np.arange(len(ALPHABET))
 _IS_HEX = np.zeros(256, bool)
@@ -152,7 +154,7 @@ def training_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> tuple[list[b
     rate = min(1.0, n_docs / max(1, known.count()))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(5)), 11) / float(1 << 53)
     place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    rows = known.where(u < rate).select(F.substring("text", F.coalesce(place, F.lit(1)).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), u.alias("u")).collect()
+    rows = known.where(u < rate).select(F.substring("text", F.coalesce(place, F.lit(1)).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"), u.alias("u")).distinct().collect()
     texts = [x.t for x in sorted(rows, key=lambda x: (x.u, x.t))]
     rng = np.random.default_rng(4)
     random, words = [], []
@@ -162,7 +164,7 @@ def training_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> tuple[list[b
         taken += [(m.start(), m.end(), m[0]) for m in ACCESS.finditer(raw) if len(m[0]) >= MIN_ACCESS]
         taken += [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[0-9a-f]{32,}", raw)]
         random += [x for *_, x in taken]
-        for m in re.finditer(rb"[A-Za-z]{2,}", raw):
+        for m in _WORD.finditer(raw):
             if len(words) < 50 * SAMPLE_STRINGS and not any(a <= m.start() < b for a, b, _ in taken):
                 words.append(m[0])
     words = words or [b"the", b"value", b"index", b"name", b"of"]

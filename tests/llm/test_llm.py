@@ -444,6 +444,35 @@ def test_markov_ratio():
     assert m.score(b"kJ8s0dLq2Zx9Vb3") > 0 > m.score(b"user_name_connection")
 
 
+def test_markov_spans_on_planted_documents(spark, sample):
+    """Held-out random strings and identifiers in ordinary text: what the models add, by precision and recall, with exact places."""
+    rng = random.Random(77)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [letters + letters.upper() + "0123456789", letters + letters.upper() + "0123456789-_", letters + "0123456789", letters.upper() + "234567"]
+    words = ("user name index connection manager factory config request response handler service data table column partition stream builder context session "
+             "server client local python packages modules parse format version release stable alpha").split()
+    rows, planted = [], {}
+    for i in range(900):
+        if i % 3:
+            some = [rng.choice(words) for _ in range(rng.randint(3, 5))]
+            token = rng.choice(["_".join(some).upper() + "2", "-".join(some) + "7", "".join(w.capitalize() for w in some), "/".join(some) + "1"])
+        else:
+            token = "".join(rng.choice(kinds[i % 4]) for _ in range(rng.randint(20, 44)))
+            token = "a7" + token.strip("-_") + "Z" if i % 4 < 2 else token
+        before = prose(rng, 12) + " é "
+        rows.append((i, f"{before}{token} {prose(rng, 9)}"))
+        planted[i] = f"markov:{len(before)}:{len(before) + len(token)}"
+    d = docs_of(spark, [*rows, *rows[:3], (None, None), (None, rows[0][1]), (5000, "word " * 100_000 + rows[0][1])]).withColumn("spans", F.lit(1))
+    found = secrets.scan_secrets(sample.select("doc_id", "text", "lang", "source", "n_chars").withColumn("spans", F.lit(1)).withColumn("doc_id", -1 - F.col("doc_id")).unionByName(d)).collect()
+    got = {x.doc_id: x for x in found}
+    hit = {i for i in planted if got[i].n_markov}
+    good = {i for i in planted if i % 3 == 0}
+    assert len(hit & good) >= 0.97 * len(good) and len(hit & good) >= 0.9 * len(hit)
+    assert sum(got[i].spans == planted[i] for i in hit & good) >= 0.95 * len(hit & good)
+    assert got[5000].n_markov == 1 and sum(x.doc_id in (0, 1, 2) for x in found) == 6 and sum(x.doc_id is None for x in found) == 2
+    assert secrets.scan_secrets(d.where("false")).count() == 0
+
+
 # 5: html
 
 
