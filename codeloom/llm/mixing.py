@@ -156,22 +156,27 @@ def _position(epoch, seed: int):
 
 
 def _placed(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """The rows of `docs` as _row, once for each run of their source, with _p: (epoch, block, position, weight)."""
+    """The rows of `docs` as _row, once for each run of their source, with _p: (epoch, block, position, weight, due).
+
+    due is the part of its source's tokens at which a block begins: blocks of all sources in its order keep the weights
+    at every point.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", _key(docs).alias("key"))
-    rows = _of(rows, plan, "full", "cut", "block_bits", "weight")
+    rows = _of(rows, plan, "full", "cut", "block_bits", "weight", "epochs")
     last = F.when(_position(F.lit(-1), seed) <= F.col("cut"), F.array(F.col("full"))).otherwise(F.array().cast("array<long>"))
     whole = F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).otherwise(F.array().cast("array<long>"))
     rows = rows.select("*", F.explode(F.concat(whole, last)).alias("epoch"))
     u = _position(F.when(F.col("epoch") == F.col("full"), F.lit(-1)).otherwise(F.col("epoch").cast("int")), seed)
     rows = rows.withColumn("position", u)
-    block = F.expr(f"shiftright(position, {_U_BITS} - block_bits)")
-    return rows.select("_row", F.struct("epoch", block.alias("block"), "position", "weight").alias("_p"))
+    rows = rows.withColumn("block", F.expr(f"shiftright(position, {_U_BITS} - block_bits)"))
+    due = (F.col("epoch") + F.col("block") / F.pow(F.lit(2.0), F.col("block_bits"))) / F.col("epochs")
+    return rows.select("_row", "key", F.struct("epoch", "block", "position", "weight", due.alias("due")).alias("_p"))
 
 
 def mixture(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
-    """The mixed order: doc_id, source, n_tokens, epoch, block, position, weight, a row for each use of a document.
+    """The mixed order: doc_id, source, n_tokens, epoch, block, position, weight, due, a row for each use of a document.
 
-    Reading by epoch, block and position gives each source's permutations. A null source is a source of its
+    Reading by epoch, block and position gives each source's permutations; reading blocks by due mixes the sources. A null source is a source of its
     own; null and empty texts have no tokens and are used in every whole run; repeated rows fall on one
     position and are used together; sources without tokens run once; an empty table gives an empty result.
     """
@@ -181,5 +186,11 @@ def mixture(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
-    """The mixed documents with the columns of `docs`: a row appears once for each use."""
-    return _placed(docs, source_plan(docs, seed=seed, **options), seed).select("_row.*")
+    """The mixed documents with the columns of `docs`, in mixed order: a row appears once for each use.
+
+    Rows are sorted by the share of its source at which their block begins, then source and position, so any stretch of the
+    output (and of the files it is written to) has the weights to within a block a source. Nulls, empty texts, repeated
+    rows and empty tables are as in `mixture`.
+    """
+    placed = _placed(docs, source_plan(docs, seed=seed, **options), seed)
+    return placed.orderBy("_p.due", "key", "_p.epoch", "_p.position").select("_row.*")

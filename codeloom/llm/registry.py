@@ -38,7 +38,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of each document: doc_id, shard_id, depth, n_bytes."""
-    return sharding.shard_map(table(spark, sf_dir, "documents"))
+    return sharding.shard_map(table(spark, sf_dir, "documents"), limit=sharding.QUERY_LIMIT)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,10 @@ from pyspark.sql import Window as W
 from codeloom.llm.io import materialise
 
 LIMIT_BYTES = 32 << 20
+#: The limit of the registered query: small, so that a few megabytes of documents split too.
+QUERY_LIMIT = 256 << 10
+#: Parts into which the equal rows of an overflowing bucket are dealt to be numbered.
+OVERFLOW_PARTS = 1024
 BITS = 32
 #: Directory entries broadcast at most; a larger directory is joined by a shuffle.
 BROADCAST_ENTRIES = 500_000
@@ -68,7 +72,7 @@ def _assigned(docs: DataFrame, limit: int) -> DataFrame:
     found = directory(docs, limit)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _bits().alias("bits"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.spark_partition_id().alias("pid"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
     )
     depths = sorted(x[0] for x in found.select("bin_depth").distinct().collect())
     parts = None
@@ -84,12 +88,20 @@ def _assigned(docs: DataFrame, limit: int) -> DataFrame:
     )
     if found.where(F.col("depth") > BITS).isEmpty():
         return normal
-    # pages of one bucket's documents, dealt out per input partition: no page grows with the bucket
-    w = W.partitionBy("bits", "pid")
-    step = F.greatest(F.lit(limit) - F.max("n_bytes").over(w), F.lit(1))
-    before = F.sum("n_bytes").over(w.orderBy("n_bytes").rowsBetween(W.unboundedPreceding, -1))
-    pages = parts.where(F.col("depth") > BITS).withColumn("page", F.floor(F.coalesce(before, F.lit(0)) / step))
-    shard = F.concat_ws("-", _prefix(F.col("bits"), F.lit(BITS)), F.concat(F.lit("p"), F.col("pid")), F.col("page"))
+    # equal rows are dealt into parts, so no task numbers all of them; rows of a part differ in nothing that pages depend on
+    over = materialise(parts.where(F.col("depth") > BITS).select(
+        "_row", "bits", "n_bytes", F.xxhash64("_row.doc_id", "_row.text").alias("h"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(OVERFLOW_PARTS)).alias("part"),
+    ))
+    sizes = over.groupBy("bits", "h", "part").agg(F.count("*").alias("n"), F.max("n_bytes").alias("each"))
+    w = W.partitionBy("bits")
+    before = F.coalesce(F.sum(F.col("n") * F.col("each")).over(w.orderBy("h", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("bits", "h", "part", before.alias("before"), F.greatest(F.lit(limit) - F.max("each").over(w), F.lit(1)).alias("step"))
+    nth = F.row_number().over(W.partitionBy("bits", "h", "part").orderBy("n_bytes")) - 1
+    pages = over.withColumn("nth", nth).join(starts, ["bits", "h", "part"]).withColumn(
+        "page", F.floor((F.col("before") + F.col("nth") * F.col("n_bytes")) / F.col("step"))
+    )
+    shard = F.concat_ws("-p", _prefix(F.col("bits"), F.lit(BITS)), F.col("page"))
     return normal.unionByName(pages.select("_row", F.struct(shard.alias("shard_id"), F.lit(BITS).alias("depth"), "n_bytes").alias("_s")))
 
 
@@ -97,20 +109,21 @@ def shard_map(docs: DataFrame, *, limit: int = LIMIT_BYTES) -> DataFrame:
     """One row per row of `docs`: doc_id, shard_id (the prefix bits; empty for a single shard), depth, n_bytes.
 
     n_bytes are UTF-8 bytes of the text (null: 0). A document over the limit is a shard of its own. Rows
-    that share all 32 bits (repeated rows) and exceed the limit together go to overflow pages, which end in
-    the input partition and page. A null doc_id hashes as the word null. An empty table gives no rows.
+    that share all 32 bits (repeated rows) and exceed the limit together go to overflow pages -p0, -p1 and so on; they
+    are filled in order of a hash of doc_id and text, whatever the partitions, so a page has the same documents in
+    every run. A null doc_id hashes as the word null. An empty table gives no rows.
     """
     return _assigned(docs.select("doc_id", "text"), limit).select("_row.doc_id", "_s.*")
 
 
 def shard(docs: DataFrame, *, limit: int = LIMIT_BYTES) -> DataFrame:
-    """The rows of `docs` with their shard_id."""
+    """The rows of `docs` with their shard_id, as in `shard_map`; an incoming column of that name, in any case, is replaced."""
     kept = [c for c in docs.columns if c.lower() != "shard_id"]
     return _assigned(docs.select(*[F.col(f"`{c}`") for c in kept]), limit).select("_row.*", "_s.shard_id")
 
 
 def write_shards(docs: DataFrame, path: str, *, limit: int = LIMIT_BYTES) -> None:
-    """Writes one folder of Parquet per shard."""
+    """Writes one folder of Parquet per shard; a shard is at most `limit` bytes, or one document. An empty table gives an empty folder."""
     shard(docs, limit=limit).repartition("shard_id").write.partitionBy("shard_id").parquet(path)
 
 
@@ -124,7 +137,7 @@ WITH d AS (
   SELECT doc_id, n_bytes, bits, r.depth, bits >> ({BITS} - r.depth) AS p
   FROM d, (SELECT CAST(range AS INTEGER) AS depth FROM range(0, {BITS} + 1)) r
 ), fits AS (
-  SELECT depth, p FROM up GROUP BY depth, p HAVING sum(n_bytes) <= {LIMIT_BYTES}
+  SELECT depth, p FROM up GROUP BY depth, p HAVING sum(n_bytes) <= {QUERY_LIMIT}
 ), pick AS (
   SELECT up.doc_id, up.n_bytes, up.bits, min(up.depth) AS depth FROM up JOIN fits USING (depth, p) GROUP BY ALL
 )

@@ -287,6 +287,30 @@ def test_mixing_weights_and_budget(spark):
     assert sorted((x.doc_id, x.epoch) for x in blocks.collect()) == sorted((x.doc_id, x.epoch) for x in m.collect())
 
 
+def test_mixed_order_keeps_the_weights_everywhere(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 20), "en", s, 0) for i, s in enumerate(["big"] * 900 + ["mid"] * 300 + ["tiny"] * 60)]
+    rows += [(5000, None, "en", None, 0), (5001, "", "en", "mid", 0), (5001, "", "en", "mid", 0)]
+    d = spark.createDataFrame(rows, DOCS).withColumn("due", F.lit("x")).repartition(5)
+    uses = mixing.mixture(d, repeats=2.0, block_tokens=200)
+    order = [tuple(x) for x in uses.orderBy("due", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "epoch", "position").select("doc_id", "source").collect()]
+    got = [(x.doc_id, x.source) for x in mixing.mix(d, repeats=2.0, block_tokens=200).collect()]
+    assert [i for i, _ in got] == [i for i, _ in order] and mixing.mix(d).columns == d.columns
+    tokens = {x.source: x.t for x in uses.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    total = sum(tokens.values())
+    for cut in (len(got) // 4, len(got) // 2):
+        part = Counter()
+        for _, s in got[:cut]:
+            part[s] += 20
+        for s in ("big", "mid", "tiny"):
+            assert abs(part[s] / sum(part.values()) - tokens[s] / total) < 0.08
+    # one position of a source is one document in each of its whole permutations
+    for s in ("big", "mid", "tiny"):
+        e = uses.where(F.col("source") == s).groupBy("epoch").agg(F.count("*").alias("n"), F.countDistinct("position").alias("p"), F.countDistinct("doc_id").alias("i")).collect()
+        assert all(x.p == x.i for x in e)
+    assert mixing.mix(d.where("false")).count() == 0
+
+
 def test_mixing_entropy_target(spark):
     rows = [(i, "w " * 10, "en", s, 0) for i, s in enumerate(["a"] * 80 + ["b"] * 15 + ["c"] * 5)]
     plan = mixing.source_plan(spark.createDataFrame(rows, DOCS), entropy=0.9).collect()
@@ -330,6 +354,8 @@ def test_sharding_overflow_pages(spark):
     d = docs_of(spark, [(7, "x" * 100)] * 50 + [(8, "y" * 5000), (None, "n")])
     r = sharding.shard_map(d, limit=1000).groupBy("shard_id").agg(F.sum("n_bytes").alias("b"), F.max("n_bytes").alias("m")).collect()
     assert sum(x.b for x in r) == 10_001 and all(x.b <= 1000 or x.b == x.m for x in r)
+    pages = [sorted((x.shard_id, x.n_bytes) for x in sharding.shard_map(d.repartition(n), limit=1000).collect()) for n in (1, 5)]
+    assert pages[0] == pages[1] and len(pages[0]) == 52
 
 
 # 2 and 10: classifiers
