@@ -230,6 +230,54 @@ def test_decontamination(spark):
     assert {(x.doc_id, x.item_id) for x in blocks.collect()} == {(x.doc_id, x.item_id) for x in r}
 
 
+def substring_distances(pattern, text):
+    """The least edits that make `pattern` a substring of `text`, all columns of a row at a time."""
+    text = np.frombuffer(text, np.uint8)
+    prev, steps = np.zeros(len(text) + 1, int), np.arange(len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        row = np.r_[i, np.minimum(prev[:-1] + (text != c), prev[1:] + 1)]
+        prev = np.minimum.accumulate(row - steps) + steps
+    return int(prev.min())
+
+
+def test_every_window_against_every_document(spark):
+    rng = random.Random(15)
+    plain = lambda t: "".join(c for c in t.lower() if c.isalnum()).encode()
+    items = [(k, prose(rng, rng.choice([4, 12, 40]))) for k in range(12)]
+    docs = []
+    for i in range(60):
+        t = list(rng.choice(items)[1])
+        lo = rng.randrange(max(1, len(t) - 90))
+        t = t[lo:lo + 90]
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9])):
+            at = rng.randrange(len(t))
+            t[at:at + 1] = rng.choice([[], [rng.choice("xyz")], [t[at], rng.choice("xyz")]])
+        docs.append((i, f"{prose(rng, 9)} {''.join(t)} {prose(rng, 9)}"))
+    want = set()
+    bench = decontaminate.Benchmark([k for k, _ in items], [t for _, t in items])
+    for k, s, size, budget, _ in bench.windows:
+        pattern = bench.data[s:s + size].tobytes()
+        want |= {(i, items[k][0]) for i, t in docs if substring_distances(pattern, plain(t)) <= budget}
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs_of(spark, docs).repartition(3), b).collect()}
+    assert got == want and 10 < len(want)
+
+
+def test_a_prompt_of_very_many_items_is_compared_once(spark):
+    rng = random.Random(16)
+    prompt = "Answer the following question with one of the given choices and explain your reasoning: "
+    own = [prose(rng, 25) for _ in range(5_000)]
+    items = spark.createDataFrame([(k, prompt + t) for k, t in enumerate(own)], "item_id long, text string")
+    rows = [(1, (prompt + "\n") * 400), (2, f"{prose(rng, 20)} {own[77]} {prose(rng, 5)}"), (3, prose(rng, 300)), (4, prompt + own[5]), (None, own[9]), (2, "clean"), (6, None), (7, "")]
+    d = docs_of(spark, [*rows, rows[1]]).withColumn("_key", F.lit(1)).withColumn("item_id", F.lit(1))
+    got = sorted((str(x.doc_id), x.item_id) for x in decontaminate.contaminated(d, items).collect())
+    assert [x for x in got if x[0] in ("2", "None")] == [("2", 77), ("2", 77), ("None", 9)]
+    # the prompt and its first letters of an answer, which many items have too, are each found for one item
+    assert {i for i, _ in got} == {"1", "2", "4", "None"} and ("1", 0) in got and ("4", 5) in got and len(got) < 400
+    kept = decontaminate.drop_contaminated(d, items)
+    assert kept.columns == d.columns and sorted((x.doc_id, x.text or "") for x in kept.collect()) == sorted([(2, "clean"), (3, rows[2][1]), (6, ""), (7, "")])
+
+
 def test_banded_distance_is_edit_distance():
     rng = random.Random(2)
 
