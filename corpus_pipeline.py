@@ -7,14 +7,16 @@ written as Parquet and read again for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
 from codeloom.llm.io import materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality_rules.keep_quality(docs)
+    """Documents that pass the quality rules, without the lines that fail them; n_chars counts what is left."""
+    kept = quality_rules.keep_quality(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +30,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to twice."""
+    """Every document at least once, those of small sources up to twice, in mixed order."""
     return mixing.mix(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the shard that each belongs to."""
+    """The documents with the shard that each belongs to, in the order in which they came."""
     return sharding.shard(docs)
 
 
@@ -45,11 +47,12 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-#: Near-duplicate links and the bisected exponent have no plain SQL form; tests hold run() against brute force.
+#: Near-duplicate links and the bisected exponent have no plain SQL form; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents. Null and empty texts fail the quality rules; of rows that repeat one stays; ids and sources may be null; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
