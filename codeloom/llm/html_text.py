@@ -351,13 +351,14 @@ def extract_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(
         "page_id", "url", html.alias("html"), F.xxhash64(host).alias("host"), F.xxhash64(host, html).alias("k1"), F.xxhash64(html, host, F.lit(1)).alias("k2")
     )
-    parsed = materialise(rows.mapInArrow(
+    # parsing again costs less than keeping the blocks of all pages on disk
+    parsed = rows.mapInArrow(
         _parse, "page_id long, url string, host long, k1 long, k2 long, texts array<string>, states array<int>"
-    ))
+    )
     runs = materialise(_repeated_runs(parsed))
     # contents of which there are very many copies are few; they are joined by themselves
-    copies = parsed.groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    hot = materialise(copies.where(F.col("n") > F.greatest(F.lit(1000), F.lit(parsed.count() / HOT_SHARE))).select("k1", "k2"))
+    copies = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    hot = materialise(copies.where(F.col("n") > max(1000, rows.count() / HOT_SHARE)).select("k1", "k2"))
     if hot.isEmpty():
         joined = parsed.join(runs, ["k1", "k2"], "left")
     else:
