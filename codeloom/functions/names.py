@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,9 +76,21 @@ def json_list(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case Latin letters with one mark, and the letters without it, by their decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xE0, 0x250)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and "a" <= d[0] <= "z" and c == c.lower()]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def fold(text: Column) -> Column:
+    """Lower case, Latin letters without their marks."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{M}", ""), *_plain_letters())
+
+
 def normal_tokens(text: Column) -> Column:
-    """Lower-case alphanumeric runs, diacritics kept."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Folded alphanumeric runs."""
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def register_functions(spark) -> None:

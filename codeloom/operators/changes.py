@@ -44,29 +44,64 @@ def hunk_overlaps(hunks: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = (
     return both.select("file", "start", "count", "qname").distinct()
 
 
-def uncovered_hunks(hunks: DataFrame, overlaps: DataFrame) -> DataFrame:
-    return hunks.join(overlaps, ["file", "start", "count"], "left_anti").select("file", "start", "count")
+#: Kinds whose lines cover a hunk.
+COVERING = ("function", "method", "class")
+
+
+def uncovered_hunks(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hunks that meet no function, method or class."""
+    return hunks.join(hunk_overlaps(hunks, nodes, COVERING), ["file", "start", "count"], "left_anti").select("file", "start", "count")
 
 
 def changed_symbols(overlaps: DataFrame) -> DataFrame:
     return overlaps.groupBy("qname", "file").agg(F.count("*").alias("n_hunks"))
 
 
-def change_summary(numstat: DataFrame, changed: DataFrame, uncovered: DataFrame) -> DataFrame:
-    """One row of totals."""
+def uncovered_changes(hunks: DataFrame, numstat: DataFrame, deleted: DataFrame, nodes: DataFrame, told: DataFrame) -> DataFrame:
+    """file, start, count, deleted: every change that no symbol accounts for.
+
+    Those are uncovered hunks of surviving files, files that changed without hunks (binary, renamed) and deleted files, both
+    with null lines. Files of `told` (file), whose deletions are reported otherwise, are left out of the last two.
+    """
+    told, gone = told.select("file").distinct(), deleted.select("file").distinct()
+    live = hunks.join(gone, "file", "left_anti")
+    lines = uncovered_hunks(live, nodes).select("file", "start", "count", F.lit(0).alias("deleted"))
+    none = F.lit(None).cast("long")
+    files = numstat.select("file").union(hunks.select("file")).distinct().join(told, "file", "left_anti")
+    bare = files.join(gone, "file", "left_anti").join(hunks.select("file").distinct(), "file", "left_anti").select("file", none.alias("start"), none.alias("count"), F.lit(0).alias("deleted"))
+    whole = files.join(gone, "file", "left_semi").select("file", none.alias("start"), none.alias("count"), F.lit(1).alias("deleted"))
+    return lines.unionByName(bare).unionByName(whole)
+
+
+def changed_functions(hunks: DataFrame, deleted: DataFrame, nodes: DataFrame, risks: DataFrame) -> DataFrame:
+    """qname, kind, file, start_line, end_line, risk of the functions, methods and classes that a hunk of a surviving file meets."""
+    live = hunks.join(deleted.select("file"), "file", "left_anti")
+    met = hunk_overlaps(live, nodes, COVERING).select("qname").distinct()
+    shown = nodes.join(met, "qname", "left_semi").select("qname", "kind", "file", "start_line", "end_line")
+    return shown.join(risks.select("qname", "risk"), "qname", "left").na.fill(50, ["risk"])
+
+
+def change_summary(numstat: DataFrame, functions: DataFrame, uncovered: DataFrame, stones: DataFrame) -> DataFrame:
+    """One row of totals: files, lines, changed functions, files with uncovered changes, deleted functions."""
     return numstat.agg(
         F.count("*").alias("files_changed"), F.coalesce(F.sum("added"), F.lit(0)).alias("lines_added"), F.coalesce(F.sum("removed"), F.lit(0)).alias("lines_removed")
-    ).crossJoin(changed.agg(F.countDistinct("qname").alias("changed_functions"))).crossJoin(uncovered.agg(F.count("*").alias("uncovered_changes")))
+    ).crossJoin(functions.agg(F.count("*").alias("changed_functions"))).crossJoin(uncovered.agg(F.countDistinct("file").alias("uncovered_changes"))).crossJoin(
+        stones.agg(F.count("*").alias("delete_change"))
+    )
+
+
+def deletion_candidates(stones: DataFrame, numstat: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Tombstones of deleted files and of files that lost lines."""
+    files = deleted.select("file").union(numstat.where("removed > 0").select("file")).distinct()
+    return stones.join(files, "file", "left_semi")
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """path, status (added, changed, deleted) by a full outer join of path, stamp, hash; equal stamps count as unchanged without a look at the hash."""
-    j = old.select("path", F.col("stamp").alias("stamp0"), F.col("hash").alias("hash0"), F.lit(1).alias("had")).join(
-        new.select("path", F.col("stamp").alias("stamp1"), F.col("hash").alias("hash1"), F.lit(1).alias("has")), "path", "full_outer"
-    )
-    status = F.when(F.col("had").isNull(), "added").when(F.col("has").isNull(), "deleted").when(
-        (F.abs(F.col("stamp0") - F.col("stamp1")) > 1e-6) & ~F.col("hash0").eqNullSafe(F.col("hash1")), "changed"
-    )
+    """path, status (added, changed, deleted) by a full outer join of path, stamp, size, hash; files of equal stamp and size are unchanged without a look at the hash."""
+    side = lambda d, n: d.select("path", *[F.col(c).alias(f"{c}{n}") for c in ("stamp", "size", "hash")], F.lit(1).alias(f"has{n}"))
+    j = side(old, 0).join(side(new, 1), "path", "full_outer")
+    same = (F.abs(F.col("stamp0") - F.col("stamp1")) < 1e-6) & (F.col("size0") == F.col("size1"))
+    status = F.when(F.col("has0").isNull(), "added").when(F.col("has1").isNull(), "deleted").when(~same & ~F.col("hash0").eqNullSafe(F.col("hash1")), "changed")
     return j.select("path", status.alias("status")).where("status IS NOT NULL")
 
 

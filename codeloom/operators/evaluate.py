@@ -87,17 +87,28 @@ def match_sizes(pairs: DataFrame) -> DataFrame:
                 to.setdefault(x["pred"], []).append(x["gold"])
             owner: dict = {}
 
-            def place(p, seen) -> bool:
-                # an augmenting path from a free prediction
-                for g in to[p]:
-                    if g not in seen:
+            def place(start) -> bool:
+                # an augmenting path from a free prediction, by a stack of (prediction, golds to try)
+                seen, path, stack = set(), [], [(start, iter(to[start]))]
+                while stack:
+                    p, golds = stack[-1]
+                    for g in golds:
+                        if g in seen:
+                            continue
                         seen.add(g)
-                        if g not in owner or place(owner[g], seen):
-                            owner[g] = p
+                        path.append((g, p))
+                        if g not in owner:
+                            owner.update(path)
                             return True
+                        stack.append((owner[g], iter(to[owner[g]])))
+                        break
+                    else:
+                        stack.pop()
+                        if path and stack:
+                            path.pop()
                 return False
 
-            return sum(place(p, set()) for p in sorted(to))
+            return sum(place(p) for p in sorted(to))
 
         for pdf in batches:
             yield pd.DataFrame({"run": pdf["run"], "matched": [matched(x) for x in pdf["found"]]})

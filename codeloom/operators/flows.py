@@ -14,9 +14,11 @@ from codeloom.operators.graph import is_traversable
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; a local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-codeloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -30,45 +32,64 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-def entry_nodes(nodes: DataFrame, edges: DataFrame, names: list[str], decorators: list[str]) -> DataFrame:
-    """Functions and methods whose short name or decorator matches a glob, or that no traversable call enters.
+#: Levels after which the visited nodes are written as one table.
+MERGE = 16
+
+
+def is_entry(names: list[str], decorators: list[str]) -> Column:
+    """Whether a node of any kind is a declared entry: its short name or any of its decorators matches a glob."""
+    decorated = F.coalesce(F.exists("decorators", lambda d: glob_match(d, decorators)), F.lit(False))
+    return glob_match(short(F.col("qname")), names) | decorated
+
+
+def traversable_calls(edges: DataFrame, rules: dict[str, bool] | None = None) -> DataFrame:
+    """Resolved calls, and semantic ones by a registered rule."""
+    rule = F.col("rule_id") if "rule_id" in edges.columns else None
+    return edges.where((F.col("kind") == "call") & is_traversable(F.col("resolution"), rule, rules))
+
+
+def entry_nodes(nodes: DataFrame, edges: DataFrame, names: list[str], decorators: list[str], rules: dict[str, bool] | None = None) -> DataFrame:
+    """Functions and methods that are declared entries, or that no traversable call enters: qname, named.
 
     Self-loops and calls from unknown sources enter too, so a cycle that nothing else calls has no entry.
     """
-    entered = edges.where((F.col("kind") == "call") & is_traversable(F.col("resolution"))).select(F.col("target").alias("qname")).distinct()
+    entered = traversable_calls(edges, rules).select(F.col("target").alias("qname")).distinct()
     n = nodes.where("kind IN ('function', 'method')").join(entered.withColumn("entered", F.lit(1)), "qname", "left")
-    named = glob_match(short(F.col("qname")), names) | F.coalesce(glob_match(F.col("decorator"), decorators), F.lit(False))
+    named = is_entry(names, decorators)
     return n.where(named | F.col("entered").isNull()).select("qname", named.cast("int").alias("named"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
+def adjacency(edges: DataFrame, rules: dict[str, bool] | None = None) -> DataFrame:
     """Traversable calls as src, dst, ord with the first ord of parallel edges."""
-    calls = edges.where((F.col("kind") == "call") & is_traversable(F.col("resolution")))
-    return calls.groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.min("ord").alias("ord"))
+    return traversable_calls(edges, rules).groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.min("ord").alias("ord"))
 
 
-def build_flows(entries: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+def build_flows(entries: DataFrame, edges: DataFrame, max_depth: int | None = None, rules: dict[str, bool] | None = None) -> DataFrame:
     """entry, node, position, depth: what each entry reaches, in the order of a first-in-first-out search.
 
     The search goes level by level for all entries at once. A node found twice on a level keeps the smaller (position of
     its parent, ord of the edge); new nodes of a level are numbered in that order after all earlier ones, which is
-    the order in which a queue would take them. Cycles end as visited nodes are not found again.
+    the order in which a queue would take them. Cycles end as visited nodes are not found again. Rows carry the last
+    position of their flow, so no level counts the earlier ones; every MERGE levels the visited are written as one table.
     """
-    adj = saved(adjacency(edges))
-    level = saved(entries.select(F.col("qname").alias("entry"), F.col("qname").alias("node"), F.lit(0).cast("long").alias("position"), F.lit(0).alias("depth")))
-    visited, depth = [level], 0
-    done = level
+    adj = saved(adjacency(edges, rules))
+    zero = F.lit(0).cast("long")
+    level = saved(entries.select(F.col("qname").alias("entry"), F.col("qname").alias("node"), zero.alias("position"), F.lit(0).alias("depth"), zero.alias("top")))
+    done, depth = level.drop("top"), 0
     while (max_depth is None or depth < max_depth) and not level.isEmpty():
         depth += 1
         found = level.join(adj, F.col("node") == F.col("src")).groupBy("entry", F.col("dst").alias("node")).agg(
-            F.min(F.struct("position", "ord", "dst")).alias("at")
+            F.min(F.struct("position", "ord", "dst")).alias("at"), F.max("top").alias("top")
         ).join(done.select("entry", "node"), ["entry", "node"], "left_anti")
-        start = done.groupBy("entry").agg(F.max("position").alias("top"))
         # one entry's new nodes of one level are ranked together
-        rank = F.row_number().over(W.partitionBy("entry").orderBy("at"))
-        level = saved(found.join(start, "entry").select("entry", "node", (F.col("top") + rank).alias("position"), F.lit(depth).alias("depth")))
-        visited.append(level)
-        done = done.unionByName(level)
+        w = W.partitionBy("entry")
+        level = saved(found.select(
+            "entry", "node", (F.col("top") + F.row_number().over(w.orderBy("at"))).alias("position"), F.lit(depth).alias("depth"),
+            (F.col("top") + F.count("*").over(w)).alias("top"),
+        ))
+        done = done.unionByName(level.drop("top"))
+        if depth % MERGE == 0:
+            done = saved(done)
     return done
 
 
@@ -82,13 +103,18 @@ def flow_stats(flows: DataFrame, nodes: DataFrame) -> DataFrame:
 def slices(flows: DataFrame, symbols: DataFrame, keep: Column, cap: int = 20) -> DataFrame:
     """symbol, entry, direction, node, position: the last `cap` nodes before and the first `cap` after a symbol in each flow.
 
-    The symbol is placed in the whole flow; `keep` (over the flow's columns) filters before the cap.
+    The symbol is placed in the whole flow; `keep` (over the flow's columns) filters before the cap. Kept nodes are
+    numbered, and a symbol asks for the numbers around its own, so a flow of n nodes makes no n * n rows.
     """
-    pivot = flows.join(symbols.select(F.col("qname").alias("node")), "node", "left_semi").select(
-        "entry", F.col("node").alias("symbol"), F.col("position").alias("at")
-    )
-    around = flows.where(keep).join(pivot, "entry").where("position <> at").withColumn(
-        "direction", F.when(F.col("position") < F.col("at"), "up").otherwise("down")
+    kept = F.coalesce(keep, F.lit(False)).cast("int")
+    before = F.coalesce(F.sum(kept).over(W.partitionBy("entry").orderBy("position").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = flows.select("entry", "node", "position", kept.alias("kept"), before.alias("nth"))
+    pivot = placed.join(symbols.select(F.col("qname").alias("node")).distinct(), "node", "left_semi")
+    ask = lambda lo, hi, side: F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("nth"), F.lit(side).alias("direction")))
+    nth, after = F.col("nth"), F.col("nth") + F.col("kept")
+    asked = pivot.select("entry", F.col("node").alias("symbol"), F.explode(F.concat(
+        ask(nth - cap, nth - 1, "up"), ask(after, after + cap - 1, "down")
+    )).alias("x")).select("entry", "symbol", "x.*")
+    return asked.join(placed.where("kept = 1").select("entry", "nth", "node", "position"), ["entry", "nth"]).select(
+        "symbol", "entry", "direction", "node", "position"
     )
-    near = F.row_number().over(W.partitionBy("symbol", "entry", "direction").orderBy(F.abs(F.col("position") - F.col("at"))))
-    return around.withColumn("rank", near).where(F.col("rank") <= cap).select("symbol", "entry", "direction", "node", "position")

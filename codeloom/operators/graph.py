@@ -76,12 +76,26 @@ def symbol_detail(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def coverage(edges: DataFrame) -> DataFrame:
-    """Call edges around each symbol by resolution, in five fixed counts, and whether an end is cut short."""
-    d = edges.where("kind = 'call'").select(F.explode(F.array_distinct(F.array("source", "target"))).alias("symbol"), "resolution")
+#: Why an edge is uncertain, and the order in which uncertain edges are shown (fixed values).
+REASONS = {
+    "dynamic": "receiver type not statically known", "candidate": "one of several possible targets",
+    "unresolved": "target not found in repo", "external": "external dependency",
+}
+
+
+def _ends(edges: DataFrame, *columns: str) -> DataFrame:
+    """Each edge once for each of its symbols; a self-loop counts once."""
+    return edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("symbol"), *columns)
+
+
+def coverage(edges: DataFrame, cap: int = CAP) -> DataFrame:
+    """Call edges around each symbol by resolution, in five fixed counts; truncated if `cap` or more edges of any kind are uncertain."""
+    d = _ends(edges, "kind", "resolution")
     names = ("resolved", "semantic", "candidate", "dynamic", "unresolved")
-    d = d.groupBy("symbol").agg(*[F.count_if(F.col("resolution") == n).alias(f"{n}_edges") for n in names])
-    return d.withColumn("truncated", (F.col("candidate_edges") + F.col("dynamic_edges") + F.col("unresolved_edges") > 0).cast("int"))
+    return d.groupBy("symbol").agg(
+        *[F.count_if((F.col("kind") == "call") & (F.col("resolution") == n)).alias(f"{n}_edges") for n in names],
+        (F.count_if(F.col("resolution") != "resolved") >= cap).cast("int").alias("truncated"),
+    )
 
 
 def resolution_rate(edges: DataFrame) -> DataFrame:
@@ -95,14 +109,20 @@ def resolution_rate(edges: DataFrame) -> DataFrame:
 
 
 def uncertainty(edges: DataFrame, cap: int = CAP) -> DataFrame:
-    """The unresolved edges of each symbol, the most telling first: symbol, rank, source, target, resolution, truncated."""
-    e = edges.where("resolution <> 'resolved'").select(
-        F.explode(F.array_distinct(F.array("source", "target"))).alias("symbol"), "source", "target", "resolution", "ord"
-    )
-    weight = F.when(F.col("resolution") == "semantic", 0).when(F.col("resolution") == "candidate", 1).when(F.col("resolution") == "dynamic", 2).otherwise(3)
+    """The uncertain edges of any kind around each symbol, dynamic ones first: symbol, rank, source, expression, resolution, rule_id, reason, truncated.
+
+    Of one label the order is by source, then edge. truncated is set where the list reached `cap`.
+    """
+    e = _ends(edges.where("resolution <> 'resolved'"), "source", "target", "resolution", "rule_id", "ord")
+    weight, reason = F.lit(len(REASONS)), F.lit("uncertain edge")
+    for k, (label, text) in enumerate(REASONS.items()):
+        weight, reason = F.when(F.col("resolution") == label, k).otherwise(weight), F.when(F.col("resolution") == label, text).otherwise(reason)
     w = W.partitionBy("symbol")
     e = e.withColumn("rank", F.row_number().over(w.orderBy(weight, "source", "ord", "target")).cast("long")).where(F.col("rank") <= cap)
-    return e.withColumn("truncated", (F.max("rank").over(w) >= cap).cast("int")).select("symbol", "rank", "source", "target", "resolution", "truncated")
+    return e.select(
+        "symbol", "rank", "source", F.col("target").alias("expression"), "resolution", "rule_id", reason.alias("reason"),
+        (F.max("rank").over(w) >= cap).cast("int").alias("truncated"),
+    )
 
 
 def top_degree(edges: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,47 +41,61 @@ def affected_entries(flows: DataFrame, nodes: DataFrame, symbols: DataFrame, tes
     ).join(ok, "entry", "left_semi").distinct()
 
 
-def test_impact(entries: DataFrame, direct: DataFrame, nodes: DataFrame) -> DataFrame:
-    """test, file, n_covers, covers: tests among affected entries or callers, with the symbols that each covers."""
+def covers(entries: DataFrame, direct: DataFrame, flow_slices: DataFrame, nodes: DataFrame) -> DataFrame:
+    """test, symbol: the tests that reach each symbol, as entries of its flows, as callers, or before it in a flow."""
     hits = entries.select(F.col("entry").alias("test"), "symbol").unionByName(
         direct.where("direction = 'in'").select(F.col("other").alias("test"), "symbol")
-    ).distinct()
+    ).unionByName(flow_slices.where("direction = 'up'").select(F.col("node").alias("test"), "symbol"))
+    return hits.join(nodes.where("is_test = 1").select(F.col("qname").alias("test")), "test", "left_semi").distinct()
+
+
+def test_impact(covered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """test, file, n_covers, covers: the tests to run, with the symbols that each covers."""
     tests = nodes.where("is_test = 1").select(F.col("qname").alias("test"), "file")
-    return hits.join(tests, "test").groupBy("test", "file").agg(
+    return covered.join(tests, "test").groupBy("test", "file").agg(
         F.count("*").alias("n_covers"), F.concat_ws(",", F.sort_array(F.collect_list("symbol"))).alias("covers")
     )
 
 
-def test_impact_flags(symbols: DataFrame, nodes: DataFrame, entries: DataFrame, coverage: DataFrame) -> DataFrame:
-    """symbol, found, n_tests, fallback: a fallback run of all tests is advised for unknown symbols and for untested ones whose calls break off."""
-    n = entries.groupBy("symbol").agg(F.count("*").alias("n_tests"))
+def test_impact_flags(symbols: DataFrame, nodes: DataFrame, covered: DataFrame, edges: DataFrame) -> DataFrame:
+    """symbol, found, n_tests, fallback: a run of all tests is advised for unknown symbols, and for untested ones with a dynamic or candidate edge."""
+    n = covered.groupBy("symbol").agg(F.count("*").alias("n_tests"))
+    hidden = edges.where("resolution IN ('dynamic', 'candidate')").select(F.explode(F.array("source", "target")).alias("symbol")).distinct()
     s = symbols.select(F.col("qname").alias("symbol")).distinct()
     s = s.join(nodes.select(F.col("qname").alias("symbol"), F.lit(1).alias("found")), "symbol", "left").join(n, "symbol", "left").join(
-        coverage.select("symbol", "truncated"), "symbol", "left"
+        hidden.withColumn("hidden", F.lit(1)), "symbol", "left"
     ).na.fill(0)
-    return s.select("symbol", "found", "n_tests", ((F.col("found") == 0) | ((F.col("n_tests") == 0) & (F.col("truncated") == 1))).cast("int").alias("fallback"))
+    return s.select("symbol", "found", "n_tests", ((F.col("found") == 0) | ((F.col("n_tests") == 0) & (F.col("hidden") == 1))).cast("int").alias("fallback"))
+
 
+def dead_symbols(nodes: DataFrame, degrees: DataFrame, entry: Column) -> DataFrame:
+    """Functions, methods and classes outside of tests that nothing calls and that are no declared entry (`entry`, over nodes)."""
+    n = nodes.where("kind IN ('function', 'method', 'class') AND is_test = 0").where(~entry)
+    return n.join(degrees.where("in_degree = 0").select("qname"), "qname", "left_semi").select("qname", "kind", "file", "start_line", "signature", "decorators")
 
-def dead_symbols(nodes: DataFrame, degrees: DataFrame, entries: DataFrame) -> DataFrame:
-    """Functions, methods and classes outside of tests that nothing calls and that are no named entry."""
-    n = nodes.where("kind IN ('function', 'method', 'class') AND is_test = 0").join(degrees.where("in_degree = 0").select("qname"), "qname", "left_semi")
-    return n.join(entries.where("named = 1").select("qname"), "qname", "left_anti").select("qname", "kind", "file", "start_line")
 
+def dead_files(nodes: DataFrame, edges: DataFrame, entry: Column, dead: DataFrame) -> DataFrame:
+    """Modules that nothing imports and whose file has neither a declared entry of any kind nor a test: file, qname, dead symbols.
 
-def dead_files(nodes: DataFrame, edges: DataFrame, entries: DataFrame, dead: DataFrame) -> DataFrame:
-    """Modules that nothing imports and whose file has neither a named entry nor a test: file, qname, dead symbols."""
+    The pattern of package files is SQL's: each underscore is any character, in either case.
+    """
     imported = edges.where("kind = 'import' AND resolution = 'resolved'").select(F.col("target").alias("qname"))
-    live = nodes.join(entries.where("named = 1").select("qname"), "qname", "left_semi").select("file").union(nodes.where("is_test = 1").select("file"))
-    modules = nodes.where("kind = 'module' AND file NOT LIKE '%\\_\\_init\\_\\_.py'").join(imported, "qname", "left_anti").join(live, "file", "left_anti")
+    live = nodes.where(entry | (F.col("is_test") == 1)).select("file")
+    modules = nodes.where("kind = 'module'").where(~F.col("file").ilike("%__init__.py")).join(imported, "qname", "left_anti").join(live, "file", "left_anti")
     counts = dead.groupBy("file").agg(F.count("*").alias("symbol_count"))
     return modules.select("file", "qname").join(counts, "file", "left").na.fill(0)
 
 
+def dead_report(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: symbol_count, file_count."""
+    return symbols.agg(F.count("*").alias("symbol_count")).crossJoin(files.agg(F.count("*").alias("file_count")))
+
+
 def risk_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """qname, cross, same, risk: callers in other files weigh 10 from 60 on, in the same file 5 from 30 on; 50 without a file."""
+    """qname, cross, same, risk: callers in other files weigh 10 from 60 on, in the same file 5 from 30 on; 50 without a file. Tests are no callers."""
     calls = edges.where("kind = 'call' AND resolution = 'resolved'").select("source", "target").distinct()
-    callers = calls.join(nodes.select(F.col("qname").alias("source"), F.col("file").alias("caller_file")), "source")
-    targets = nodes.where("kind IN ('function', 'method')").select("qname", "file")
+    callers = calls.join(nodes.where("is_test = 0").select(F.col("qname").alias("source"), F.col("file").alias("caller_file")), "source")
+    targets = nodes.where("kind IN ('function', 'method', 'class')").select("qname", "file")
     j = targets.join(callers, F.col("qname") == F.col("target"), "left")
     c = j.groupBy("qname", "file").agg(
         F.count_if(F.col("caller_file") != F.col("file")).alias("cross_callers"), F.count_if(F.col("caller_file") == F.col("file")).alias("same_callers")

@@ -10,6 +10,8 @@ from codeloom.functions.names import member
 from codeloom.operators.flows import saved
 
 CANDIDATES = 20
+#: The rule of edges between a request and a route (a fixed value).
+ROUTE_RULE = "JAVA-F01"
 
 
 def site_id(source: Column, target: Column) -> Column:
@@ -82,20 +84,24 @@ def ancestor_members(calls: DataFrame, extends: DataFrame, members: DataFrame) -
     return found.select("key.call", F.col("node").alias("owner"), "depth")
 
 
-def match_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """test, controller: requests (test, method, path) that meet a route (controller, method, path) whose {x} segments match anything.
+def match_routes(requests: DataFrame, routes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """test, controller, resolution, rule_id: an edge from a test's request (test, method, path) to each route (controller, method, path) that it meets.
 
-    The join is by the number of segments and the first fixed segment; the rest of the pattern is then compared.
+    What follows ? or # doesn't count, nor do empty segments; a {x} segment of either side meets any segment. Paths are joined
+    by the number of segments and a key of those that are fixed on both sides: each side is laid out once for every
+    pattern of templates that the other has, which are few, so the work doesn't grow with requests times routes.
     """
-    seg = lambda c: F.filter(F.split(F.col(c), "/"), lambda x: x != "")
-    q = requests.select("test", F.col("method").alias("qm"), seg("path").alias("qs"))
-    r = routes.select("controller", F.col("method").alias("rm"), seg("path").alias("rs"))
-    fixed = lambda x: ~x.rlike(r"^\{.*\}$")
-    head = lambda s: F.get(s, F.lit(0))
-    q = q.select("*", F.size("qs").alias("n"), F.explode(F.array_distinct(F.array(F.coalesce(head(F.col("qs")), F.lit("")), F.lit("{}")))).alias("h"))
-    r = r.select("*", F.size("rs").alias("n"), F.when(head(F.col("rs")).isNull(), "").when(fixed(head(F.col("rs"))), head(F.col("rs"))).otherwise("{}").alias("h"))
-    same = F.forall(F.zip_with("qs", "rs", lambda a, b: (a == b) | ~fixed(b)), lambda x: x)
-    return q.join(r, ["n", "h"]).where(((F.col("qm") == F.col("rm")) | (F.col("rm") == "ANY")) & same).select("test", "controller").distinct()
+    bare = lambda c: F.regexp_replace(c, r"[?#](?s:.*)$", "")
+    seg = lambda c: F.filter(F.split(bare(F.col(c)), "/"), lambda x: x != "")
+    shape = lambda s: F.transform(s, lambda x: x.rlike(r"^\{.*\}$"))
+    q = requests.select("test", F.col("method").alias("qm"), seg("path").alias("s")).select("*", F.size("s").alias("n"), shape(F.col("s")).alias("qt"))
+    r = routes.select("controller", F.col("method").alias("rm"), seg("path").alias("s")).select("*", F.size("s").alias("n"), shape(F.col("s")).alias("rt"))
+    key = F.transform("s", lambda x, i: F.when(F.get("qt", i) | F.get("rt", i), F.lit("{}")).otherwise(x)).alias("key")
+    q = q.join(r.select("n", "rt").distinct(), "n").select("test", "qm", "n", "qt", "rt", key)
+    r = r.join(requests.select(seg("path").alias("s")).select(F.size("s").alias("n"), shape(F.col("s")).alias("qt")).distinct(), "n").select("controller", "rm", "n", "qt", "rt", key)
+    met = q.join(r, ["n", "qt", "rt", "key"]).where("qm = rm OR rm = 'ANY'").select("test", "controller").distinct()
+    known = nodes.select(F.col("qname").alias("controller"), F.lit("resolved").alias("resolution"))
+    return met.join(known, "controller", "left").select("test", "controller", F.coalesce("resolution", F.lit("unresolved")).alias("resolution"), F.lit(ROUTE_RULE).alias("rule_id"))
 
 
 def cascade(calls: DataFrame, channels: list[tuple[str, DataFrame, bool]]) -> DataFrame:
@@ -121,12 +127,12 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, types:
     """source, target, resolution for Python calls: calls(call, source, module, receiver, name, form).
 
     simple: local name, imported name, else unresolved. attribute: imported module, local class, declared type, self, else dynamic.
-    imports(module, local, target_module, target_name), where the last import of a name counts; types(scope, receiver, type).
+    imports(module, local, target_module, target_name, ord), where the last import of a name (the greatest ord) counts; types(scope, receiver, type).
     """
     known = nodes.select("qname").distinct()
     exists = lambda d: d.join(known.withColumnRenamed("qname", "target"), "target", "left_semi").select("call", "target")
     simple, attr = calls.where("form = 'simple'"), calls.where("form = 'attribute'")
-    bound = imports.groupBy("module", "local").agg(F.max_by(F.struct("target_module", "target_name"), "ord").alias("b")) if "ord" in imports.columns else imports.select("module", "local", F.struct("target_module", "target_name").alias("b"))
+    bound = imports.groupBy("module", "local").agg(F.max_by(F.struct("target_module", "target_name"), "ord").alias("b"))
     to = member(F.col("b.target_module"), F.col("b.target_name"))
     local = exists(simple.select("call", F.concat_ws("::", "module", "name").alias("target")))
     imported = simple.join(bound, (simple.module == bound.module) & (simple.name == bound.local)).select("call", to.alias("target"))

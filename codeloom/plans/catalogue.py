@@ -18,12 +18,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-NAMES, DECORATORS = ["o*7", "main"], ["1-*"]
-_NAMED = "(regexp_full_match(regexp_extract(qname, '([^.:]*)$', 1), 'o.*7|main') OR coalesce(decorator LIKE '1-%', false))"
+NAMES, DECORATORS = ["o*7", "C*77", "main"], ["1-*"]
+#: Semantic edges of rule R1 are followed, those of R2 are not.
+RULES = {"R1": True, "R2": False}
+_NAMED = "(regexp_full_match(regexp_extract(qname, '([^.:]*)$', 1), 'o.*7|C.*77|main') OR len(list_filter(decorators, lambda d: d LIKE '1-%')) > 0)"
 _REACH = (
     "reach AS (SELECT qname AS entry, qname AS node FROM entries UNION SELECT r.entry, c.target FROM reach r JOIN rcalls c ON c.source = r.node)"
 )
-_FLOWS = f"""rcalls AS (SELECT DISTINCT source, target FROM calls WHERE resolution = 'resolved'),
+_FLOWS = f"""rcalls AS (SELECT DISTINCT source, target FROM calls WHERE resolution = 'resolved' OR (resolution = 'semantic' AND rule_id = 'R1')),
 entries AS (SELECT qname, CAST({_NAMED} AS INTEGER) AS named FROM nodes n WHERE kind IN ('function', 'method')
   AND ({_NAMED} OR NOT EXISTS (SELECT 1 FROM rcalls c WHERE c.target = n.qname))), {_REACH}"""
 
@@ -48,7 +50,7 @@ _SYM = "syms AS (SELECT qname FROM nodes WHERE kind = 'function' OR id BETWEEN 4
 
 def _flows(g: Graph) -> DataFrame:
     nodes, calls = g.nodes(), g.calls()
-    return flows.build_flows(flows.entry_nodes(nodes, calls, NAMES, DECORATORS), calls)
+    return flows.build_flows(flows.entry_nodes(nodes, calls, NAMES, DECORATORS, RULES), calls, rules=RULES)
 
 
 # graph
@@ -59,7 +61,7 @@ def graph_nodes(spark, d):
     return Graph(spark, d).nodes().select("id", "qname", "kind", "file", "start_line", "end_line", "signature", "is_test")
 
 
-@_query("SELECT source, target, kind, resolution, CAST(ord AS BIGINT) AS ord FROM edges")
+@_query("SELECT source, target, kind, resolution, CAST(ord AS BIGINT) AS ord, rule_id FROM edges")
 def graph_edges(spark, d):
     return Graph(spark, d).edges()
 
@@ -109,13 +111,12 @@ def symbol_detail(spark, d):
     return graph.symbol_detail(g.calls(), g.nodes())
 
 
-@_query("""+ e AS (SELECT source AS symbol, resolution FROM calls UNION ALL SELECT target, resolution FROM calls WHERE source <> target),
-c AS (SELECT symbol, count(*) FILTER (resolution = 'resolved') AS resolved_edges, count(*) FILTER (resolution = 'semantic') AS semantic_edges,
-  count(*) FILTER (resolution = 'candidate') AS candidate_edges, count(*) FILTER (resolution = 'dynamic') AS dynamic_edges,
-  count(*) FILTER (resolution = 'unresolved') AS unresolved_edges FROM e GROUP BY 1)
-SELECT *, CAST(candidate_edges + dynamic_edges + unresolved_edges > 0 AS INTEGER) AS truncated FROM c""")
+@_query("""+ e AS (SELECT source AS symbol, kind, resolution FROM edges UNION ALL SELECT target, kind, resolution FROM edges WHERE source <> target)
+SELECT symbol, count(*) FILTER (kind = 'call' AND resolution = 'resolved') AS resolved_edges, count(*) FILTER (kind = 'call' AND resolution = 'semantic') AS semantic_edges,
+  count(*) FILTER (kind = 'call' AND resolution = 'candidate') AS candidate_edges, count(*) FILTER (kind = 'call' AND resolution = 'dynamic') AS dynamic_edges,
+  count(*) FILTER (kind = 'call' AND resolution = 'unresolved') AS unresolved_edges, CAST(count(*) FILTER (resolution <> 'resolved') >= 20 AS INTEGER) AS truncated FROM e GROUP BY 1""")
 def coverage_by_resolution(spark, d):
-    return graph.coverage(Graph(spark, d).calls())
+    return graph.coverage(Graph(spark, d).edges())
 
 
 @_query("""SELECT count(*) AS calls, count(*) FILTER (resolution = 'resolved') AS resolved, count(*) FILTER (resolution = 'dynamic') AS dynamic,
@@ -125,13 +126,15 @@ def resolution_rate(spark, d):
     return graph.resolution_rate(Graph(spark, d).calls())
 
 
-@_query("""+ e AS (SELECT source AS symbol, source, target, resolution, ord FROM calls WHERE resolution <> 'resolved'
-  UNION ALL SELECT target, source, target, resolution, ord FROM calls WHERE resolution <> 'resolved' AND source <> target),
-r AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY CASE resolution WHEN 'semantic' THEN 0 WHEN 'candidate' THEN 1
-  WHEN 'dynamic' THEN 2 ELSE 3 END, source, ord, target) AS rank, source, target, resolution FROM e)
-SELECT *, CAST(max(rank) OVER (PARTITION BY symbol) >= 20 AS INTEGER) AS truncated FROM r WHERE rank <= 20""")
+@_query("""+ e AS (SELECT source AS symbol, source, target, resolution, rule_id, ord FROM edges WHERE resolution <> 'resolved'
+  UNION ALL SELECT target, source, target, resolution, rule_id, ord FROM edges WHERE resolution <> 'resolved' AND source <> target),
+r AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY CASE resolution WHEN 'dynamic' THEN 0 WHEN 'candidate' THEN 1 WHEN 'unresolved' THEN 2
+  WHEN 'external' THEN 3 ELSE 4 END, source, ord, target) AS rank, source, target AS expression, resolution, rule_id, CASE resolution
+  WHEN 'dynamic' THEN 'receiver type not statically known' WHEN 'unresolved' THEN 'target not found in repo' WHEN 'candidate' THEN 'one of several possible targets'
+  WHEN 'external' THEN 'external dependency' ELSE 'uncertain edge' END AS reason, count(*) OVER (PARTITION BY symbol) AS n FROM e)
+SELECT * EXCLUDE (n), CAST(n >= 20 AS INTEGER) AS truncated FROM r WHERE rank <= 20""")
 def uncertainty_topk(spark, d):
-    return graph.uncertainty(Graph(spark, d).calls())
+    return graph.uncertainty(Graph(spark, d).edges())
 
 
 @_query("""SELECT e.qname, kind, degree FROM (SELECT q AS qname, count(*) AS degree FROM
@@ -172,7 +175,7 @@ def inherit_edges(spark, d):
 @_query(f"+ {_FLOWS} SELECT qname, named FROM entries", recursive=True)
 def entry_nodes(spark, d):
     g = Graph(spark, d)
-    return flows.entry_nodes(g.nodes(), g.calls(), NAMES, DECORATORS)
+    return flows.entry_nodes(g.nodes(), g.calls(), NAMES, DECORATORS, RULES)
 
 
 @_query(f"+ {_FLOWS} SELECT entry, node FROM reach", recursive=True)
@@ -192,22 +195,16 @@ def flow_stats(spark, d):
     return flows.flow_stats(_flows(g), g.nodes())
 
 
-@_query("""+ f AS (SELECT source AS entry, target AS node, min(ord) AS position FROM calls WHERE ord < 1000000 GROUP BY 1, 2),
-p AS (SELECT entry, node AS symbol, position AS mid FROM f),
-a AS (SELECT symbol, f.entry, node, position, CASE WHEN position < mid THEN 'up' ELSE 'down' END AS direction, abs(position - mid) AS gap
-  FROM f JOIN p ON f.entry = p.entry AND position <> mid),
-r AS (SELECT *, row_number() OVER (PARTITION BY symbol, entry, direction ORDER BY gap) AS rn FROM a)
-SELECT symbol, entry, direction, node, position FROM r WHERE rn <= 2""")
+@_query()
 def flow_slices_up_down(spark, d):
     g = Graph(spark, d)
-    f = g.calls().where("ord < 1000000").groupBy(F.col("source").alias("entry"), F.col("target").alias("node")).agg(F.min("ord").alias("position"))
-    return flows.slices(f, f.select(F.col("node").alias("qname")).distinct(), F.lit(True), 2)
+    return flows.slices(_flows(g), _symbols(g), F.lit(True))
 
 
 @_query(f"""+ {_FLOWS} SELECT DISTINCT n.qname, n.file FROM entries JOIN nodes n USING (qname) WHERE n.is_test = 0""", recursive=True)
 def entry_points(spark, d):
     g = Graph(spark, d)
-    e = flows.entry_nodes(g.nodes(), g.calls(), NAMES, DECORATORS)
+    e = flows.entry_nodes(g.nodes(), g.calls(), NAMES, DECORATORS, RULES)
     return g.nodes().where("is_test = 0").join(e.select("qname"), "qname", "left_semi").select("qname", "file")
 
 
@@ -231,13 +228,16 @@ def impact_tests_only(spark, d):
     return impact.direct_impact(g.calls(), g.nodes(), _symbols(g), tests="only")
 
 
+def _slices(g: Graph, f: DataFrame, tests: str) -> DataFrame:
+    """Slices of flows (entry, node, position) around the symbols, of nodes that the test filter keeps."""
+    kept = g.nodes().where(F.col("is_test").isin(impact.TESTS[tests])).select(F.col("qname").alias("node"), F.lit(True).alias("kept"))
+    return flows.slices(f.select("entry", "node", "position").join(kept, "node", "left"), _symbols(g), F.col("kept"))
+
+
 @_query()
 def impact_full(spark, d):
     g = Graph(spark, d)
-    f, s = _flows(g), _symbols(g)
-    live = f.join(g.nodes().where("is_test = 0").select(F.col("qname").alias("node")), "node", "left_semi")
-    near = flows.slices(live.select("entry", "node", "position"), s, F.lit(True))
-    return impact.impact(near, impact.direct_impact(g.calls(), g.nodes(), s))
+    return impact.impact(_slices(g, _flows(g), "exclude"), impact.direct_impact(g.calls(), g.nodes(), _symbols(g)))
 
 
 @_query(f"""+ {_FLOWS}, {_SYM} SELECT DISTINCT node AS symbol, entry FROM reach
@@ -247,60 +247,61 @@ def impact_entries(spark, d):
     return impact.affected_entries(_flows(g), g.nodes(), _symbols(g)).select("symbol", "entry")
 
 
-_TEST_ENTRIES = f"""{_FLOWS}, {_SYM}, te AS (SELECT DISTINCT node AS symbol, entry FROM reach
-WHERE node IN (FROM syms) AND entry IN (SELECT qname FROM nodes WHERE is_test = 1))"""
+def _covers(g: Graph) -> DataFrame:
+    f, s, n = flows.saved(_flows(g)), _symbols(g), g.nodes()
+    return impact.covers(impact.affected_entries(f, n, s, "only"), impact.direct_impact(g.calls(), n, s, tests="only"), _slices(g, f, "only"), n)
 
 
-@_query(f"""+ {_TEST_ENTRIES}, {_DIRECT.format(tests='1')},
-h AS (SELECT entry AS test, symbol FROM te UNION SELECT other, symbol FROM direct WHERE direction = 'in' AND rank <= 20)
-SELECT test, file, count(*) AS n_covers, string_agg(symbol, ',' ORDER BY symbol) AS covers FROM h JOIN nodes ON qname = test AND is_test = 1 GROUP BY 1, 2""", recursive=True)
+@_query()
 def test_impact(spark, d):
     g = Graph(spark, d)
-    s = _symbols(g)
-    entries = impact.affected_entries(_flows(g), g.nodes(), s, "only")
-    return impact.test_impact(entries, impact.direct_impact(g.calls(), g.nodes(), s, tests="only"), g.nodes())
+    return impact.test_impact(_covers(g), g.nodes())
 
 
-@_query(f"""+ {_TEST_ENTRIES}, n AS (SELECT symbol, count(*) AS n_tests FROM te GROUP BY 1),
-cut AS (SELECT source AS symbol FROM calls WHERE resolution IN ('candidate', 'dynamic', 'unresolved') UNION SELECT target FROM calls WHERE resolution IN ('candidate', 'dynamic', 'unresolved')),
-asked AS (SELECT qname AS symbol, 1 AS found FROM syms UNION ALL SELECT 'no::such', 0)
-SELECT symbol, found, coalesce(n_tests, 0) AS n_tests,
-CAST(found = 0 OR (coalesce(n_tests, 0) = 0 AND symbol IN (FROM cut)) AS INTEGER) AS fallback FROM asked LEFT JOIN n USING (symbol)""", recursive=True)
+@_query()
 def test_impact_flags(spark, d):
     g = Graph(spark, d)
-    s = _symbols(g)
-    asked = s.union(spark.createDataFrame([("no::such",)], "qname string"))
-    return impact.test_impact_flags(asked, g.nodes(), impact.affected_entries(_flows(g), g.nodes(), s, "only"), graph.coverage(g.calls()))
+    asked = _symbols(g).union(spark.createDataFrame([("no::such",)], "qname string"))
+    return impact.test_impact_flags(asked, g.nodes(), _covers(g), g.edges())
+
+
+_DEAD = f"""called AS (SELECT DISTINCT target FROM calls WHERE resolution = 'resolved'), declared AS (SELECT qname, file FROM nodes WHERE {_NAMED}),
+dead AS (SELECT qname, kind, file, start_line, signature, decorators FROM nodes WHERE kind IN ('function', 'method', 'class') AND is_test = 0
+  AND qname NOT IN (FROM called) AND qname NOT IN (SELECT qname FROM declared)),
+files AS (SELECT m.file, m.qname, coalesce(k.n, 0) AS symbol_count FROM nodes m LEFT JOIN (SELECT file, count(*) AS n FROM dead GROUP BY 1) k USING (file)
+  WHERE m.kind = 'module' AND m.file NOT ILIKE '%__init__.py' AND m.qname NOT IN (SELECT target FROM imports)
+  AND m.file NOT IN (SELECT file FROM nodes WHERE is_test = 1 UNION SELECT file FROM declared))"""
 
 
-_DEAD = f"""{_FLOWS}, called AS (SELECT DISTINCT target FROM rcalls),
-dead AS (SELECT qname, kind, file, start_line FROM nodes WHERE kind IN ('function', 'method', 'class') AND is_test = 0
-  AND qname NOT IN (FROM called) AND qname NOT IN (SELECT qname FROM entries WHERE named = 1))"""
+def _dead(g: Graph) -> tuple[DataFrame, DataFrame]:
+    n, entry = g.nodes(), flows.is_entry(NAMES, DECORATORS)
+    dead = impact.dead_symbols(n, graph.degrees(g.calls(), n), entry)
+    return dead, impact.dead_files(n, g.imports(), entry, dead)
 
 
-@_query(f"+ {_DEAD} SELECT * FROM dead", recursive=True)
+@_query(f"+ {_DEAD} SELECT qname, kind, file, start_line, signature, array_to_string(decorators, ',') AS decorators FROM dead")
 def dead_symbols(spark, d):
-    g = Graph(spark, d)
-    n, c = g.nodes(), g.calls()
-    return impact.dead_symbols(n, graph.degrees(c, n), flows.entry_nodes(n, c, NAMES, DECORATORS))
+    return _dead(Graph(spark, d))[0].withColumn("decorators", F.concat_ws(",", "decorators"))
 
 
-@_query(f"""+ {_DEAD} SELECT m.file, m.qname, coalesce(k.n, 0) AS symbol_count FROM nodes m
-LEFT JOIN (SELECT file, count(*) AS n FROM dead GROUP BY 1) k USING (file)
-WHERE m.kind = 'module' AND m.qname NOT IN (SELECT target FROM imports)
-AND m.file NOT IN (SELECT file FROM nodes WHERE is_test = 1 UNION SELECT file FROM nodes WHERE qname IN (SELECT qname FROM entries WHERE named = 1))""", recursive=True)
+@_query(f"+ {_DEAD} SELECT * FROM files")
 def dead_files(spark, d):
-    g = Graph(spark, d)
-    n, c = g.nodes(), g.calls()
-    e = flows.entry_nodes(n, c, NAMES, DECORATORS)
-    return impact.dead_files(n, g.imports(), e, impact.dead_symbols(n, graph.degrees(c, n), e))
+    return _dead(Graph(spark, d))[1]
 
 
-@_query("""+ p AS (SELECT DISTINCT source, target FROM calls WHERE resolution = 'resolved'),
-c AS (SELECT t.qname, count(*) FILTER (s.file <> t.file) AS cross_callers, count(*) FILTER (s.file = t.file) AS same_callers
-  FROM nodes t LEFT JOIN p ON p.target = t.qname LEFT JOIN nodes s ON s.qname = p.source WHERE t.kind IN ('function', 'method') GROUP BY 1)
-SELECT *, CAST(CASE WHEN cross_callers > 0 THEN least(100, 60 + 10 * cross_callers) WHEN same_callers > 0 THEN least(59, 30 + 5 * same_callers)
-ELSE 10 END AS BIGINT) AS risk FROM c""")
+@_query(f"+ {_DEAD} SELECT (SELECT count(*) FROM dead) AS symbol_count, (SELECT count(*) FROM files) AS file_count")
+def dead_report(spark, d):
+    return impact.dead_report(*_dead(Graph(spark, d)))
+
+
+_RISK = """p AS (SELECT DISTINCT source, target FROM calls WHERE resolution = 'resolved'),
+c AS (SELECT t.qname, count(*) FILTER (s.file <> t.file) AS cross_callers, count(*) FILTER (s.file = t.file) AS same_callers FROM nodes t
+  LEFT JOIN p ON p.target = t.qname LEFT JOIN nodes s ON s.qname = p.source AND s.is_test = 0 WHERE t.kind IN ('function', 'method', 'class') GROUP BY 1),
+risks AS (SELECT *, CAST(CASE WHEN cross_callers > 0 THEN least(100, 60 + 10 * cross_callers) WHEN same_callers > 0 THEN least(59, 30 + 5 * same_callers)
+  ELSE 10 END AS BIGINT) AS risk FROM c)"""
+
+
+@_query(f"+ {_RISK} SELECT * FROM risks")
 def risk_scores(spark, d):
     g = Graph(spark, d)
     return impact.risk_scores(g.calls(), g.nodes())
@@ -318,10 +319,14 @@ def hunk_symbol_overlap(spark, d):
     return changes.hunk_overlaps(g.hunks(), g.nodes())
 
 
-@_query(f"+ {_OVERLAP} SELECT file, start, count FROM hunks ANTI JOIN ov USING (file, start, count)")
+_COVER = """cov AS (SELECT DISTINCT h.file, h.start, h.count, n.qname FROM hunks h JOIN nodes n ON n.file = h.file AND n.kind IN ('function', 'method', 'class')
+AND n.start_line <= h.start + h.count - 1 AND n.end_line >= h.start)"""
+
+
+@_query(f"+ {_COVER} SELECT file, start, count FROM hunks ANTI JOIN cov USING (file, start, count)")
 def uncovered_hunks(spark, d):
     g = Graph(spark, d)
-    return changes.uncovered_hunks(g.hunks(), changes.hunk_overlaps(g.hunks(), g.nodes()))
+    return changes.uncovered_hunks(g.hunks(), g.nodes())
 
 
 @_query(f"+ {_OVERLAP} SELECT qname, file, count(*) AS n_hunks FROM (SELECT DISTINCT * FROM ov) GROUP BY 1, 2")
@@ -330,66 +335,90 @@ def changed_symbols(spark, d):
     return changes.changed_symbols(changes.hunk_overlaps(g.hunks(), g.nodes()))
 
 
-@_query("""+ k AS (SELECT ok, file, start_line, end_line FROM ords WHERE ok % 13 = 0 AND ok % 169 <> 0)
-SELECT file, CAST(start_line AS BIGINT) AS start, CAST(greatest(CASE WHEN ok % 2 = 0 THEN 1 ELSE end_line - start_line END, 1) AS BIGINT) AS count FROM k""")
+@_query("""SELECT file, CAST(start_line AS BIGINT) AS start, CAST(greatest(CASE WHEN ok % 2 = 0 THEN 1 ELSE end_line - start_line END, 1) AS BIGINT) AS count FROM ords WHERE ok % 13 <> 0""")
 def diff_text_parse(spark, d):
-    o = Graph(spark, d).orders().where("ok % 13 = 0")
-    target = F.when(F.col("ok") % 169 == 0, "/dev/null").otherwise(F.concat(F.lit("b/"), F.col("file")))
+    o = Graph(spark, d).orders()
+    target = F.when(F.col("ok") % 13 == 0, "/dev/null").otherwise(F.concat(F.lit("b/"), F.col("file")))
     tail = F.when(F.col("ok") % 2 == 0, "").otherwise(F.concat(F.lit(","), F.col("end_line") - F.col("start_line")))
     lines = F.array(F.concat(F.lit("+++ "), target), F.concat(F.lit("@@ -1 +"), F.col("start_line"), tail, F.lit(" @@")), F.lit("+x"))
     return changes.parse_diff(o.select(F.col("ok").alias("diff_id"), F.posexplode(lines).alias("line_no", "line")))
 
 
-def _numstat(g: Graph) -> DataFrame:
-    return g.orders().where("ok % 97 = 0").groupBy("file").agg(F.count("*").alias("added"), F.count_if(F.col("ok") % 2 == 0).alias("removed"))
+_STONES = """stones AS (SELECT l_orderkey * 100 + l_linenumber AS id, o.file, o.qname, o.start_line FROM lineitem JOIN ords o ON ok = l_orderkey WHERE l_quantity > 40),
+gone AS (SELECT file, qname, max(id) AS id, arg_max(start_line, id) AS start_line, 90 AS risk FROM stones
+  WHERE qname NOT IN (SELECT qname FROM ords WHERE o_orderstatus <> 'F') AND file IN (SELECT file FROM deleted_files UNION SELECT file FROM numstat WHERE removed > 0) GROUP BY 1, 2)"""
+_CHANGE = f"""{_COVER}, {_RISK}, {_STONES}, live AS (SELECT * FROM hunks WHERE file NOT IN (FROM deleted_files)),
+fn AS (SELECT n.qname, n.kind, n.file, n.start_line, n.end_line, coalesce(r.risk, 50) AS risk FROM nodes n LEFT JOIN risks r USING (qname)
+  WHERE n.qname IN (SELECT qname FROM cov WHERE file NOT IN (FROM deleted_files))),
+told AS (SELECT DISTINCT file FROM gone),
+unc AS (SELECT file, start, count, 0 AS deleted FROM live ANTI JOIN cov USING (file, start, count)
+  UNION ALL SELECT file, NULL, NULL, CAST(file IN (FROM deleted_files) AS INTEGER) FROM (SELECT file FROM numstat UNION SELECT file FROM hunks)
+  WHERE file NOT IN (FROM told) AND (file IN (FROM deleted_files) OR file NOT IN (SELECT file FROM hunks)))"""
+
+
+def _deletions(g: Graph) -> DataFrame:
+    o = g.orders()
+    stones = g.t("lineitem").where("l_quantity > 40").join(o, F.col("ok") == F.col("l_orderkey")).select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), "file", "qname", "start_line"
+    )
+    return changes.deleted_symbols(changes.deletion_candidates(stones, g.numstat(), g.deleted_files()), o.where("o_orderstatus <> 'F'"))
+
+
+def _functions(g: Graph) -> DataFrame:
+    return changes.changed_functions(g.hunks(), g.deleted_files(), g.nodes(), impact.risk_scores(g.calls(), g.nodes()))
 
 
-@_query(f"""+ {_OVERLAP}, ns AS (SELECT file, count(*) AS added, count(*) FILTER (ok % 2 = 0) AS removed FROM ords WHERE ok % 97 = 0 GROUP BY 1)
-SELECT (SELECT count(*) FROM ns) AS files_changed, (SELECT CAST(sum(added) AS BIGINT) FROM ns) AS lines_added, (SELECT CAST(sum(removed) AS BIGINT) FROM ns) AS lines_removed,
-(SELECT count(DISTINCT qname) FROM ov) AS changed_functions, (SELECT count(*) FROM hunks ANTI JOIN ov USING (file, start, count)) AS uncovered_changes""")
+def _uncovered(g: Graph) -> DataFrame:
+    return changes.uncovered_changes(g.hunks(), g.numstat(), g.deleted_files(), g.nodes(), _deletions(g))
+
+
+@_query(f"+ {_CHANGE} SELECT * FROM fn")
+def change_functions(spark, d):
+    return _functions(Graph(spark, d))
+
+
+@_query(f"+ {_CHANGE} SELECT file, CAST(start AS BIGINT) AS start, CAST(count AS BIGINT) AS count, deleted FROM unc")
+def change_uncovered(spark, d):
+    return _uncovered(Graph(spark, d))
+
+
+@_query(f"""+ {_CHANGE} SELECT (SELECT count(*) FROM numstat) AS files_changed, (SELECT CAST(sum(added) AS BIGINT) FROM numstat) AS lines_added, (SELECT CAST(sum(removed) AS BIGINT) FROM numstat) AS lines_removed,
+(SELECT count(*) FROM fn) AS changed_functions, (SELECT count(DISTINCT file) FROM unc) AS uncovered_changes, (SELECT count(*) FROM gone) AS delete_change""")
 def change_summary_totals(spark, d):
     g = Graph(spark, d)
-    ov = changes.hunk_overlaps(g.hunks(), g.nodes())
-    lines = _numstat(g).select(F.concat_ws("\t", "added", "removed", "file").alias("line"))
-    return changes.change_summary(changes.parse_numstat(lines), changes.changed_symbols(ov), changes.uncovered_hunks(g.hunks(), ov))
+    lines = g.numstat().select(F.concat_ws("\t", F.when(F.col("file").startswith("src/parts"), "-").otherwise(F.col("added").cast("string")),
+                                           F.when(F.col("file").startswith("src/parts"), "-").otherwise(F.col("removed").cast("string")), "file").alias("line"))
+    return changes.change_summary(changes.parse_numstat(lines), _functions(g), _uncovered(g), _deletions(g))
 
 
-@_query("""+ stones AS (SELECT l_orderkey * 100 + l_linenumber AS id, o.file, o.qname, o.start_line FROM lineitem JOIN ords o ON ok = l_orderkey WHERE l_quantity > 40)
-SELECT file, qname, max(id) AS id, arg_max(start_line, id) AS start_line, 90 AS risk FROM stones
-WHERE qname NOT IN (SELECT qname FROM ords WHERE o_orderstatus <> 'F') GROUP BY 1, 2""")
+@_query(f"+ {_STONES} SELECT * FROM gone")
 def delete_change_latest(spark, d):
-    g = Graph(spark, d)
-    o = g.orders()
-    stones = g.t("lineitem").where("l_quantity > 40").join(o, F.col("ok") == F.col("l_orderkey")).select(
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), "file", "qname", "start_line"
-    )
-    return changes.deleted_symbols(stones, o.where("o_orderstatus <> 'F'"))
+    return _deletions(Graph(spark, d))
 
 
 def _manifests(g: Graph) -> tuple[DataFrame, DataFrame]:
     o = g.t("orders")
-    path = F.concat(F.lit("f"), F.col("o_orderkey")).alias("path")
-    old = o.where("o_orderstatus <> 'P'").select(path, F.col("o_orderkey").cast("double").alias("stamp"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"))
-    moved = F.col("o_orderkey") % 7 == 0
-    new = o.where("o_orderkey % 50 <> 0").select(
-        path, (F.col("o_orderkey") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).cast("double").alias("stamp"),
-        F.sha2(F.when(moved, F.concat(F.col("o_orderkey").cast("string"), F.lit("x"))).otherwise(F.col("o_orderkey").cast("string")), 256).alias("hash"),
-    )
+    key = F.col("o_orderkey")
+    path, text = F.concat(F.lit("f"), key).alias("path"), key.cast("string")
+    old = o.where("o_orderstatus <> 'P'").select(path, key.cast("double").alias("stamp"), F.lit(9).alias("size"), F.sha2(text, 256).alias("hash"))
+    stamp = (key + F.when(key % 3 == 0, 1).otherwise(0)).cast("double").alias("stamp")
+    size = F.when(key % 11 == 0, 10).otherwise(9).alias("size")
+    new = o.where("o_orderkey % 50 <> 0").select(path, stamp, size, F.sha2(F.when(key % 7 == 0, F.concat(text, F.lit("x"))).otherwise(text), 256).alias("hash"))
     return old, new
 
 
 @_query("""SELECT 'f' || o_orderkey AS path, CASE WHEN o_orderstatus = 'P' THEN 'added' WHEN o_orderkey % 50 = 0 THEN 'deleted' ELSE 'changed' END AS status
 FROM orders WHERE (o_orderstatus = 'P' AND o_orderkey % 50 <> 0) OR (o_orderstatus <> 'P' AND o_orderkey % 50 = 0)
-OR (o_orderstatus <> 'P' AND o_orderkey % 50 <> 0 AND o_orderkey % 3 = 0 AND o_orderkey % 7 = 0)""", graph_sql=False)
+OR (o_orderstatus <> 'P' AND o_orderkey % 50 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 11 = 0) AND o_orderkey % 7 = 0)""", graph_sql=False)
 def manifest_diff(spark, d):
     return changes.manifest_diff(*_manifests(Graph(spark, d)))
 
 
 @_query("""SELECT source, target, CAST(ord AS BIGINT) AS ord, CASE WHEN resolution IN ('resolved', 'unresolved')
-THEN CASE WHEN target IN (SELECT qname FROM parts WHERE pk % 11 <> 0) THEN 'resolved' ELSE 'unresolved' END ELSE resolution END AS resolution FROM calls WHERE ord < 1000000""")
+THEN CASE WHEN target IN (SELECT qname FROM parts WHERE pk % 11 <> 0) THEN 'resolved' ELSE 'unresolved' END ELSE resolution END AS resolution FROM calls""")
 def repair_resolutions(spark, d):
     g = Graph(spark, d)
-    return changes.repair_resolutions(g.calls().where("ord < 1000000"), g.parts().where("pk % 11 <> 0")).select("source", "target", "ord", "resolution")
+    return changes.repair_resolutions(g.calls(), g.parts().where("pk % 11 <> 0")).select("source", "target", "ord", "resolution")
 
 
 @_query("""SELECT qname, kind, file, signature FROM nodes WHERE NOT (kind = 'function' AND id % 10 = 3)""")
@@ -426,13 +455,13 @@ def candidates_fanout(spark, d):
 
 
 @_query("""+ b AS (SELECT ck AS src, ck // 10 AS dst FROM customers WHERE ck > 0 AND ck % 7 <> 0),
-w AS (SELECT ck AS key, ck AS node FROM customers WHERE ck % 3 = 0 UNION SELECT w.key, b.dst FROM w JOIN b ON b.src = w.node WHERE w.node % 7 <> 0),
+w AS (SELECT ck AS key, ck AS node FROM customers UNION SELECT w.key, b.dst FROM w JOIN b ON b.src = w.node WHERE w.node % 7 <> 0),
 h AS (SELECT key, count(*) AS n, min(node) AS node FROM w WHERE node % 7 = 0 GROUP BY 1)
 SELECT c.ck AS key, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'candidate' END AS resolution, CASE WHEN n = 1 THEN node END AS target
-FROM (SELECT ck FROM customers WHERE ck % 3 = 0) c LEFT JOIN h ON h.key = c.ck""", recursive=True)
+FROM (SELECT ck FROM customers) c LEFT JOIN h ON h.key = c.ck""", recursive=True)
 def reexport_closure(spark, d):
     c = Graph(spark, d).customers().select("ck")
-    asks = c.where("ck % 3 = 0").selectExpr("ck AS key", "ck AS node")
+    asks = c.selectExpr("ck AS key", "ck AS node")
     steps = c.where("ck > 0 AND ck % 7 <> 0").selectExpr("ck AS src", "CAST(floor(ck / 10) AS BIGINT) AS dst")
     return resolve.resolve_reexports(asks, steps, c.where("ck % 7 = 0").selectExpr("ck AS node"))
 
@@ -459,20 +488,22 @@ def longest_prefix_class(spark, d):
     return resolve.longest_prefix(names, known)
 
 
-@_query("""+ r AS (SELECT DISTINCT qname AS controller, CASE WHEN pk % 3 = 0 THEN 'ANY' ELSE 'GET' END AS m, pk % 20 AS k, pk % 2 AS open FROM parts WHERE pk < 40),
-q AS (SELECT qname AS test, CASE WHEN ok % 2 = 0 THEN 'GET' ELSE 'POST' END AS m, ok % 20 AS k, ok % 4 AS v FROM ords WHERE is_test = 1)
-SELECT DISTINCT test, controller FROM q JOIN r ON q.k = r.k AND (r.m = 'ANY' OR r.m = q.m) AND (r.open = 1 OR q.v = 0)""")
+@_query("""+ r AS (SELECT qname AS controller, pk, CASE WHEN pk % 3 = 0 THEN 'ANY' ELSE 'GET' END AS m FROM parts),
+q AS (SELECT qname AS test, ok // 4 AS k, CASE WHEN ok % 2 = 0 THEN 'GET' ELSE 'POST' END AS m, CASE WHEN ok % 5 = 0 THEN '{v}' ELSE 'v' || ok % 4 END AS v FROM ords WHERE is_test = 1)
+SELECT DISTINCT test, controller, CASE WHEN pk % 13 = 0 THEN 'unresolved' ELSE 'resolved' END AS resolution, 'JAVA-F01' AS rule_id
+FROM q JOIN r ON q.k = r.pk AND (r.m = 'ANY' OR r.m = q.m) AND (pk % 2 = 1 OR v = 'v0' OR v = '{v}')""")
 def route_match(spark, d):
     g = Graph(spark, d)
-    routes = g.parts().where("pk < 40").select(
+    routes = g.parts().select(
         F.col("qname").alias("controller"), F.when(F.col("pk") % 3 == 0, "ANY").otherwise("GET").alias("method"),
-        F.concat(F.lit("/api/"), F.col("pk") % 20, F.when(F.col("pk") % 2 == 1, "/{id}").otherwise("/v0")).alias("path"),
+        F.when(F.col("pk") % 2 == 1, F.concat(F.lit("/api//p"), F.col("pk"), F.lit("/{id}/"))).otherwise(F.concat(F.lit("/{any}/p"), F.col("pk"), F.lit("/v0"))).alias("path"),
     )
+    last = F.when(F.col("ok") % 5 == 0, "{v}").otherwise(F.concat(F.lit("v"), F.col("ok") % 4))
     asks = g.orders().where("is_test = 1").select(
         F.col("qname").alias("test"), F.when(F.col("ok") % 2 == 0, "GET").otherwise("POST").alias("method"),
-        F.concat(F.lit("/api/"), F.col("ok") % 20, F.lit("/v"), F.col("ok") % 4).alias("path"),
+        F.concat(F.lit("/api/p"), F.floor(F.col("ok") / 4), F.lit("/"), last, F.when(F.col("ok") % 3 == 0, "?x=/1/2").otherwise("#top")).alias("path"),
     )
-    return resolve.match_routes(asks, routes)
+    return resolve.match_routes(asks, routes, g.parts().where("pk % 13 <> 0"))
 
 
 # communities
@@ -482,9 +513,8 @@ WHERE resolution = 'resolved' AND source <> target GROUP BY 1, 2)"""
 _SIG = """pr AS (SELECT DISTINCT source, target FROM calls WHERE resolution = 'resolved' AND source <> target),
 i AS (SELECT target AS qname, count(*) AS n_in, count(*) FILTER (split_part(source, '::', 1) = split_part(target, '::', 1)) AS own FROM pr GROUP BY 1),
 o AS (SELECT source AS qname, count(*) AS n_out FROM pr GROUP BY 1),
-s0 AS (SELECT qname, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, coalesce(own, 0) AS own FROM i FULL JOIN o USING (qname)),
-sig AS (SELECT qname, n_in, n_out, greatest(CAST(n_in - n_out AS DOUBLE) / (n_in + n_out), 0.0::DOUBLE) AS sinkness,
-  CASE WHEN n_in > 0 THEN 1 - CAST(own AS DOUBLE) / n_in ELSE 0.0::DOUBLE END AS spread FROM s0)"""
+sig AS (SELECT qname, n_in, coalesce(n_out, 0) AS n_out, CAST(n_in - coalesce(n_out, 0) AS DOUBLE) / (n_in + coalesce(n_out, 0)) AS sinkness,
+  1 - CAST(own AS DOUBLE) / n_in AS spread FROM i LEFT JOIN o USING (qname) WHERE n_in > coalesce(n_out, 0))"""
 
 
 @_query(f"+ {_UND} SELECT * FROM und")
@@ -499,7 +529,7 @@ def sink_signals(spark, d):
 
 
 @_query(f"""+ {_UND}, {_SIG}, f AS (SELECT qname, greatest(1 - 0.5::DOUBLE * sinkness * spread, 0.1::DOUBLE) AS f FROM sig)
-SELECT a, b, CAST(round(weight * x.f * y.f, 6) AS DECIMAL(18, 6)) AS weight FROM und JOIN f x ON x.qname = a JOIN f y ON y.qname = b""")
+SELECT a, b, CAST(round(weight * coalesce(x.f, 1) * coalesce(y.f, 1), 6) AS DECIMAL(18, 6)) AS weight FROM und LEFT JOIN f x ON x.qname = a LEFT JOIN f y ON y.qname = b""")
 def damped_weights(spark, d):
     g = Graph(spark, d)
     w = community.damped(community.undirected(g.calls(), g.nodes()), community.sink_signals(g.calls()))
@@ -513,25 +543,21 @@ def hub_pruned_edges(spark, d):
     return community.hub_pruned(community.undirected(g.calls(), g.nodes()), community.sink_signals(g.calls()))
 
 
-_PARTGRAPH = "pg AS (SELECT source AS a, target AS b FROM calls WHERE ord = 1000002 UNION SELECT target, source FROM calls WHERE ord = 1000002)"
-_COMP = f"{_PARTGRAPH}, walk AS (SELECT a AS qname, a AS node FROM pg UNION SELECT w.qname, pg.b FROM walk w JOIN pg ON pg.a = w.node), comp AS (SELECT qname, min(node) AS community FROM walk GROUP BY 1)"
-
-
-def _part_graph(g: Graph) -> DataFrame:
-    return community.undirected(g.calls().where("ord = 1000002"), g.parts())
+def _weights(g: Graph) -> DataFrame:
+    return community.undirected(g.calls(), g.nodes())
 
 
-@_query(f"+ {_COMP} SELECT * FROM comp", recursive=True)
+@_query()
 def community_components(spark, d):
-    return community.components(_part_graph(Graph(spark, d)))
+    return community.components(_weights(Graph(spark, d)))
 
 
-@_query(f"""+ {_PARTGRAPH}, l0 AS (SELECT DISTINCT a AS q, a AS c FROM pg),
-v1 AS (SELECT pg.a, c, count(*) AS w FROM pg JOIN l0 ON q = b GROUP BY 1, 2), l1 AS (SELECT a AS q, arg_min(c, (-w, c)) AS c FROM v1 GROUP BY 1),
-v2 AS (SELECT pg.a, c, count(*) AS w FROM pg JOIN l1 ON q = b GROUP BY 1, 2), l2 AS (SELECT a AS q, arg_min(c, (-w, c)) AS c FROM v2 GROUP BY 1)
+@_query(f"""+ {_UND}, pg AS (SELECT a, b, weight FROM und UNION ALL SELECT b, a, weight FROM und), l0 AS (SELECT DISTINCT a AS q, a AS c FROM pg),
+v1 AS (SELECT pg.a, c, sum(weight) AS w FROM pg JOIN l0 ON q = b GROUP BY 1, 2), l1 AS (SELECT a AS q, arg_min(c, (-w, c)) AS c FROM v1 GROUP BY 1),
+v2 AS (SELECT pg.a, c, sum(weight) AS w FROM pg JOIN l1 ON q = b GROUP BY 1, 2), l2 AS (SELECT a AS q, arg_min(c, (-w, c)) AS c FROM v2 GROUP BY 1)
 SELECT q AS qname, c AS community FROM l2""")
 def community_lpa_k(spark, d):
-    return community.label_propagation(_part_graph(Graph(spark, d)), 2)
+    return community.label_propagation(_weights(Graph(spark, d)), 2)
 
 
 def _modules(g: Graph) -> DataFrame:
@@ -547,19 +573,34 @@ def inter_community_edges(spark, d):
     return community.between(g.calls(), _modules(g))
 
 
-@_query(f"+ {_COMP} SELECT community, count(*) AS node_count FROM comp GROUP BY 1", recursive=True)
+@_query()
 def community_sizes(spark, d):
-    return community.components(_part_graph(Graph(spark, d))).groupBy("community").agg(F.count("*").alias("node_count"))
+    return community.components(_weights(Graph(spark, d))).groupBy("community").agg(F.count("*").alias("node_count"))
 
 
-@_query("""SELECT parent AS community, CASE WHEN count(*) = 1 THEN min(qname) ELSE parent END AS label, count(*) AS node_count FROM ords GROUP BY parent""")
+@_query("""+ m AS (SELECT parent AS community, min(qname) AS lo, max(qname) AS hi, count(*) AS node_count FROM ords GROUP BY 1),
+l AS (SELECT community, node_count, lo, lo[1:coalesce(list_max(list_filter(range(1, length(lo) + 1), lambda i: lo[1:i] = hi[1:i])), 0)] AS p FROM m),
+c AS (SELECT community, node_count, lo, regexp_replace(regexp_replace(p, '[.:]+$', ''), '(\\.|::)[^.:]*$', '') AS p FROM l),
+n AS (SELECT community, node_count, CASE WHEN p = '' THEN split_part(lo, '::', 1) ELSE regexp_replace(p, '(\\.|:)index$', '') END AS label FROM c),
+f AS (SELECT label FROM n ORDER BY community LIMIT 1),
+d AS (SELECT label[1:i] AS pre FROM f, range(1, (SELECT length(label) + 1 FROM f)) t(i) WHERE label[i] = '.'),
+b AS (SELECT pre FROM d WHERE (SELECT count(*) FROM n WHERE starts_with(n.label, pre)) > 0.8 * (SELECT count(*) FROM n) ORDER BY length(pre) DESC LIMIT 1)
+SELECT community, CASE WHEN starts_with(label, (FROM b)) THEN substr(label, (SELECT length(pre) + 1 FROM b)) ELSE label END AS label, node_count FROM n""")
 def community_labels(spark, d):
     return community.labels(Graph(spark, d).orders().select("qname", F.col("parent").alias("community")))
 
 
+@_query("""SELECT p_brand AS community, module AS label, count(*) AS node_count FROM parts GROUP BY 1, 2""")
+def community_labels_plain(spark, d):
+    """Communities whose labels share no dotted prefix that most have, but for that of a package: it goes."""
+    parts = Graph(spark, d).parts()
+    l = community.labels(parts.select("qname", F.col("p_brand").alias("community")))
+    return l.withColumn("label", F.concat(F.lit("parts."), "label"))
+
+
 # search
 
-_BM25 = """SELECT {id} AS id, tok FROM (SELECT {id}, unnest(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM {t}) WHERE tok <> ''"""
+_BM25 = """SELECT {id} AS id, tok FROM (SELECT {id}, unnest(regexp_split_to_array(strip_accents(lower({text})), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM {t}) WHERE tok <> ''"""
 
 
 def _bm25_sql(first: str, second: str) -> str:
@@ -584,14 +625,30 @@ def search_prefix_and(spark, d):
     return r.select("id", F.round("score", 6).cast("decimal(18,6)").alias("score"))
 
 
-@_query("SELECT id, qname, kind, file FROM nodes WHERE regexp_full_match(regexp_extract(qname, '([^.:]*)$', 1), 'p.*7')")
+_SHOWN = "id, qname, kind, file, start_line, end_line, signature"
+
+
+@_query(f"SELECT {_SHOWN} FROM nodes WHERE kind IN ('function', 'method', 'class') AND regexp_full_match(regexp_extract(qname, '([^.:]*)$', 1), 'p.*7')")
 def search_glob(spark, d):
     return search.glob_search(Graph(spark, d).nodes(), "p*7")
 
 
-@_query("SELECT id, qname, kind, file FROM nodes WHERE contains(lower(qname), 'c12')")
+@_query(f"""SELECT {_SHOWN} FROM nodes WHERE kind IN ('function', 'method', 'class')
+AND contains(lower(concat_ws(' ', qname, file, signature, array_to_string(decorators, ' '), end_line)), 't-o 1')""")
 def search_infix(spark, d):
-    return search.infix_search(Graph(spark, d).nodes(), "C12")
+    """The end of a decorator and the start of a line number: only the joined columns hold it."""
+    return search.infix_search(Graph(spark, d).nodes(), "T-O 1")
+
+
+@_query("""+ x AS (SELECT qname, concat_ws(' ', qname, file, signature, array_to_string(decorators, ' '), end_line) AS t FROM nodes WHERE kind IN ('function', 'method', 'class')),
+p AS (SELECT qname, tok FROM (SELECT qname, unnest(regexp_split_to_array(strip_accents(lower(t)), '[^\\p{L}\\p{N}]+')) AS tok FROM x) WHERE tok <> ''),
+l AS (SELECT qname, count(*) AS len, count(*) FILTER (starts_with(tok, 'urgent')) AS a, count(*) FILTER (starts_with(tok, 'r3')) AS b FROM p GROUP BY 1),
+st AS (SELECT count(*) AS n, avg(len) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM l),
+s AS (SELECT qname, -(greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / avgdl))
+  + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / avgdl))) AS score FROM l, st WHERE a > 0 AND b > 0)
+SELECT qname, kind, file, start_line, end_line, signature, CAST(round(score, 6) AS DECIMAL(18, 6)) AS score FROM s JOIN nodes USING (qname) ORDER BY s.score, qname LIMIT 30""")
+def search_symbols(spark, d):
+    return search.search(Graph(spark, d).nodes(), "Urgent r3").withColumn("score", F.round("score", 6).cast("decimal(18,6)"))
 
 
 # evaluation
@@ -702,13 +759,15 @@ def gold_text_classification(spark, d):
     key = lambda c, at: F.xxhash64(F.slice(c, at, F.lit(3)))
     words = lambda c: F.split(c, r"\s+")
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
-    # inner words alone are whole in any document that holds the item
-    items = items.where("size(w) >= 5").select("item_id", "item", key(F.col("w"), F.lit(2)).alias("k"))
+    # inner words alone are whole in any document that holds the item; items of few words have none and are looked for one by one
     docs = table(spark, d, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
+    brief = items.where("size(w) < 5").select("item_id", "item")
+    few = docs.join(F.broadcast(brief), F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    items = items.where("size(w) >= 5").select("item_id", "item", key(F.col("w"), F.lit(2)).alias("k"))
     places = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: key(F.col("w"), i))).alias("k"))
     small = items.select("k").distinct()
     hits = places.join(small, "k", "left_semi").distinct().join(items, "k")
-    return hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()
+    return hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id").union(few).distinct()
 
 
 @_query("""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)

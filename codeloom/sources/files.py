@@ -15,7 +15,7 @@ SUFFIXES = {
 }
 NODE = "struct<qname:string,kind:string,start_line:int,end_line:int,signature:string,parent:string,decorators:array<string>>"
 CALL = "struct<source:string,receiver:string,name:string,form:string,line:int>"
-IMPORT = "struct<local:string,target_module:string,target_name:string,is_star:boolean>"
+IMPORT = "struct<local:string,target_module:string,target_name:string,is_star:boolean,ord:int>"
 BASE = "struct<cls:string,base:string>"
 
 
@@ -84,12 +84,12 @@ def parse_python(files: DataFrame) -> DataFrame:
                                       "form": "simple" if simple else "attribute" if attribute else "other", "line": child.lineno})
                     elif isinstance(child, ast.Import):
                         for a in child.names:
-                            imports.append({"local": a.asname or a.name.split(".")[0], "target_module": a.name, "target_name": None, "is_star": False})
+                            imports.append({"local": a.asname or a.name.split(".")[0], "target_module": a.name, "target_name": None, "is_star": False, "ord": len(imports)})
                     elif isinstance(child, ast.ImportFrom):
                         up = module.split(".")[: len(module.split(".")) - child.level] if child.level else []
                         target = ".".join([*up, *([child.module] if child.module else [])])
                         for a in child.names:
-                            imports.append({"local": a.asname or a.name, "target_module": target, "target_name": a.name, "is_star": a.name == "*"})
+                            imports.append({"local": a.asname or a.name, "target_module": target, "target_name": a.name, "is_star": a.name == "*", "ord": len(imports)})
                     walk(child, scope, in_class)
 
             try:

@@ -34,7 +34,8 @@ class Graph:
         # nations are a fixed list of 25
         return self.t("customer").join(F.broadcast(self.nations()), F.col("c_nationkey") == F.col("nk")).selectExpr(
             "c_custkey AS ck", "concat(module, '::C', c_custkey) AS qname", "module", "file", "c_name AS signature",
-            "CAST(c_mktsegment = 'MACHINERY' AS INT) AS is_test",
+            "CAST(c_mktsegment = 'MACHINERY' AS INT) AS is_test", "CAST(2000000 + c_custkey * 10 AS INT) AS start_line",
+            "CAST(2000008 + c_custkey * 10 AS INT) AS end_line", "IF(c_custkey % 9 = 0, array('1-BOOT'), CAST(array() AS ARRAY<STRING>)) AS decorators",
         )
 
     def suppliers(self) -> DataFrame:
@@ -50,35 +51,35 @@ class Graph:
     def orders(self) -> DataFrame:
         lines = self.t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
         return (
-            self.t("orders").join(self.customers(), F.col("o_custkey") == F.col("ck"))
+            self.t("orders").join(self.customers().select("ck", "qname", "module", "file", "is_test"), F.col("o_custkey") == F.col("ck"))
             .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
             .selectExpr(
                 "o_orderkey AS ok", "concat(qname, '.o', o_orderkey) AS qname", "qname AS parent", "module", "file",
-                "o_orderpriority AS decorator", "is_test", "CAST((o_orderkey % 1000) * 10 + 1 AS INT) AS start_line",
+                "array(o_orderpriority, concat('st-', o_orderstatus)) AS decorators", "is_test", "CAST((o_orderkey % 1000) * 10 + 1 AS INT) AS start_line",
                 "CAST((o_orderkey % 1000) * 10 + 1 + coalesce(n_lines, 0) AS INT) AS end_line", "o_orderstatus", "o_totalprice",
             )
         )
 
     def nodes(self) -> DataFrame:
-        """id, qname, kind, file, start_line, end_line, signature, parent, is_test, decorator."""
-        cols = ["id", "qname", "kind", "file", "start_line", "end_line", "signature", "parent", "is_test", "decorator"]
-        none = "CAST(NULL AS STRING)"
+        """id, qname, kind, file, start_line, end_line, signature, parent, is_test, decorators."""
+        cols = ["id", "qname", "kind", "file", "start_line", "end_line", "signature", "parent", "is_test", "decorators"]
+        none, bare = "CAST(NULL AS STRING)", "CAST(array() AS ARRAY<STRING>)"
         brands = self.parts().select("module", "file").distinct().selectExpr("module", "file", "CAST(substring(module, 8) AS BIGINT) AS k")
         return (
-            self.nations().selectExpr("CAST(1000000000000 + nk AS BIGINT)", "module", "'module'", "file", "1", "1", "n_name", none, "0", none)
-            .union(brands.selectExpr("2000000000000 + k", "module", "'module'", "file", "1", "1", "module", none, "0", none))
-            .union(self.customers().selectExpr("3000000000000 + ck", "qname", "'class'", "file", "1", "1", "signature", "module", "is_test", none))
-            .union(self.suppliers().selectExpr("4000000000000 + sk", "qname", "'class'", "file", "1", "1", "signature", "module", "0", none))
-            .union(self.orders().selectExpr("5000000000000 + ok", "qname", "'method'", "file", "start_line", "end_line", "concat('o', ok)", "parent", "is_test", "decorator"))
-            .union(self.parts().selectExpr("6000000000000 + pk", "qname", "'function'", "file", "1", "1", "p_name", "module", "0", none))
+            self.nations().selectExpr("CAST(1000000000000 + nk AS BIGINT)", "module", "'module'", "file", "1", "1", "n_name", none, "0", bare)
+            .union(brands.selectExpr("2000000000000 + k", "module", "'module'", "file", "1", "1", "module", none, "0", bare))
+            .union(self.customers().selectExpr("3000000000000 + ck", "qname", "'class'", "file", "start_line", "end_line", "signature", "module", "is_test", "decorators"))
+            .union(self.suppliers().selectExpr("4000000000000 + sk", "qname", "'class'", "file", "1", "1", "signature", "module", "0", bare))
+            .union(self.orders().selectExpr("5000000000000 + ok", "qname", "'method'", "file", "start_line", "end_line", "concat('o', ok)", "parent", "is_test", "decorators"))
+            .union(self.parts().selectExpr("6000000000000 + pk", "qname", "'function'", "file", "1", "1", "p_name", "module", "0", bare))
             .toDF(*cols)
         )
 
     def calls(self) -> DataFrame:
-        """source, target, kind, resolution, ord: the call edges, numbered within their source."""
+        """source, target, kind, resolution, ord, rule_id: the call edges, numbered within their source; all six labels occur."""
         label = (
             "CASE WHEN l_returnflag = 'N' THEN 'resolved' WHEN l_returnflag = 'A' THEN 'dynamic' "
-            "WHEN l_linestatus = 'F' THEN 'unresolved' ELSE 'candidate' END"
+            "ELSE element_at(array('unresolved', 'candidate', 'external', 'semantic'), CAST(l_linenumber % 4 + 1 AS INT)) END"
         )
         lines = self.t("lineitem").selectExpr("l_orderkey", "l_partkey", f"{label} AS resolution", "l_linenumber").groupBy(
             "l_orderkey", "l_partkey", "resolution"
@@ -94,7 +95,8 @@ class Graph:
         ).selectExpr("source", "target", "'resolved' AS resolution", "1000001L AS ord")
         step = self.parts().selectExpr("pk AS p", "qname AS source", "CASE WHEN pk % 5 <> 0 THEN pk - 1 ELSE pk + 4 END AS next")
         chained = step.join(parts, F.col("next") == F.col("pk")).selectExpr("source", "target", "'resolved' AS resolution", "1000002L AS ord")
-        return made.unionByName(supplied).unionByName(chained).selectExpr("source", "target", "'call' AS kind", "resolution", "ord")
+        rule = "IF(resolution = 'semantic', IF(ord % 2 = 0, 'R1', 'R2'), NULL) AS rule_id"
+        return made.unionByName(supplied).unionByName(chained).selectExpr("source", "target", "'call' AS kind", "resolution", "ord", rule)
 
     def contains(self) -> DataFrame:
         return self.nodes().where("parent IS NOT NULL").selectExpr(
@@ -119,14 +121,23 @@ class Graph:
         )
 
     def edges(self) -> DataFrame:
-        return self.calls().unionByName(self.contains()).unionByName(self.imports()).unionByName(self.extends())
+        return self.calls().unionByName(self.contains(), True).unionByName(self.imports(), True).unionByName(self.extends(), True)
 
     def hunks(self) -> DataFrame:
-        """file, start, count of changed line ranges: some inside orders, some far outside of any."""
+        """file, start, count of changed line ranges: some inside orders, some in the bodies of classes, some far outside of any."""
         o = self.orders()
         return o.where("ok % 97 = 0").selectExpr("file", "start_line + 1 AS start", "3 AS count").union(
             o.where("ok % 89 = 0").selectExpr("file", "start_line + 1000000", "2")
-        ).distinct()
+        ).union(self.customers().where("ck % 11 = 0").selectExpr("file", "start_line + 4", "2")).distinct()
+
+    def numstat(self) -> DataFrame:
+        """file, added, removed of all files that orders or parts are in; those of parts are binary."""
+        o = self.orders().groupBy("file").agg(F.count("*").alias("added"), F.count_if(F.col("ok") % 2 == 0).alias("removed"))
+        return o.unionByName(self.parts().select("file").distinct().selectExpr("file", "0L AS added", "0L AS removed"))
+
+    def deleted_files(self) -> DataFrame:
+        """file of the nations that are gone as a whole."""
+        return self.nations().where("nk % 10 = 7").select("file")
 
 
 #: The same projection in DuckDB, as common table expressions.
@@ -134,28 +145,30 @@ SQL = """
 nations AS (SELECT n_nationkey AS nk, 'r' || n_regionkey || '.n' || n_nationkey AS module,
   'src/r' || n_regionkey || '/n' || n_nationkey || '.py' AS file, n_name FROM nation),
 customers AS (SELECT c_custkey AS ck, module || '::C' || c_custkey AS qname, module, file, c_name AS signature,
-  CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS is_test FROM customer JOIN nations ON c_nationkey = nk),
+  CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS is_test, CAST(2000000 + c_custkey * 10 AS INTEGER) AS start_line,
+  CAST(2000008 + c_custkey * 10 AS INTEGER) AS end_line, CASE WHEN c_custkey % 9 = 0 THEN ['1-BOOT'] ELSE CAST([] AS VARCHAR[]) END AS decorators
+  FROM customer JOIN nations ON c_nationkey = nk),
 suppliers AS (SELECT s_suppkey AS sk, module || '::S' || s_suppkey AS qname, module, file, s_name AS signature
   FROM supplier JOIN nations ON s_nationkey = nk),
 parts AS (SELECT p_partkey AS pk, 'parts.b' || regexp_extract(p_brand, '([0-9]+)', 1) AS module, p_name, p_brand, p_type,
   'parts.b' || regexp_extract(p_brand, '([0-9]+)', 1) || '::p' || p_partkey AS qname,
   'src/parts/b' || regexp_extract(p_brand, '([0-9]+)', 1) || '.py' AS file FROM part),
 ords AS (SELECT o_orderkey AS ok, c.qname || '.o' || o_orderkey AS qname, c.qname AS parent, c.module, c.file,
-  o_orderpriority AS decorator, c.is_test, CAST((o_orderkey % 1000) * 10 + 1 AS INTEGER) AS start_line,
+  [o_orderpriority, 'st-' || o_orderstatus] AS decorators, c.is_test, CAST((o_orderkey % 1000) * 10 + 1 AS INTEGER) AS start_line,
   CAST((o_orderkey % 1000) * 10 + 1 + coalesce(n_lines, 0) AS INTEGER) AS end_line, o_orderstatus, o_totalprice
   FROM orders JOIN customers c ON o_custkey = ck
   LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 nodes AS (
   SELECT 1000000000000 + nk AS id, module AS qname, 'module' AS kind, file, 1 AS start_line, 1 AS end_line, n_name AS signature,
-    CAST(NULL AS VARCHAR) AS parent, 0 AS is_test, CAST(NULL AS VARCHAR) AS decorator FROM nations
-  UNION ALL SELECT DISTINCT 2000000000000 + CAST(substr(module, 8) AS BIGINT), module, 'module', file, 1, 1, module, NULL, 0, NULL FROM parts
-  UNION ALL SELECT 3000000000000 + ck, qname, 'class', file, 1, 1, signature, module, is_test, NULL FROM customers
-  UNION ALL SELECT 4000000000000 + sk, qname, 'class', file, 1, 1, signature, module, 0, NULL FROM suppliers
-  UNION ALL SELECT 5000000000000 + ok, qname, 'method', file, start_line, end_line, 'o' || ok, parent, is_test, decorator FROM ords
-  UNION ALL SELECT 6000000000000 + pk, qname, 'function', file, 1, 1, p_name, module, 0, NULL FROM parts),
+    CAST(NULL AS VARCHAR) AS parent, 0 AS is_test, CAST([] AS VARCHAR[]) AS decorators FROM nations
+  UNION ALL SELECT DISTINCT 2000000000000 + CAST(substr(module, 8) AS BIGINT), module, 'module', file, 1, 1, module, NULL, 0, [] FROM parts
+  UNION ALL SELECT 3000000000000 + ck, qname, 'class', file, start_line, end_line, signature, module, is_test, decorators FROM customers
+  UNION ALL SELECT 4000000000000 + sk, qname, 'class', file, 1, 1, signature, module, 0, [] FROM suppliers
+  UNION ALL SELECT 5000000000000 + ok, qname, 'method', file, start_line, end_line, 'o' || ok, parent, is_test, decorators FROM ords
+  UNION ALL SELECT 6000000000000 + pk, qname, 'function', file, 1, 1, p_name, module, 0, [] FROM parts),
 lines AS (SELECT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'N' THEN 'resolved' WHEN l_returnflag = 'A' THEN 'dynamic'
-  WHEN l_linestatus = 'F' THEN 'unresolved' ELSE 'candidate' END AS resolution, min(l_linenumber) AS ln FROM lineitem GROUP BY ALL),
-calls AS (
+  ELSE ['unresolved', 'candidate', 'external', 'semantic'][l_linenumber % 4 + 1] END AS resolution, min(l_linenumber) AS ln FROM lineitem GROUP BY ALL),
+calls0 AS (
   SELECT o.qname AS source, p.qname AS target, 'call' AS kind, resolution,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY ln, l_partkey, resolution) AS ord
   FROM lines JOIN ords o ON ok = l_orderkey JOIN parts p ON pk = l_partkey
@@ -163,13 +176,18 @@ calls AS (
   FROM (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1) m JOIN parts p ON pk = l_partkey JOIN suppliers s ON sk = m.s
   UNION ALL SELECT a.qname, b.qname, 'call', 'resolved', 1000002
   FROM parts a JOIN parts b ON b.pk = CASE WHEN a.pk % 5 <> 0 THEN a.pk - 1 ELSE a.pk + 4 END),
+calls AS (SELECT *, CASE WHEN resolution = 'semantic' THEN CASE WHEN ord % 2 = 0 THEN 'R1' ELSE 'R2' END END AS rule_id FROM calls0),
 contains_ AS (SELECT parent AS source, qname AS target, 'contains' AS kind, 'resolved' AS resolution, id AS ord FROM nodes WHERE parent IS NOT NULL),
 imports AS (SELECT DISTINCT c.module AS source, s.module AS target, 'import' AS kind, 'resolved' AS resolution, 0 AS ord
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customers c ON o_custkey = ck JOIN suppliers s ON l_suppkey = sk
   WHERE c.module <> s.module),
 extends_ AS (SELECT a.qname AS source, b.qname AS target, 'extends' AS kind, 'resolved' AS resolution, 0 AS ord
   FROM customers a JOIN customers b ON b.ck = a.ck // 10 WHERE a.ck > 0),
-edges AS (SELECT * FROM calls UNION ALL SELECT * FROM contains_ UNION ALL SELECT * FROM imports UNION ALL SELECT * FROM extends_),
+edges AS (SELECT * FROM calls UNION ALL SELECT *, NULL FROM contains_ UNION ALL SELECT *, NULL FROM imports UNION ALL SELECT *, NULL FROM extends_),
 hunks AS (SELECT DISTINCT * FROM (SELECT file, start_line + 1 AS start, 3 AS count FROM ords WHERE ok % 97 = 0
-  UNION ALL SELECT file, start_line + 1000000, 2 FROM ords WHERE ok % 89 = 0))
+  UNION ALL SELECT file, start_line + 1000000, 2 FROM ords WHERE ok % 89 = 0
+  UNION ALL SELECT file, start_line + 4, 2 FROM customers WHERE ck % 11 = 0)),
+numstat AS (SELECT file, count(*) AS added, count(*) FILTER (ok % 2 = 0) AS removed FROM ords GROUP BY 1
+  UNION ALL SELECT DISTINCT file, 0, 0 FROM parts),
+deleted_files AS (SELECT file FROM nations WHERE nk % 10 = 7)
 """

@@ -1,5 +1,6 @@
 """Operators on small graphs against plain Python."""
 
+import itertools
 import random
 from collections import deque
 
@@ -17,10 +18,10 @@ def edges_of(spark, rows):
 
 
 def nodes_of(spark, qnames, **extra):
-    row = {"kind": "function", "file": "f.py", "start_line": 1, "end_line": 2, "signature": "s", "is_test": 0, "decorator": None, "parent": None} | extra
+    row = {"kind": "function", "file": "f.py", "start_line": 1, "end_line": 2, "signature": "s", "is_test": 0, "decorators": [], "parent": None} | extra
     return spark.createDataFrame(
         [(i, q, *row.values()) for i, q in enumerate(qnames)],
-        "id long, qname string, kind string, file string, start_line int, end_line int, signature string, is_test int, decorator string, parent string",
+        "id long, qname string, kind string, file string, start_line int, end_line int, signature string, is_test int, decorators array<string>, parent string",
     )
 
 
@@ -98,6 +99,99 @@ def test_risk(spark):
     e = edges_of(spark, [("k::x", "m::a", "call", "resolved"), ("m::a", "m::b", "call", "resolved"), ("m::c", "m::b", "call", "dynamic")])
     r = {x.qname: x.risk for x in impact.risk_scores(e, n).collect()}
     assert r == {"m::a": 70, "m::b": 35, "m::c": 10, "k::x": 10}
+    tests = nodes_of(spark, ["m::a", "m::c"]).union(nodes_of(spark, ["k::x"], file="g.py", is_test=1))
+    assert {x.qname: x.risk for x in impact.risk_scores(e, tests).collect()}["m::a"] == 10
+
+
+def test_uncertainty_and_coverage(spark):
+    rows = [("m::a", "e", "call", "external"), ("m::a", "u", "import", "unresolved"), ("m::a", "d", "call", "dynamic"), ("m::z", "m::a", "call", "candidate"), ("m::a", "s", "call", "semantic"),
+            ("m::a", "m::b", "call", "resolved"), ("m::a", "m::a", "call", "dynamic")]
+    rows += [("m::q", f"x{i:02}", "call", "dynamic") for i in range(20)] + [("m::p", f"y{i:02}", "call", "dynamic") for i in range(19)]
+    e = edges_of(spark, rows).withColumn("rule_id", F.lit(None).cast("string"))
+    u = graph.uncertainty(e).where("symbol = 'm::a'").orderBy("rank").collect()
+    assert [(x.resolution, x.source, x.expression) for x in u] == [
+        ("dynamic", "m::a", "d"), ("dynamic", "m::a", "m::a"), ("candidate", "m::z", "m::a"), ("unresolved", "m::a", "u"), ("external", "m::a", "e"), ("semantic", "m::a", "s")]
+    assert u[-1].reason == "uncertain edge" and {x.truncated for x in u} == {0}
+    c = {x.symbol: x for x in graph.coverage(e).collect()}
+    assert (c["m::q"].truncated, c["m::p"].truncated, c["m::a"].truncated) == (1, 0, 0)
+    assert (c["m::a"].resolved_edges, c["m::a"].dynamic_edges, c["m::a"].unresolved_edges) == (1, 2, 0)
+    assert graph.uncertainty(e).where("symbol = 'm::q'").agg(F.min("truncated")).first()[0] == 1
+
+
+def plain_flows(rows, entries, followed=("resolved",)):
+    adj, out = {}, {}
+    for s, t, _, r in rows:
+        if r in followed and t not in adj.setdefault(s, []):
+            adj[s].append(t)
+    for e in entries:
+        seen, queue = [e], deque([e])
+        while queue:
+            for t in adj.get(queue.popleft(), []):
+                if t not in seen:
+                    seen.append(t)
+                    queue.append(t)
+        out[e] = seen
+    return out
+
+
+def test_slices_impact_and_tests_match_plain_python(spark):
+    rng = random.Random(11)
+    for cap, n in ((3, 14), (20, 40)):
+        names = [f"n{i:02}" for i in range(n)]
+        rows = [(rng.choice(names), rng.choice(names), "call", rng.choice(["resolved"] * 4 + ["dynamic"])) for _ in range(2 * n)]
+        tests = {x for x in names if rng.random() < 0.3}
+        e = edges_of(spark, rows)
+        nodes = nodes_of(spark, [x for x in names if x not in tests]).union(nodes_of(spark, sorted(tests), is_test=1))
+        entries = names[::3]
+        flows_of = plain_flows(rows, entries)
+        f = flows.saved(flows.build_flows(spark.createDataFrame([(x,) for x in entries], "qname string"), e))
+        symbols = spark.createDataFrame([(x,) for x in [*names, "gone::x"]], "qname string")
+        for mode, ok in (("exclude", lambda x: x not in tests), ("only", lambda x: x in tests), ("include", lambda x: True)):
+            keep = nodes.where(F.col("is_test").isin(impact.TESTS[mode])).select(F.col("qname").alias("node"), F.lit(True).alias("kept"))
+            near = flows.slices(f.select("entry", "node", "position").join(keep, "node", "left"), symbols, F.col("kept"), cap)
+            direct = impact.direct_impact(e, nodes, symbols, cap, mode)
+            got = {}
+            for x in impact.impact(near, direct).orderBy("rank").collect():
+                got.setdefault((x.symbol, x.direction), []).append(x.node)
+            for s in names:
+                sides = {"up": sorted({a for a, b, _, r in rows if b == s and r == "resolved" and ok(a)})[:cap], "down": sorted({b for a, b, _, r in rows if a == s and r == "resolved" and ok(b)})[:cap]}
+                for entry in sorted(flows_of):
+                    path = flows_of[entry]
+                    if s in path:
+                        at = path.index(s)
+                        sides["up"] = sides["up"] + [x for x in path[:at] if ok(x)][-cap:]
+                        sides["down"] = sides["down"] + [x for x in path[at + 1:] if ok(x)][:cap]
+                for d, want in sides.items():
+                    assert got.get((s, d), []) == list(dict.fromkeys(want)), (mode, s, d)
+            if mode == "only":
+                c = impact.covers(impact.affected_entries(f, nodes, symbols, "only"), direct, near, nodes)
+                want = {(t, s) for s in names for t in got.get((s, "up"), [])} | {(x, s) for x in entries if x in tests for s in flows_of[x]}
+                assert {(x.test, x.symbol) for x in c.collect()} == want
+                flags = {x.symbol: x for x in impact.test_impact_flags(symbols, nodes, c, e).collect()}
+                hidden = {x for a, b, _, r in rows if r == "dynamic" for x in (a, b)}
+                assert all(flags[s].fallback == int(s in hidden and not any(w[1] == s for w in want)) for s in names)
+                assert flags["gone::x"].fallback == 1 and flags["gone::x"].found == 0
+
+
+def test_long_chain_and_registered_rules(spark):
+    rows = [(f"c{i:03}", f"c{i + 1:03}", "call", "resolved") for i in range(40)] + [("c040", "s1", "call", "semantic"), ("s1", "s2", "call", "semantic")]
+    e = edges_of(spark, rows).withColumn("rule_id", F.when(F.col("target") == "s1", "R1").otherwise("R2"))
+    entry = spark.createDataFrame([("c000",)], "qname string")
+    got = [x.node for x in flows.build_flows(entry, e, rules={"R1": True, "R2": False}).orderBy("position").collect()]
+    assert got == [f"c{i:03}" for i in range(41)] + ["s1"]
+    n = nodes_of(spark, ["s1", "s2", "c000"])
+    assert {x.qname for x in flows.entry_nodes(n, e, [], [], {"R1": True}).collect()} == {"s2", "c000"}
+
+
+def test_dead_code_knows_entries_of_all_kinds(spark):
+    n = nodes_of(spark, ["m::main", "m::used", "m::dead"]).union(nodes_of(spark, ["m::Plugin"], kind="class", decorators=["other", "register"]))
+    n = n.union(nodes_of(spark, ["m::Gone"], kind="class", file="g.py")).union(nodes_of(spark, ["g"], kind="module", file="g.py")).union(nodes_of(spark, ["m"], kind="module"))
+    n = n.union(nodes_of(spark, ["p"], kind="module", file="pkg/reinit_x.py")).union(nodes_of(spark, ["q"], kind="module", file="q/__init__.py"))
+    e = edges_of(spark, [("m::main", "m::used", "call", "resolved")])
+    entry = flows.is_entry(["main"], ["regist*"])
+    dead = impact.dead_symbols(n, graph.degrees(e, n), entry)
+    assert {x.qname for x in dead.collect()} == {"m::dead", "m::Gone"}
+    assert {(x.qname, x.symbol_count) for x in impact.dead_files(n, e, entry, dead).collect()} == {("g", 1)}  # reinit_x.py fits the pattern of package files
 
 
 def test_diff_parsing(spark):
@@ -111,10 +205,20 @@ def test_diff_parsing(spark):
 def test_every_hunk_is_accounted_for(spark):
     n = nodes_of(spark, ["m::long"], start_line=10, end_line=400).union(nodes_of(spark, ["m::b"], start_line=500, end_line=501))
     h = spark.createDataFrame([("f.py", 60, 300), ("f.py", 401, 99), ("f.py", 395, 106), ("z.py", 1, 1)], "file string, start int, count int")
+    n = n.unionByName(nodes_of(spark, ["m::C"], kind="class", start_line=401, end_line=450).withColumn("id", F.lit(77).cast("long")))
+    h = h.union(spark.createDataFrame([("f.py", 410, 2), ("f.py", 460, 2)], "file string, start int, count int"))
     o = changes.hunk_overlaps(h, n)
     assert sorted((x.start, x.qname) for x in o.collect()) == [(60, "m::long"), (395, "m::b"), (395, "m::long")]
-    u = changes.uncovered_hunks(h, o)
-    assert sorted((x.file, x.start) for x in u.collect()) == [("f.py", 401), ("z.py", 1)]
+    assert sorted((x.file, x.start) for x in changes.uncovered_hunks(h, n).collect()) == [("f.py", 460), ("z.py", 1)]
+    names = lambda *x: spark.createDataFrame([(y,) for y in x], "file string")
+    stat = spark.createDataFrame([("f.py", 1, 1), ("img.png", 0, 0), ("gone.py", 0, 9), ("told.py", 0, 4)], "file string, added long, removed long")
+    u = changes.uncovered_changes(h, stat, names("gone.py", "told.py"), n, names("told.py"))
+    assert {(x.file, x.start, x.deleted) for x in u.collect()} == {("f.py", 460, 0), ("z.py", 1, 0), ("img.png", None, 0), ("gone.py", None, 1)}
+    risks = spark.createDataFrame([("m::long", 70)], "qname string, risk long")
+    f = {x.qname: x.risk for x in changes.changed_functions(h, names("gone.py"), n, risks).collect()}
+    assert f == {"m::long": 70, "m::b": 50, "m::C": 50}
+    total = changes.change_summary(stat, n, u, names("a", "b")).first()
+    assert tuple(total) == (4, 1, 14, 3, 4, 2)
 
 
 def test_delta_keeps_ids(spark):
@@ -125,10 +229,10 @@ def test_delta_keeps_ids(spark):
 
 
 def test_manifest_and_repair(spark):
-    schema = "path string, stamp double, hash string"
-    old = spark.createDataFrame([("a", 1.0, "x"), ("b", 1.0, "x"), ("c", 1.0, "x"), ("d", 1.0, "x")], schema)
-    new = spark.createDataFrame([("a", 1.0, "y"), ("b", 2.0, "x"), ("c", 2.0, "y"), ("e", 1.0, "x")], schema)
-    assert {tuple(x) for x in changes.manifest_diff(old, new).collect()} == {("c", "changed"), ("d", "deleted"), ("e", "added")}
+    schema = "path string, stamp double, size int, hash string"
+    old = spark.createDataFrame([("a", 1.0, 1, "x"), ("b", 1.0, 1, "x"), ("c", 1.0, 1, "x"), ("d", 1.0, 1, "x"), ("s", 1.0, 1, "x")], schema)
+    new = spark.createDataFrame([("a", 1.0, 1, "y"), ("b", 2.0, 1, "x"), ("c", 2.0, 1, "y"), ("e", 1.0, 1, "x"), ("s", 1.0, 2, "y")], schema)
+    assert {tuple(x) for x in changes.manifest_diff(old, new).collect()} == {("c", "changed"), ("d", "deleted"), ("e", "added"), ("s", "changed")}
     e = edges_of(spark, [("a", "m::b", "call", "unresolved"), ("a", "m::gone", "call", "resolved"), ("a", "m::b", "call", "dynamic"), ("a", "plain", "call", "unresolved")])
     r = [x.resolution for x in changes.repair_resolutions(e, nodes_of(spark, ["m::b", "plain"])).orderBy("ord").collect()]
     assert r == ["resolved", "unresolved", "dynamic", "unresolved"]
@@ -140,7 +244,21 @@ def test_communities(spark):
     assert r["c"] == "a" and r["y"] == "x" and r["q20"] == "q00"
     m = spark.createDataFrame([("a.b::C.x", 1), ("a.b::C.y", 1), ("a.b::Z", 2)], "qname string, community long")
     labels = {x.community: x.label for x in community.labels(m.withColumn("community", F.col("community").cast("string"))).collect()}
-    assert labels == {"1": "a.b::C", "2": "a.b::Z"}
+    assert labels == {"1": "b", "2": "b"}  # both were a.b, whose prefix a. all share
+    m = spark.createDataFrame([(f"src.app.m{k}.index::f{i}", k) for k in range(5) for i in range(2)] + [("other::x", 5)], "qname string, community long")
+    labels = [x.label for x in community.labels(m).orderBy("community").collect()]
+    # the first label is src.app.m0.index: index goes, then the prefix src.app. that five of six have
+    assert labels == [f"m{k}" for k in range(5)] + ["other"]
+
+
+def test_only_sinks_are_hubs(spark):
+    e = edges_of(spark, [(f"m{i}::a", "hub::f", "call", "resolved") for i in range(4)] + [(f"m{i}::a", "busy::f", "call", "resolved") for i in range(4)]
+                 + [("busy::f", f"x{i}::g", "call", "resolved") for i in range(9)])
+    n = nodes_of(spark, [f"m{i}::a" for i in range(4)] + ["hub::f", "busy::f"] + [f"x{i}::g" for i in range(9)])
+    signals = {x.qname: (x.n_in, x.sinkness, x.spread) for x in community.sink_signals(e).collect()}
+    assert "busy::f" not in signals and signals["hub::f"] == (4, 1.0, 1.0)
+    left = {(x.a, x.b) for x in community.hub_pruned(community.undirected(e, n), community.sink_signals(e)).collect()}
+    assert not any("hub::f" in p for p in left) and sum("busy::f" in p for p in left) == 13
 
 
 def test_search(spark):
@@ -148,8 +266,13 @@ def test_search(spark):
     hit = [x.id for x in search.bm25(n, "hash_pw", "qname", ["qname"]).collect()]
     assert hit == ["auth::hash_pw"]
     assert search.bm25(n, "::", "qname", ["qname"]).count() == 0
-    assert [x.qname for x in search.search(n, "h*").collect()] == ["auth::hash", "auth::hash_pw"]
+    assert [x.qname for x in search.search(n, "h*").collect()] == ["auth::hash_pw", "auth::hash"]
     assert [x.qname for x in search.search(n, "sh_p").collect()] == ["auth::hash_pw"]
+    more = n.union(nodes_of(spark, ["hash"], kind="module")).union(nodes_of(spark, ["z::Café"], kind="class", signature="Ab(x)", decorators=["one", "wrap_it"], end_line=77))
+    assert {x.qname for x in search.search(more, "hash").collect()} == {"auth::hash", "auth::hash_pw", "util::pw_hash"}
+    assert [x.qname for x in search.search(more, "CAFE a-b wrap").collect()] == ["z::Café"]
+    assert [x.qname for x in search.search(more, "rap_it 7").collect()] == ["z::Café"] and search.search(more, "!! ::").count() == 0
+    assert search.terms("hash_pw a-b AND ::") == [["hash", "pw"], ["ab"], ["and"]]
 
 
 def test_resolution_channels(spark):
@@ -159,7 +282,7 @@ def test_resolution_channels(spark):
         "call int, source string, module string, receiver string, name string, form string",
     )
     n = nodes_of(spark, ["m::g", "lib::real", "m::C.run", "lib::go"])
-    imports = spark.createDataFrame([("m", "imp", "lib", "real"), ("m", "lib", "lib", None)], "module string, local string, target_module string, target_name string")
+    imports = spark.createDataFrame([("m", "imp", "old", "thing", 0), ("m", "imp", "lib", "real", 1), ("m", "lib", "lib", None, 2)], "module string, local string, target_module string, target_name string, ord int")
     types = spark.createDataFrame([("m::f", "obj", "m::C")], "scope string, receiver string, type string")
     r = {x.call: (x.resolution, x.target) for x in resolve.resolve_calls(calls, n, imports, types).collect()}
     assert r == {1: ("resolved", "m::g"), 2: ("resolved", "lib::real"), 3: ("unresolved", None), 4: ("resolved", "m::C.run"), 5: ("resolved", "lib::go"), 6: ("resolved", "m::C.run"), 7: ("dynamic", None)}
@@ -176,6 +299,14 @@ def test_closure_ends_on_cycles(spark):
 def test_matching_and_statistics(spark):
     pairs = spark.createDataFrame([("r", "p1", "g1"), ("r", "p1", "g2"), ("r", "p2", "g1"), ("r", "p3", "g1")], "run string, pred string, gold string")
     assert evaluate.match_sizes(pairs).first().matched == 2
+    # one augmenting path through all pairs
+    long = [("long", f"p{i:05}", f"g{k:05}") for i in range(3000) for k in ((i, i + 1) if i < 2999 else (0,))]
+    assert evaluate.match_sizes(spark.createDataFrame(long, "run string, pred string, gold string")).first().matched == 3000
+    rng = random.Random(2)
+    for _ in range(5):
+        few = sorted({("r", f"p{rng.randrange(6)}", f"g{rng.randrange(6)}") for _ in range(11)})
+        best = max(len(c) for k in range(7) for c in itertools.combinations(few, k) if len({x[1] for x in c}) == len(c) == len({x[2] for x in c}))
+        assert evaluate.match_sizes(spark.createDataFrame(few, "run string, pred string, gold string")).first().matched == best
     flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert evaluate.pearson(flat, F.col("x"), F.col("y")).first().r is None
     s = spark.createDataFrame([(0, 0, 3)], "matched long, n_pred long, n_gold long")
@@ -183,7 +314,8 @@ def test_matching_and_statistics(spark):
 
 
 def test_routes(spark):
-    q = spark.createDataFrame([("t1", "GET", "/a/5"), ("t2", "POST", "/a/5"), ("t3", "GET", "/a"), ("t4", "GET", "/z/5")], "test string, method string, path string")
-    r = spark.createDataFrame([("c1", "GET", "/a/{id}"), ("c2", "ANY", "/{x}/5")], "controller string, method string, path string")
-    got = sorted(tuple(x) for x in resolve.match_routes(q, r).collect())
-    assert got == [("t1", "c1"), ("t1", "c2"), ("t2", "c2"), ("t4", "c2")]
+    q = spark.createDataFrame([("t1", "GET", "/a/5?x=1/2"), ("t2", "POST", "//a/5/#top"), ("t3", "GET", "/a"), ("t4", "GET", "/z/5"), ("t5", "GET", "/a/{any}")], "test string, method string, path string")
+    r = spark.createDataFrame([("c1", "GET", "/a/{id}"), ("c2", "ANY", "/{x}/5"), ("c3", "GET", "/a/6/")], "controller string, method string, path string")
+    got = sorted((x.test, x.controller, x.resolution) for x in resolve.match_routes(q, r, nodes_of(spark, ["c1", "c3"])).collect())
+    assert got == [("t1", "c1", "resolved"), ("t1", "c2", "unresolved"), ("t2", "c2", "unresolved"), ("t4", "c2", "unresolved"),
+                   ("t5", "c1", "resolved"), ("t5", "c2", "unresolved"), ("t5", "c3", "resolved")]
