@@ -123,10 +123,10 @@ def cascade(calls: DataFrame, channels: list[tuple[str, DataFrame, bool]]) -> Da
     return out.join(best, "call", "left").select("call", label.alias("resolution"), F.when(n == 1, F.col("x.target")).alias("target"), F.col("x.channel").alias("channel"))
 
 
-def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, types: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, types: DataFrame, stars: DataFrame | None = None) -> DataFrame:
     """source, target, resolution for Python calls: calls(call, source, module, receiver, name, form).
 
-    simple: local name, imported name, else unresolved. attribute: imported module, local class, declared type, self, else dynamic.
+    simple: local name, imported name, a name of a star import (stars: call, target), else unresolved. attribute: imported module, local class, declared type, self, else dynamic.
     imports(module, local, target_module, target_name, ord), where the last import of a name (the greatest ord) counts; types(scope, receiver, type).
     """
     known = nodes.select("qname").distinct()
@@ -143,7 +143,7 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, types:
     via_type = exists(attr.join(types.withColumnRenamed("scope", "source"), ["source", "receiver"]).select("call", F.concat_ws(".", "type", "name").alias("target")))
     own = attr.where("receiver IN ('self', 'cls')").select("call", F.concat_ws(".", F.regexp_extract("source", r"^(.*)\.[^.]*$", 1), "name").alias("target"))
     decided = cascade(calls, [
-        ("local", local, False), ("import", imported, True), ("module", via_module, False), ("class", via_local, False),
+        ("local", local, False), ("import", imported, True), *([("star", exists(stars), False)] if stars is not None else []), ("module", via_module, False), ("class", via_local, False),
         ("type", via_type, False), ("self", exists(own), False),
     ])
     final = F.when((F.col("resolution") == "dynamic") & (F.col("form") != "attribute"), "unresolved").otherwise(F.col("resolution"))
