@@ -89,7 +89,7 @@ def inherit_edges(bases: DataFrame, imports: DataFrame, nodes: DataFrame, listed
     """path, source, target, kind, resolution of bases(path, module, cls, base[, relation]).
 
     A base is looked for by its full name, in its own module, through the file's imports (the name itself, or the part before
-    its first dot) and at last through star imports, where it must be unique. What isn't found keeps its text, unresolved.
+    its first dot, or a whole imported module) and at last through star imports, where it must be unique. What isn't found keeps its text, unresolved.
     """
     relation = F.col("relation") if "relation" in bases.columns else F.lit("extends")
     b = bases.select("path", "module", "cls", "base", relation.alias("kind")).withColumn("call", F.struct("path", "cls", "base", "kind"))
@@ -103,10 +103,14 @@ def inherit_edges(bases: DataFrame, imports: DataFrame, nodes: DataFrame, listed
     # a name bound as a whole decides; only others are taken apart
     dotted = dotted.join(whole.select("call"), "call", "left_anti").select(
         "call", F.concat_ws("::", "target_module", F.expr("substr(base, length(local) + 2)")).alias("target"))
+    # `import a.b` also lets a.b.C be named in full
+    full = imports.where("target_name IS NULL").select("path", "target_module").distinct()
+    full = b.withColumn("target_module", F.expr("substring_index(base, '.', size(split(base, '[.]')) - 1)")).join(full, ["path", "target_module"]).select(
+        "call", F.concat_ws("::", "target_module", F.substring_index("base", ".", -1)).alias("target"))
     stars = star_hits(plain.select("call", "path", F.col("base").alias("name")), imports, module_symbols(nodes), listed)
     decided = cascade(b, [
         ("exact", exists(b.select("call", F.col("base").alias("target"))), False), ("module", exists(own), False),
-        ("import", exists(whole.unionByName(dotted)), False), ("star", stars, False),
+        ("import", exists(whole.unionByName(dotted).unionByName(full)), False), ("star", stars, False),
     ])
     found = F.col("resolution") == "resolved"
     return b.join(decided.select("call", "resolution", "target"), "call").select(
