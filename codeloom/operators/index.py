@@ -203,7 +203,7 @@ def update(
     redone = call_edges(part["calls"], nodes, part["imports"], part["types"])
     for more in (import_edges(part["imports"], nodes), inherit_edges(part["bases"], part["imports"], nodes), contains_edges(nodes)):
         redone = redone.unionByName(more.withColumn("ord", F.lit(0).cast("long")))
-    edges = flows.saved(repair_resolutions(kept.unionByName(redone), nodes).select(old["edges"].columns))
+    edges = flows.saved(repair_resolutions(kept, nodes).unionByName(redone).select(old["edges"].columns))
     gone = tombstones(was.withColumn("file", F.col("path")), nodes, old["edges"])
     same = digest(was, old["edges"]).first() == digest(nodes, edges).first()
     out = {"nodes": nodes, "edges": edges, "degrees": graph.degrees(edges, nodes), "flows": old["flows"]} if same else finish(nodes, edges, list(names), list(decorators))

@@ -72,6 +72,28 @@ def index_inherits(spark, d):
     return index.inherit_edges(bases, imports, _nodes(g).unionByName(g.nodes().where("kind = 'class' AND id % 7 = 3").select("*", F.col("file").alias("path"), module(F.col("qname")).alias("module"))))
 
 
+@_query(f"""+ {_BASES}, gone AS (SELECT qname FROM customers JOIN nations USING (module) WHERE ck % 7 = 1 AND nk % 3 = 0), n2 AS (SELECT * FROM nodes WHERE qname NOT IN (FROM gone)),
+e AS (SELECT path, source, CASE ck % 5 WHEN 0 THEN tq WHEN 1 THEN 'C' || tk WHEN 2 THEN 'B' || ck WHEN 3 THEN 'm' || ck || '.C' || tk ELSE 'Gone' || ck END AS base, tq,
+  tq NOT IN (FROM gone) AND (ck % 5 IN (0, 2, 3) OR (ck % 5 = 1 AND (module = tm OR EXISTS (SELECT 1 FROM stars s WHERE s.source = b.module AND s.target = tm)))) AS found FROM b WHERE source NOT IN (FROM gone)),
+c AS (SELECT file AS path, coalesce(parent, CASE WHEN contains(qname, '::') THEN split_part(qname, '::', 1) END) AS source, qname AS target FROM n2)
+SELECT path, source, CASE WHEN found THEN tq ELSE base END AS target, 'extends' AS kind, CASE WHEN found THEN 'resolved' ELSE 'unresolved' END AS resolution FROM e
+UNION ALL SELECT *, 'contains', CASE WHEN source IN (SELECT qname FROM n2) THEN 'resolved' ELSE 'unresolved' END FROM c WHERE source IS NOT NULL""")
+def index_update_edges(spark, d):
+    """Structural edges after classes of some files vanished, brought up to date from the index as it was; the oracle builds them anew."""
+    g = Graph(spark, d)
+    bases, imports = _bases(g)
+    n = g.nodes().select("*", F.col("file").alias("path"), module(F.col("qname")).alias("module")).drop("id")
+    files = g.nations().where("nk % 3 = 0").selectExpr("file AS path")
+    gone = g.customers().where("ck % 7 = 1").selectExpr("qname", "file AS path").join(F.broadcast(files), "path", "left_semi").select("qname")
+    calls = spark.createDataFrame([], "path string, source string, module string, receiver string, name string, form string, line int")
+    ir = {"nodes": n, "bases": bases, "imports": imports, "calls": calls, "types": spark.createDataFrame([], "scope string, receiver string, type string")}
+    nodes = flows.saved(index.number_nodes(n))
+    old = {"nodes": nodes, "edges": flows.saved(index.edges_of(ir, nodes)), "degrees": None, "flows": None}
+    now = ir | {"nodes": n.join(gone, "qname", "left_anti"), "bases": bases.join(gone.toDF("cls"), "cls", "left_anti")}
+    edges = index.update(old, now, files)[0]["edges"]
+    return edges.where("kind <> 'import'").select("path", "source", "target", "kind", "resolution")
+
+
 @_query("""+ n AS (SELECT module, 'C' || ck % 20 AS name, module || '::G' || ck % 3 || '.C' || ck % 20 AS qname, file, ck FROM customers)
 SELECT module, name, arg_max(qname, (file, ck, qname)) AS qname FROM n GROUP BY 1, 2""")
 def index_module_symbols(spark, d):
