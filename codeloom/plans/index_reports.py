@@ -79,7 +79,7 @@ c AS (SELECT file AS path, coalesce(parent, CASE WHEN contains(qname, '::') THEN
 SELECT path, source, CASE WHEN found THEN tq ELSE base END AS target, 'extends' AS kind, CASE WHEN found THEN 'resolved' ELSE 'unresolved' END AS resolution FROM e
 UNION ALL SELECT *, 'contains', CASE WHEN source IN (SELECT qname FROM n2) THEN 'resolved' ELSE 'unresolved' END FROM c WHERE source IS NOT NULL""")
 def index_update_edges(spark, d):
-    """Structural edges after classes of some files vanished, brought up to date from the index as it was; the oracle builds them anew."""
+    """Contains and inherit edges after classes of some files vanished, brought up to date from the index as it was; the oracle builds them anew."""
     g = Graph(spark, d)
     bases, imports = _bases(g)
     n = g.nodes().select("*", F.col("file").alias("path"), module(F.col("qname")).alias("module")).drop("id")
