@@ -1,4 +1,4 @@
-"""Queries of Java resolution, module specifiers, benchmark cases and upkeep, with their oracle SQL."""
+"""Queries of Java resolution, module specifiers, benchmark cases, upkeep and scans of text, with their oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import module
-from codeloom.operators import cases, impact, java, search, specifiers, upkeep
+from codeloom.operators import cases, impact, java, scans, search, specifiers, upkeep
 from codeloom.plans.catalogue import _DIRECT, _query
 from codeloom.sources.starschema import Graph, table
 
@@ -210,3 +210,105 @@ def manifest_update(spark, d):
     o = table(spark, d, "orders").selectExpr("o_orderkey AS path", "o_custkey AS stamp")
     seen = o.where("path % 3 <> 0").selectExpr("path", "stamp + 1 AS stamp")
     return upkeep.update_manifest(o.where("path % 5 <> 1"), seen, o.where("path % 4 = 0"))
+
+
+# scans
+
+
+@_query("""+ n AS (SELECT id, file FROM nodes WHERE kind <> 'module')
+SELECT id, array_to_string(list_distinct([file]) || CASE WHEN id % 3 = 0 THEN ['C:/w/m' || id || '.java', 'x' || id || '.TS'] ELSE [] END, ',') AS files FROM n""")
+def context_paths(spark, d):
+    """Paths in texts about the nodes: as in a diff, with backslashes, twice, of other suffixes, of other kinds of file."""
+    n = Graph(spark, d).nodes().where("kind <> 'module'")
+    text = F.expr("concat('diff a/', file, ' b/', replace(file, '/', '\\\\'), IF(id % 3 = 0, concat(' C:\\\\w\\\\m', id, '.java,x', id, '.TS '), ' y.txt z.pyc '), './', file, ' (see', file, 'x)')")
+    return n.select("id", F.array_join(scans.context_files(text), ",").alias("files"))
+
+
+@_query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'invalid JSON output' WHEN 1 THEN 'agent output must be an object with a findings array' WHEN 2 THEN 'agent output must be an object with a findings array' END AS error,
+CASE o_orderkey % 5 WHEN 3 THEN '{"k":' || o_custkey || '},"' || o_orderstatus || '"' ELSE '' END AS findings FROM orders""", graph_sql=False)
+def agent_outputs(spark, d):
+    o = table(spark, d, "orders")
+    text = F.expr("element_at(array(concat('{\"findings\": [', o_custkey), concat('[', o_custkey, ']'), concat('{\"findings\": ', o_custkey, '}'), "
+                  "concat('```json\\n{\"a\": 1, \"findings\": [{\"k\": ', o_custkey, '}, \"', o_orderstatus, '\"]}\\n```'), concat('{\"summary\": ', o_custkey, '}')), CAST(o_orderkey % 5 AS INT) + 1)")
+    p = o.select(F.col("o_orderkey").alias("id"), scans.parsed_output(scans.strip_fence(text)).alias("p"))
+    return p.select("id", "p.error", F.array_join("p.findings", ",").alias("findings"))
+
+
+_FLAT = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@_query(f"""SELECT conv_id AS run, turn AS ord, 0 AS n, 'tool: t' || turn || ' q=' || coalesce(text, 'None') || ', n=' || turn AS line FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn, i, '  -> ' || CASE WHEN i = 0 THEN {_FLAT} ELSE 'a ' || turn END FROM conversations, (VALUES (0), (1)) v(i) WHERE role = 'user' AND text IS NOT NULL
+UNION ALL SELECT conv_id, turn, 0, 'result: ' || {_FLAT} FROM conversations WHERE role NOT IN ('user', 'assistant')""", graph_sql=False)
+def trace_lines(spark, d):
+    """Traces of transcripts made of the conversations: assistants call a tool with their text, users give its result, others the end."""
+    c = table(spark, d, "conversations").where("role <> 'user' OR text IS NOT NULL")
+    block = F.expr("IF(role = 'assistant', array(named_struct('type', 'tool_use', 'name', concat('t', turn), 'input', named_struct('q', text, 'n', turn))), CAST(NULL AS ARRAY<STRUCT<type:STRING,name:STRING,input:STRUCT<q:STRING,n:BIGINT>>>))")
+    # content is a text in the first block and a list of parts in the second
+    user = F.expr("concat('{\"type\":\"user\",\"message\":{\"content\":[{\"type\":\"tool_result\",\"content\":', to_json(named_struct('t', text)), '},{\"type\":\"text\"}]}}')")
+    told = F.replace(F.regexp_replace(user, r'"content":\{"t":(.*)\}\},\{"type":"text"\}\]\}\}$', '"content":$1},{"type":"tool_result","content":[{"type":"text","text":"a"},{"text":"#TURN#"}]}]}}'), F.lit("#TURN#"), F.col("turn").cast("string"))
+    tool = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(block.alias("content")).alias("message")), {"ignoreNullFields": "false"})
+    end = F.to_json(F.struct(F.lit("result").alias("type"), F.col("text").alias("result")))
+    line = F.when(F.col("role") == "assistant", tool).when(F.col("role") == "user", told).otherwise(end)
+    noise = c.selectExpr("conv_id AS run", "turn AS ord", "IF(turn % 2 = 0, 'not json', '{\"type\":\"system\"}') AS line")
+    return scans.trace(c.select(F.col("conv_id").alias("run"), F.col("turn").alias("ord"), line.alias("line")).unionByName(noise))
+
+
+def _diff_lines(g: Graph) -> DataFrame:
+    """A diff for every order: its own file twice, where the last counts, and a file of parts."""
+    own = "concat('diff --git a/', file, ' b/', file)"
+    return g.orders().selectExpr("ok AS diff_id", f"""posexplode(array('noise', {own}, '@@ -1 +1 @@ old', '-gone', {own}, 'index 1', concat('@@ -', ok % 40, ',', ok % 4, ' +', start_line, ',2 @@ def f'), '+a', ' b',
+    concat('@@ -', start_line, ' +', end_line, ' @@'), '+c', 'diff --git a/t/x.py b/t/y.txt', '@@ -0,0 +1 @@', '+z')) AS (line_no, line)""")
+
+
+@_query("""+ x AS (SELECT ok AS diff_id, file AS path, unnest([0, 1, 2]) AS hunk, start_line, end_line, ok FROM ords)
+SELECT diff_id, path, CAST(hunk AS BIGINT) AS hunk, CASE hunk WHEN 1 THEN start_line WHEN 2 THEN end_line END AS start, CASE hunk WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 2 END AS n_lines,
+CASE hunk WHEN 0 THEN 'diff --git a/' || path || ' b/' || path || E'\\nindex 1' WHEN 1 THEN '@@ -' || ok % 40 || ',' || ok % 4 || ' +' || start_line || E',2 @@ def f\\n+a\\n b' ELSE '@@ -' || start_line || ' +' || end_line || E' @@\\n+c' END AS text FROM x
+UNION ALL SELECT ok, 't/y.txt', i, CASE WHEN i = 1 THEN 1 END, 1 + i, CASE WHEN i = 0 THEN 'diff --git a/t/x.py b/t/y.txt' ELSE E'@@ -0,0 +1 @@\\n+z' END FROM ords, (VALUES (0), (1)) v(i)""")
+def diff_sections(spark, d):
+    return scans.diff_sections(_diff_lines(Graph(spark, d)))
+
+
+@_query("""+ x AS (SELECT ok AS diff_id, file AS path, greatest(ok % 40, 1) AS start, greatest(ok % 4, 1) AS n FROM ords UNION ALL SELECT ok, file, start_line, 1 FROM ords)
+SELECT diff_id, path, CAST(start AS INTEGER) AS start, CAST(start + n - 1 AS INTEGER) AS stop FROM x""")
+def diff_old_ranges(spark, d):
+    return scans.old_ranges(_diff_lines(Graph(spark, d)), ".py")
+
+
+@_query("""SELECT 'PY-A' || p_partkey % 1000 AS id, arg_max(p_name, p_partkey) AS description, arg_max(p_type, p_partkey) AS behavior, arg_max(CASE WHEN p_partkey % 2 = 0 THEN 'A/C' ELSE 'B' END, p_partkey) AS level FROM part WHERE p_partkey % 9 <> 0 GROUP BY 1""", graph_sql=False)
+def matrix_rows(spark, d):
+    p = table(spark, d, "part").selectExpr(
+        "p_partkey AS line_no", "concat('| ', IF(p_partkey % 9 = 0, 'NO-A', 'PY-A'), p_partkey % 1000, ' |  ', p_name, ' | ', p_type, ' | ', IF(p_partkey % 2 = 0, 'A/C', 'B'), ' |') AS line")
+    return scans.matrix_rows(p)
+
+
+@_query("""SELECT DISTINCT o_orderkey AS case_id, mode, rep AS repetition FROM orders, (VALUES ('graph'), ('native')) m(mode), (VALUES (1), (2), (3)) r(rep)""", graph_sql=False)
+def case_jobs(spark, d):
+    return scans.jobs(table(spark, d, "orders").selectExpr("o_orderkey AS case_id"), ["graph", "native"], 3)
+
+
+@_query("""SELECT o_orderkey AS run, CASE o_orderkey % 3 WHEN 0 THEN 'Read,mcp__g__x' WHEN 1 THEN 'Grep' ELSE '' END AS tool_calls, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 0 END AS tool_call_count FROM orders""", graph_sql=False)
+def allowed_tool_calls(spark, d):
+    o = table(spark, d, "orders").selectExpr(
+        "o_orderkey AS run", "CASE o_orderkey % 3 WHEN 0 THEN array('Read', 'Bash', 'mcp__g__x') WHEN 1 THEN array('Write', 'Grep', 'Write') END AS tool_calls",
+        "CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS tool_call_count")
+    return scans.allowed_calls(o, "mcp__g__").withColumn("tool_calls", F.array_join("tool_calls", ","))
+
+
+@_query("""SELECT o_orderkey AS id, CAST(o_custkey % 4 IN (0, 1, 2) AS INTEGER) AS is_test FROM orders""", graph_sql=False)
+def manifest_test_files(spark, d):
+    path = F.expr("element_at(array(concat('src/test/o', o_custkey), concat('a\\\\test_', o_custkey), concat('b/Test', o_custkey), concat('tests/contest', o_custkey)), CAST(o_custkey % 4 AS INT) + 1)")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), scans.is_test_file(path).cast("int").alias("is_test"))
+
+
+@_query("""SELECT conv_id AS run, CAST(sum(CASE WHEN turn % 3 = 0 THEN 1 WHEN turn % 3 = 1 THEN 2 ELSE 0 END) AS BIGINT) AS calls, array_to_string(list_filter([CASE WHEN bool_or(turn % 3 = 0) THEN 'Read' END, CASE WHEN bool_or(turn % 3 = 1) THEN 'Grep' END],
+  lambda x: x IS NOT NULL), ',') AS tool_calls FROM (SELECT * FROM conversations ORDER BY turn) GROUP BY 1 HAVING calls > 0""", graph_sql=False)
+def nested_tool_uses(spark, d):
+    """Tools of transcripts made of the conversations, at three depths; a tool that isn't available and the final answer don't count."""
+    use = lambda name, more: f"named_struct('type', 'tool_use', 'name', '{name}', 'input', {more})"
+    line = F.expr(f"""CASE turn % 3 WHEN 0 THEN to_json(named_struct('message', named_struct('content', array({use('Read', "named_struct('q', text)")}))))
+      WHEN 1 THEN to_json(array({use('Grep', f"array(array({use('Grep', 'turn')}))")})) ELSE to_json(array({use('StructuredOutput', f"array({use('Write', 'turn')})")})) END""")
+    c = table(spark, d, "conversations").where("turn IS NOT NULL")
+    uses = scans.tool_uses(c.select(F.col("conv_id").alias("run"), F.col("turn").alias("ord"), line.alias("line")))
+    available = c.select(F.col("conv_id").alias("run"), F.explode(F.array(F.lit("Read"), F.lit("Grep"))).alias("tool"))
+    return scans.used_tools(uses, available).withColumn("tool_calls", F.array_join("tool_calls", ","))
