@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import module
-from codeloom.operators import cases, impact, java, scans, search, specifiers, upkeep
+from codeloom.operators import cases, impact, java, scans, search, service, specifiers, upkeep
 from codeloom.plans.catalogue import _DIRECT, _query
 from codeloom.sources.starschema import Graph, table
 
@@ -165,13 +165,60 @@ coalesce((SELECT string_agg(v, ',' ORDER BY rank) FROM near x WHERE x.symbol = a
 coalesce((SELECT string_agg(v, ',' ORDER BY rank) FROM near x WHERE x.symbol = a.symbol AND direction = 'out'), '') AS downstream FROM asked a LEFT JOIN e USING (symbol)""")
 def compact_impacts(spark, d):
     g = Graph(spark, d)
-    asked = g.parts().select("qname").union(g.t("supplier").selectExpr("concat('gone::s', s_suppkey)"))
     entries = g.calls().selectExpr("target AS symbol", "source AS entry").distinct()
-    r = cases.compact_impact(asked, _reached(g), g.nodes(), entries)
+    r = cases.compact_impact(_asked(g), _reached(g), g.nodes(), entries)
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x.qname, F.lit("@"), x.file, F.lit(":"), x.line)), ",")
     return r.withColumn("upstream", text("upstream")).withColumn("downstream", text("downstream"))
 
 
+# service
+
+
+def _asked(g: Graph) -> DataFrame:
+    return g.parts().select("qname").union(g.t("supplier").selectExpr("concat('gone::s', s_suppkey)"))
+
+
+_SIGNED = "CASE WHEN length(signature) > 160 THEN signature[1:160] || '…' ELSE coalesce(signature, '') END"
+
+
+@_query(f"""+ d AS (SELECT source AS symbol, 'out' AS direction, target AS other, ord FROM calls WHERE resolution = 'resolved' UNION ALL SELECT target, 'in', source, ord FROM calls WHERE resolution = 'resolved'),
+f AS (SELECT symbol, direction, other, min(ord) AS ord FROM d WHERE other IN (SELECT qname FROM nodes) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, direction ORDER BY ord, other) AS rank FROM f),
+v AS (SELECT symbol, direction, rank, concat_ws('|', other, kind, file, start_line, {_SIGNED}) AS v FROM r JOIN nodes ON qname = other WHERE rank <= 20),
+l AS (SELECT symbol AS qname, string_agg(v, ';' ORDER BY rank) FILTER (direction = 'in') AS callers, string_agg(v, ';' ORDER BY rank) FILTER (direction = 'out') AS callees FROM v GROUP BY 1),
+asked AS (SELECT qname FROM parts UNION SELECT 'gone::s' || s_suppkey FROM supplier)
+SELECT a.qname, CAST(n.qname IS NOT NULL AS INTEGER) AS found, 'call' AS edge_kind, kind, file, start_line AS line, CASE WHEN n.qname IS NOT NULL THEN {_SIGNED} END AS signature,
+coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM asked a LEFT JOIN nodes n USING (qname) LEFT JOIN l USING (qname)""")
+def neighbor_reports(spark, d):
+    g = Graph(spark, d)
+    r = service.neighbor_report(_asked(g), g.calls(), g.nodes())
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("|", x["qname"], x["kind"], x["file"], x["line"].cast("string"), x["signature"])), ";")
+    return r.select("qname", "found", "edge_kind", "kind", "file", "line", "signature", text("in").alias("callers"), text("out").alias("callees"))
+
+
+@_query(f"""+ syms AS (SELECT qname FROM parts), {_DIRECT.format(tests='0, 1')}, asked AS (SELECT qname AS symbol FROM parts UNION SELECT 'gone::s' || s_suppkey FROM supplier),
+n AS (SELECT symbol, count(*) FILTER (direction = 'in') AS up, count(*) FILTER (direction = 'out') AS down FROM direct WHERE rank <= 1000 GROUP BY 1),
+e AS (SELECT target AS symbol, count(DISTINCT source) AS n_entries FROM calls GROUP BY 1),
+k AS (SELECT source AS symbol, kind, resolution FROM edges UNION ALL SELECT target, kind, resolution FROM edges WHERE source <> target),
+c AS (SELECT symbol, count(*) FILTER (kind = 'call' AND resolution = 'resolved') AS resolved_edges, count(*) FILTER (kind = 'call' AND resolution = 'semantic') AS semantic_edges,
+  count(*) FILTER (kind = 'call' AND resolution = 'candidate') AS candidate_edges, count(*) FILTER (kind = 'call' AND resolution = 'dynamic') AS dynamic_edges,
+  count(*) FILTER (kind = 'call' AND resolution = 'unresolved') AS unresolved_edges, CAST(count(*) FILTER (resolution <> 'resolved') >= 20 AS INTEGER) AS truncated FROM k GROUP BY 1)
+SELECT symbol, CAST(symbol IN (SELECT qname FROM nodes) AS INTEGER) AS found, coalesce(up, 0) AS n_upstream, coalesce(down, 0) AS n_downstream, coalesce(n_entries, 0) AS n_entries, coalesce(resolved_edges, 0) AS resolved_edges,
+coalesce(semantic_edges, 0) AS semantic_edges, coalesce(candidate_edges, 0) AS candidate_edges, coalesce(dynamic_edges, 0) AS dynamic_edges, coalesce(unresolved_edges, 0) AS unresolved_edges, coalesce(truncated, 0) AS truncated
+FROM asked LEFT JOIN n USING (symbol) LEFT JOIN e USING (symbol) LEFT JOIN c USING (symbol)""")
+def impact_heads(spark, d):
+    g = Graph(spark, d)
+    entries = g.calls().selectExpr("target AS symbol", "source AS entry").distinct()
+    return service.impact_report(_asked(g), _reached(g), entries, g.edges(), g.nodes())["heads"]
+
+
+@_query(f"""+ syms AS (SELECT qname FROM parts), {_DIRECT.format(tests='0, 1')}
+SELECT symbol, CASE WHEN direction = 'in' THEN 'up' ELSE 'down' END AS direction, other AS node, rank, kind, file, start_line AS line, {_SIGNED} AS signature FROM direct JOIN nodes ON qname = other WHERE rank <= 1000""")
+def impact_nodes(spark, d):
+    g = Graph(spark, d)
+    entries = g.calls().selectExpr("target AS symbol", "source AS entry").distinct()
+    return service.impact_report(_asked(g), _reached(g), entries, g.edges(), g.nodes())["nodes"]
+
+
 # upkeep
 
 #: The parts as they become: some go, some get another signature, some come.
