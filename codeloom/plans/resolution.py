@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.names import module
 from codeloom.operators import cases, impact, java, scans, search, service, specifiers, upkeep
+from codeloom.operators.flows import saved
 from codeloom.plans.catalogue import _DIRECT, _query
 from codeloom.sources.starschema import Graph, table
 
@@ -47,14 +48,15 @@ FROM x""")
 def java_calls(spark, d):
     """Calls in seven forms: a class of the package or a star import, a constructor, `this`, a typed receiver, an imported one, a name in full, a bare method."""
     g = Graph(spark, d)
-    x = _sites(g)
+    # the channels ask for sites and nodes many times, so the projection is made once
+    x, nodes = saved(_sites(g)), saved(_nodes(g))
     calls = x.selectExpr(
         "concat_ws(':', l_orderkey, n, tk) AS call", "path", "module", "source", "element_at(array('simple', 'construct', 'attribute', 'attribute', 'attribute', 'attribute', 'simple'), n) AS form",
         "element_at(array(concat('C', tk), concat('B', tk), concat('this.o', ok), concat('x', tk, '.o', mo), IF(tk % 3 = 0, concat('B', tk, '.nope'), concat('B', tk, '.o', mo)), "
         "concat(tm, '.C', tk, '.o', mo), concat('o', ok)), n) AS expr")
     types = x.where("n = 4").selectExpr("source", "concat('x', tk) AS receiver", "concat(IF(tk % 2 = 0, 'B', 'C'), tk) AS type").distinct()
     named = x.selectExpr("path", "concat('B', tk) AS local", "tm AS target_module", "concat('C', tk) AS target_name", "false AS is_star", "1 AS ord").distinct()
-    return java.resolve_java(calls, _nodes(g), named.unionByName(_stars(g)), types)
+    return java.resolve_java(calls, nodes, named.unionByName(_stars(g)), types)
 
 
 @_query(f"""+ {_STARS}, b AS (SELECT c.file AS path, c.qname AS source, c.module, t.qname AS target, t.module AS tm, c.ck, t.ck AS tk FROM customers c JOIN customers t ON t.ck = c.ck // 10 WHERE c.ck > 0),
