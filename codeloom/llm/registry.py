@@ -10,6 +10,7 @@ from codeloom.llm import (
     decontaminate,
     html_text,
     language_id,
+    lexical_search,
     mixing,
     near_dedup,
     passage_dedup,
@@ -17,6 +18,8 @@ from codeloom.llm import (
     quality_rules,
     secrets,
     sharding,
+    token_counts,
+    whitening,
 )
 from codeloom.llm.io import table
 
@@ -73,12 +76,31 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: vec_id, component, n, deviation, whitened, explained, identity_error over whole embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: item_id, rank, doc_id, score of every benchmark item over whole documents."""
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Contract: doc_id, n_bytes, n_tokens, over_limit over whole documents; `model` is another model file."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_language_id, op3_secret_scan, op4_extendible_sharding, op5_html_extraction,
-        op6_passage_dedup, op7_source_mixing, op8_minhash_near_dedup, op9_quality_rules, op10_quality_classifier,
+        op6_passage_dedup, op7_source_mixing, op8_minhash_near_dedup, op9_quality_rules, op10_quality_classifier, op11_embedding_whitening, op12_ranked_search, op13_token_counts,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_extendible_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_extendible_sharding": sharding.ORACLE_SQL, "op12_ranked_search": lexical_search.ORACLE_SQL}
