@@ -55,7 +55,8 @@ def vectors_of(spark, rows):
     return spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, n int, component string")
 
 
-def test_whitening_odd_rows(spark):
+def test_whitening_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "DIRECT_PARTS", 0)
     rng = np.random.default_rng(5)
     good = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32) * [9, 5, 3, 1, 0.5, 0.2]]) for i in range(60)]
     good += [(100 + i, good[0][1]) for i in range(30)] + [(7, good[3][1])]
