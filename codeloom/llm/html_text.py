@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +44,61 @@ _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt"
 _CLOSED, _OPEN = frozenset("nav footer aside menu dialog".split()), frozenset("header form fieldset head".split())
 _CLOSED_ROLES = frozenset("navigation contentinfo complementary search dialog alert menu menubar toolbar".split())
 _OPEN_ROLES = frozenset(["banner", "form"])
-#: Whole class names and ids of furniture; part of a name says nothing (has-sidebar, no-comments, entry-header).
-_COMMENTS = re.compile(r"(?:reader|user|post)?[-_]?comments?(?:[-_]?(?:list|section|area|thread|form|body|wrapper|container|box))?|disqus.*|respond|repl(?:y|ies)(?:[-_]?list)?")
-_FURNITURE = re.compile(
-    r"ads?(?:[-_]?(?:box|slot|unit|banner|wrap|wrapper|container|block|space|zone|\d+))?|advert\w*|adsense|(?:top|side|bottom|inline|google|banner)[-_]?ads?"
-    r"|sponsor\w*|promo|promotions?|banner"
-    r"|nav|navbar|navigation|menu|(?:main|top|site|primary|sub|footer|page)[-_]?(?:nav|navigation|menu)|nav[-_]?(?:bar|menu|links)|breadcrumbs?|pagination|pager|skip[-_]?(?:link|nav|links)"
-    r"|(?:site|global|top)?[-_]?(?:header|masthead)|(?:site|page|global|main)?[-_]?footer|(?:left|right|main|page)?[-_]?side[-_]?bar|sidebar[-_]\w+|widgets?|aside"
-    r"|cookies?(?:[-_]?\w+)*|consent(?:[-_]?\w+)*|gdpr|notice(?:[-_]?(?:bar|box))?|popup|modal|overlay|newsletter(?:[-_]?\w+)*|subscri(?:be|ption)(?:[-_]?\w+)*|sign[-_]?up|log[-_]?in"
-    r"|(?:social|share|sharing)(?:[-_]?(?:bar|box|buttons?|links?|icons?|list))?|toolbar|related(?:[-_]?(?:posts?|articles?|stories|links|content))?|recommended(?:[-_]?\w+)?"
+#: Class names and ids are read as words, of which the last that isn't about layout says what the element is (article-comments
+#: are comments, cookie-recipes are recipes). Names that begin with one of _STATES describe the page around.
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_STATES = frozenset("has no with without is hide show not".split())
+_LAYOUT = frozenset(
+    "list lists section area thread form body wrapper wrap container box block inner outer panel group slot unit zone space row column item items "
+    "placeholder top bottom left right main primary secondary content".split()
+)
+_COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+_HEADS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsors sponsored promo promos nav navbar navigation menu "
+    "breadcrumb breadcrumbs pagination pager masthead footer sidebar newsletter popup modal overlay consent gdpr toolbar share sharing signup login "
+    "subscribe subscription widget widgets aside".split()
+)
+#: Furniture outside of an article only; inside of one they may be its own.
+_WEAK = frozenset("notice notices header banner social related recommended promotion promotions cookie cookies teaser teasers".split())
+_PAIRS = frozenset(
+    (a, b) for firsts, seconds in (
+        ("more related recommended latest popular trending other further", "stories posts articles links news reading reads"),
+        ("cookie cookies privacy", "notice banner bar message popup policy settings hint"),
+        ("share sharing social", "tools buttons button links icons bar"), ("author", "bio box card"), ("skip", "link links"),
+        ("site page global", "header notice banner"), ("side", "bar"), ("sign", "up in"), ("log", "in"), ("nav", "bar links"),
+        ("newsletter", "signup box"), ("menu", "bar"),
+    ) for a in firsts.split() for b in seconds.split()
 )
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAMED_AS_THEY_LIKE = frozenset("body html h1 h2 h3 h4 h5 h6".split())
-SILENT, ARTICLE, FURNITURE, CLOSED = 0, 1, 2, 3
+SILENT, ARTICLE, FURNITURE, CLOSED, WEAK = 0, 1, 2, 3, 4
+
+
+@lru_cache(8192)
+def _named(name: str) -> int:
+    """What a class name or an id says: CLOSED, FURNITURE, WEAK or SILENT."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or words[0] in _STATES and len(words) > 1:
+        return SILENT
+    core = list(words)
+    while len(core) > 1 and core[-1] in _LAYOUT:
+        core.pop()
+    head, pair = core[-1], tuple(core[-2:])
+    joined = [head[: -len(x)] for x in _LAYOUT if head.endswith(x)]
+    head = next((x for x in joined if x in _COMMENTS or x in _HEADS), head)
+    if head in _COMMENTS:
+        return CLOSED
+    if head in _HEADS or pair in _PAIRS:
+        return FURNITURE
+    return WEAK if head in _WEAK and len(core) == 1 else SILENT
 
 
 def _kind(name: str, attributes: str) -> int:
     """What an element says of its content: CLOSED is furniture with no article inside."""
     found = CLOSED if name in _CLOSED else FURNITURE if name in _OPEN else ARTICLE if name in ("article", "main") else SILENT
     for key, value in _ATTR.findall(attributes) if attributes else ():
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, value = key.lower(), value.strip("\"'")
+        value = value if key in ("class", "id") else value.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return CLOSED
         if key == "role":
@@ -71,10 +108,11 @@ def _kind(name: str, attributes: str) -> int:
             found = found or ARTICLE
         elif key in ("class", "id") and name not in _NAMED_AS_THEY_LIKE:
             for word in value.split():
-                if _COMMENTS.fullmatch(word):
+                said = _named(word)
+                if said == CLOSED:
                     return CLOSED
-                if found == SILENT and _FURNITURE.fullmatch(word):
-                    found = FURNITURE
+                if said != SILENT and found in (SILENT, WEAK):
+                    found = said
     return found
 
 
@@ -83,6 +121,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    open_: Counter[str] = Counter()
     state = SILENT
 
     def flush() -> None:
@@ -117,19 +156,24 @@ def blocks(page: str) -> list[tuple[str, int]]:
             continue
         flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    state = stack[k][1]
-                    del stack[k:]
+            # an end without a start is passed over; else all that was opened since closes too
+            while open_[name]:
+                closed, state = stack.pop()
+                open_[closed] -= 1
+                if closed == name:
                     break
         elif name not in _VOID:
             if name in _CLOSES:
                 while stack and stack[-1][0] in _CLOSES[name]:
-                    state = stack.pop()[1]
+                    closed, state = stack.pop()
+                    open_[closed] -= 1
             stack.append((name, state))
+            open_[name] += 1
             kind = _kind(name, m[3])
             # a header inside an article holds its title
-            if kind != SILENT and state != CLOSED and not (state == ARTICLE and name == "header" and kind == FURNITURE):
+            if kind == WEAK or name == "header" and kind == FURNITURE:
+                kind = SILENT if state == ARTICLE else FURNITURE
+            if kind != SILENT and state != CLOSED:
                 state = kind
     parts.append(page[at:] if not re.match(r"<[/!a-zA-Z]", page[at : at + 2]) else "")
     flush()
@@ -299,12 +343,9 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin, end = (spans.field(k).to_numpy().astype(np.int64) for k in (0, 1))
             repeated = s.covered(page, begin, end) >= COVERED
             states = _states(part)
-            has_article = np.zeros(len(s.size), bool)
-            has_article[s.page_of_block[states == ARTICLE]] = True
-            inside = states == ARTICLE
-            # outside of an article the suffixes decide first, then structure
-            by_run = repeated & ~inside
-            by_structure = ~by_run & ~inside & ((states == FURNITURE) | has_article[s.page_of_block])
+            # what is repeated goes but for an article's own blocks; of what is unique only what is furniture by its mark-up
+            by_run = repeated & (states != ARTICLE)
+            by_structure = ~by_run & (states == FURNITURE)
             keep = ~(by_run | by_structure)
             count = lambda x: pa.array(np.bincount(s.page_of_block[x], minlength=len(s.size)).astype(np.int64))
             flat, bounds = part.column("texts").flatten().to_pylist(), np.r_[0, np.cumsum(s.n_blocks)]

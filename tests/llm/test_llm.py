@@ -642,6 +642,32 @@ def test_article_text_stays_and_copies_count_once(spark):
     assert [got[50 + i] for i in range(3)] == short
 
 
+def test_marks_of_names_and_teasers(spark):
+    story = "A long story that only this page of the host tells, told in the plain words of its own."
+    pages = {
+        "teaser": f"<div id=content><p>{story}</p></div><article>Read on: another tale.</article>",
+        "kept": "".join(f'<div class="{c}"><p>Unique words about {c} stay here.</p></div>' for c in ("cookie-recipes", "has-sidebar", "entry-header", "no-comments")),
+        "inside": '<main><p>One.</p><div class="notice">Two.</div><section class="promotion">Three.</section><div class="cookies">Four.</div></main>',
+        "gone": f"<article><p>{story}</p>" + "".join(
+            f'<div class="{c}"><p>Gone with {c}.</p></div>' for c in ("article-comments", "comment-thread-list", "js-ad", "share-tools", "more-stories", "author-bio")
+        ) + '<div id="comments-42">Gone too.</div></article>',
+        "unmatched": "<div>" * 400 + "</p></span>" * 400 + "deep" + "</section>" * 50,
+    }
+    got = texts_of(spark, [(i, f"http://{i}.example/", h) for i, h in enumerate(pages.values())])
+    texts = {name: got[i] for i, name in enumerate(pages)}
+    assert texts["teaser"] == f"{story}\nRead on: another tale."
+    assert texts["kept"].count("stay here") == 4 and texts["inside"] == "One.\nTwo.\nThree.\nFour."
+    assert texts["gone"] == story and texts["unmatched"] == "deep"
+
+
+def test_unmatched_tags_parse_in_linear_time():
+    import time
+
+    began = time.time()
+    assert html_text.blocks("<div>" * 100_000 + "</p>" * 100_000 + "end") == [("end", html_text.SILENT)]
+    assert time.time() - began < 10
+
+
 def test_pages_without_structure(spark):
     """With all tags made divs, only the suffixes of a host can tell furniture from text."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
