@@ -22,8 +22,8 @@ from codeloom.llm.io import materialise, prepare, small
 Q, WINDOW, EDIT_PERCENT = 12, 64, 6
 #: Benchmark text of one pass over the documents; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
-#: Items that share a passage before it is compared once for all; entries of the index that are held at a time.
-COMMON_ITEMS, PAIRS = 64, 2_000_000
+#: Entries of the index that are held at a time; length of the q-grams that are counted again before a window is aligned.
+PAIRS, Q_SHORT = 2_000_000, 4
 _FILTER_BITS = 22
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,27 +56,29 @@ def _grams(x: np.ndarray) -> np.ndarray:
 class Benchmark:
     """Windows of benchmark items and an index of their q-grams, small enough for a task.
 
-    Text that more than `common` items share (a prompt) is no evidence of any one of them: it is cut out of the items
-    and compared once for all, as windows of the least item that has it. So no q-gram leads to very many windows.
+    Windows of equal content are one window, which knows all items that have it: a passage that very many items share is
+    compared once and found for each of them.
     """
 
-    def __init__(self, items: list[int], texts: list[str], common: int = COMMON_ITEMS) -> None:
+    def __init__(self, items: list[int], texts: list[str]) -> None:
         _, _, data, offsets = _normalised(pa.array(texts, pa.string()))
         self.items, self.data, self.windows = items, data, []
-        shared = _shared(data, offsets, common)
-        edges = np.unique(np.r_[offsets, np.flatnonzero(shared[1:] != shared[:-1]) + 1])
-        known = set()
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        #: The items of each window, by their places.
+        self.members: list[list[int]] = []
+        known: dict[bytes, int] = {}
+        for k, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             size = min(WINDOW, hi - lo)
             if size < Q:
                 continue
-            k = int(np.searchsorted(offsets, lo, "right")) - 1
             for s in [*range(lo, hi - size, WINDOW // 2), hi - size]:
-                if shared[lo]:
-                    content = data[s : s + size].tobytes()
-                    if content in known:
-                        continue
-                    known.add(content)
+                content = data[s : s + size].tobytes()
+                if content in known:
+                    mine = self.members[known[content]]
+                    if mine[-1] != k:
+                        mine.append(k)
+                    continue
+                known[content] = len(self.windows)
+                self.members.append([k])
                 budget = size * EDIT_PERCENT // 100
                 while budget and size - Q + 1 - Q * budget < 1:
                     budget -= 1
@@ -93,24 +95,10 @@ class Benchmark:
         self.filter[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
 
 
-def _shared(data: np.ndarray, offsets: np.ndarray, common: int) -> np.ndarray:
-    """The bytes that lie in a q-gram of more than `common` items."""
-    marks = np.zeros(len(data) + 1, np.int64)
-    h = _grams(data)
-    at = np.arange(len(h))
-    item = np.searchsorted(offsets, at, "right") - 1
-    inside = at + Q <= offsets[item + 1]
-    h, item, at = h[inside], item[inside], at[inside]
-    order = np.lexsort((item, h))
-    h, item, at = h[order], item[order], at[order]
-    if len(h):
-        new = np.r_[True, h[1:] != h[:-1]]
-        first = np.flatnonzero(new)
-        n_items = np.add.reduceat((new | np.r_[True, item[1:] != item[:-1]]).astype(np.int64), first)
-        often = at[np.repeat(n_items, np.diff(np.r_[first, len(h)])) > common]
-        np.add.at(marks, often, 1)
-        np.add.at(marks, often + Q, -1)
-    return np.cumsum(marks[:-1]) > 0
+def _short(x: np.ndarray) -> np.ndarray:
+    """The Q_SHORT bytes from each position on, as numbers."""
+    y = x.astype(np.uint32)
+    return y[:-3] | y[1:-2] << 8 | y[2:-1] << 16 | y[3:] << 24 if len(y) >= Q_SHORT else y[:0]
 
 
 def banded_distance(pattern: np.ndarray, text: np.ndarray, budget: int, band: int) -> tuple[int, int, int]:
@@ -199,16 +187,23 @@ def _verified(
         hi_p = min(int(offsets[r + 1]), first + size + 3 * max(budget, 1))
         text = norm[lo_p:hi_p].tobytes()
         if (w, text) not in aligned:
-            aligned[w, text] = banded_distance(bench.data[s : s + size], norm[lo_p:hi_p], budget, 4 * max(budget, 1) + budget)
+            # the lemma again, for short q-grams: it drops windows of which the document has a part
+            pattern = bench.data[s : s + size]
+            if np.isin(_short(pattern), _short(norm[lo_p:hi_p])).sum() < size - Q_SHORT + 1 - Q_SHORT * budget:
+                aligned[w, text] = budget + 1, 0, 0
+        if (w, text) not in aligned:
+            aligned[w, text] = banded_distance(pattern, norm[lo_p:hi_p], budget, 4 * max(budget, 1) + budget)
         cost, a, b = aligned[w, text]
         if cost <= budget:
             seen.add((w, r, first))
             yield r, w, lo_p + a, lo_p + b, cost
 
 
-def _search(items: list[int], texts: list[str], common: int):
+def _search(items: list[int], texts: list[str], each_item: bool):
+    """Rows for every item of a window that is found or, if one is enough to know, for its first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(items, texts, common)
+        bench = Benchmark(items, texts)
         for batch in batches:
             data, raw, norm, offsets = _normalised(batch.column(1))
             for i, j in textnp.slices(offsets):
@@ -224,8 +219,9 @@ def _search(items: list[int], texts: list[str], common: int):
                         points[r] = textnp.code_points_before(part)[np.flatnonzero(_KEEP[part])]
                     base = int(offsets[r] - offsets[i])
                     start, end = int(points[r][a - base]), int(points[r][b - 1 - base]) + 1
-                    m = merged.setdefault((r, bench.windows[w][0]), [0, start, end, cost])
-                    m[:] = [m[0] + 1, min(m[1], start), max(m[2], end), min(m[3], cost)]
+                    for item in bench.members[w] if each_item else bench.members[w][:1]:
+                        m = merged.setdefault((r, item), [0, start, end, cost])
+                        m[:] = [m[0] + 1, min(m[1], start), max(m[2], end), min(m[3], cost)]
                 ids = batch.column(0)
                 keys = list(merged)
                 cols = list(zip(*merged.values(), strict=True))
@@ -238,8 +234,8 @@ def _search(items: list[int], texts: list[str], common: int):
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark in blocks of bounded bytes, one on the driver at a time."""
-    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null and text <> ''")
+    """The distinct rows of the benchmark in blocks of bounded bytes, one on the driver at a time."""
+    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null and text <> ''").distinct()
     items, texts, size = [], [], 0
     for x in rows.toLocalIterator():
         items.append(x[0])
@@ -252,15 +248,15 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[int], list[
         yield items, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES, common_items: int = COMMON_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES, each_item: bool = True) -> DataFrame:
     """One row per document and benchmark item with a matching window: doc_id, item_id, n_windows, start, end, edits.
 
     Items are cut into windows of 64 compared characters (bytes of letters and digits, lower case; a shorter
     item is one window) that overlap by half. A window matches where the document has it within 6 % of
     edits. start and end (code points, end exclusive) bound the matching windows, edits is the least of
     them. Items under 12 compared bytes are too short to be evidence and match nothing, as null and empty
-    texts do. Passages that more than `common_items` items of a block share are compared once and reported for
-    the first of them in the block, so a document that holds a common prompt alone is still found, by one item.
+    texts do. Windows that items share are compared once and found for every item that has them, so the rows
+    depend on neither the blocks nor the order of the benchmark; with `each_item` false one of them is enough.
     Repeated documents and items each get their rows, one per row of `docs` and distinct item row; a
     null doc_id is carried along; ties between equal edits take the first place. Very long texts are read in slices.
     An empty table on either side gives no rows. The benchmark is the stated query set: it is searched in blocks of
@@ -272,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = BL
     blocks = _blocks(benchmark, block_bytes)
     block, out = next(blocks, None), None
     while block is not None:
-        part, block = docs.mapInArrow(_search(*block, common_items), schema), next(blocks, None)
+        part, block = docs.mapInArrow(_search(*block, each_item), schema), next(blocks, None)
         # with more than one block each is searched before the next is read
         part = part if block is None and out is None else materialise(part)
         out = part if out is None else out.unionByName(part)
@@ -286,6 +282,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     short items and empty tables match nothing.
     """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "text").alias("_key"), "text")
-    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, **options)
+    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, each_item=False, **options)
     found = materialise(found.select(F.col("doc_id").alias("_key")).distinct())
     return keyed.join(small(found), "_key", "left_anti").select("_row.*")

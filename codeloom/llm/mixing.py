@@ -182,15 +182,38 @@ def mixture(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
     """
     plan = source_plan(docs, seed=seed, **options)
     d = _placed(docs.select("doc_id", "text", "source"), plan, seed).select("_row.*", "_p.*")
-    return d.select("doc_id", "source", _tokens().alias("n_tokens"), "epoch", "block", "position", "weight")
+    return d.select("doc_id", "source", _tokens().alias("n_tokens"), "epoch", "block", "position", "weight", "due")
 
 
 def mix(docs: DataFrame, *, seed: int = 7, **options) -> DataFrame:
     """The mixed documents with the columns of `docs`, in mixed order: a row appears once for each use.
 
     Rows are sorted by the share of its source at which their block begins, then source and position, so any stretch of the
-    output (and of the files it is written to) has the weights to within a block a source. Nulls, empty texts, repeated
+    output has the weights to within a block a source. Written as Parquet, the files are in this order by name and the rows
+    by place; as Spark deals files out by size, a reader gets the order back from `file_order`. Nulls, empty texts, repeated
     rows and empty tables are as in `mixture`.
     """
     placed = _placed(docs, source_plan(docs, seed=seed, **options), seed)
     return placed.orderBy("_p.due", "key", "_p.epoch", "_p.position").select("_row.*")
+
+
+def file_order(docs: DataFrame, name: str = "mix_rank") -> DataFrame:
+    """`docs`, as read from files that were written in an order, with the place of each row in it, from 0 on.
+
+    Spark numbers the files of a write by partition, so (number, file, place in the file) is the order in which they were
+    written. The rows before each file are counted by file; the list of files is broadcast while there are at
+    most LOCAL_SOURCES. A column of that name, in any case, is replaced. A table without files (one that no
+    write has put in order) gets null places.
+    """
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
+    if not docs.inputFiles():
+        return kept.withColumn(name, F.lit(None).cast("long"))
+    placed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")
+    )
+    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1)
+    files = placed.groupBy("_file").agg(F.count("*").alias("n")).withColumn("number", F.when(number != "", number.cast("long")))
+    before = F.coalesce(F.sum("n").over(W.orderBy("number", "_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = materialise(files.select("_file", before.alias("_before")))
+    few = files.count() <= LOCAL_SOURCES
+    return placed.join(F.broadcast(files) if few else files, "_file").select("_row.*", (F.col("_before") + F.col("_at")).alias(name))
