@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the shard that each belongs to, in the order in which they came."""
-    return sharding.shard(docs)
+    """The documents with the shard that each belongs to and their place in the mixed order (mix_rank), as the files before had it."""
+    return sharding.shard(mixing.file_order(docs))
 
 
 STAGES = [
