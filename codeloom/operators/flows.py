@@ -32,6 +32,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing lazy still reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("flows-"):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Levels after which the visited nodes are written as one table.
 MERGE = 16
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from codeloom.functions.names import glob_match, member, short
 from codeloom.operators import flows, graph
 from codeloom.operators.changes import repair_resolutions, tombstones
-from codeloom.operators.resolve import cascade, resolve_calls
+from codeloom.operators.python_calls import resolve_python, truncated
+from codeloom.operators.resolve import cascade, closure, prefixes
 
 #: Tables of an index.
 TABLES = ("nodes", "edges", "degrees", "flows")
@@ -125,22 +126,43 @@ def constructor_edges(edges: DataFrame, nodes: DataFrame, name: str = "__init__"
     return edges.where("resolution = 'resolved'").join(made, "target").withColumn("target", F.col("made")).select(edges.columns)
 
 
-def call_edges(calls: DataFrame, nodes: DataFrame, imports: DataFrame, types: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    """Call edges of one pair once, at its first line; calls of classes reach their constructors too; a target that isn't known keeps the text of the call."""
-    c = calls.withColumn("call", F.struct("path", "source", "line", F.coalesce("receiver", F.lit("")).alias("receiver"), "name", "form")).dropDuplicates(["call"])
-    stars = star_hits(c.where("form = 'simple'"), imports, module_symbols(nodes), listed)
-    text = F.when(F.col("call.receiver") == "", F.col("call.name")).otherwise(F.concat_ws(".", "call.receiver", "call.name"))
-    r = resolve_calls(c, nodes, imports, types, stars).select("call.path", "source", F.coalesce("target", text).alias("target"), "resolution", F.col("call.line").alias("line"))
+def extends_of(inherits: DataFrame) -> DataFrame:
+    """source, target of resolved bases."""
+    return inherits.where("kind = 'extends' AND resolution = 'resolved'").select("source", "target").distinct()
+
+
+def call_edges(
+    calls: DataFrame, nodes: DataFrame, imports: DataFrame, types: DataFrame, listed: DataFrame | None = None, extends: DataFrame | None = None
+) -> DataFrame:
+    """Call edges of one pair once, at its first line; calls of classes reach their constructors too; a target that isn't known keeps the name looked for.
+
+    evidence is JSON: the form and text of a dynamic call, the number of candidates and whether they were cut for a candidate, the channel that found others.
+    """
+    if extends is None:
+        extends = nodes.sparkSession.createDataFrame([], "source string, target string")
+    text = F.when(F.coalesce("receiver", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws(".", "receiver", "name"))
+    lines = calls.groupBy("path", "source", text.alias("expr"), "form").agg(F.min("line").alias("line"))
+    r = resolve_python(calls, nodes, imports, types, extends, listed).join(lines, ["path", "source", "expr", "form"])
+    said = F.when(F.col("resolution") == "dynamic", F.to_json(F.struct(F.col("form").alias("call_form"), F.col("expr").alias("target_expr")))).when(
+        F.col("resolution") == "candidate", F.to_json(F.struct(F.col("n_candidates"), truncated(F.col("n_candidates")).alias("truncated")))
+    ).otherwise(F.to_json(F.struct("channel")))
+    r = r.select("path", "source", "target", "resolution", "line", "site_id", said.alias("evidence"))
     r = r.unionByName(constructor_edges(r, nodes))
     return graph.keep_first(r, ["source", "target"], ["line", "resolution", "path"]).select(
-        "path", "source", "target", F.lit("call").alias("kind"), "resolution", F.col("line").cast("long").alias("ord"))
+        "path", "source", "target", F.lit("call").alias("kind"), "resolution", F.col("line").cast("long").alias("ord"), "site_id", "evidence")
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    """Edges without an order among calls, a site or evidence."""
+    return edges.select("*", F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("site_id"), F.lit(None).cast("string").alias("evidence"))
 
 
 def edges_of(ir: dict[str, DataFrame], nodes: DataFrame) -> DataFrame:
     """All edges of parsed files; parallel contains, import and inherit edges stay."""
-    e = call_edges(ir["calls"], nodes, ir["imports"], ir["types"])
-    for more in (contains_edges(nodes), import_edges(ir["imports"], nodes), inherit_edges(ir["bases"], ir["imports"], nodes)):
-        e = e.unionByName(more.withColumn("ord", F.lit(0).cast("long")))
+    inherits = flows.saved(inherit_edges(ir["bases"], ir["imports"], nodes, ir.get("listed")))
+    e = call_edges(ir["calls"], nodes, ir["imports"], ir["types"], ir.get("listed"), extends_of(inherits))
+    for more in (contains_edges(nodes), import_edges(ir["imports"], nodes), inherits):
+        e = e.unionByName(_plain(more))
     return e
 
 
@@ -151,7 +173,7 @@ def finish(nodes: DataFrame, edges: DataFrame, names: list[str], decorators: lis
 
 
 def build(ir: dict[str, DataFrame], names: list[str] = (), decorators: list[str] = ()) -> dict[str, DataFrame]:
-    """nodes, edges, degrees and flows of parsed files: nodes, calls, imports, bases, and types(scope, receiver, type)."""
+    """nodes, edges, degrees and flows of parsed files: nodes, calls, imports, bases, types(scope, receiver, type) and, if known, listed(module, names)."""
     nodes = flows.saved(number_nodes(ir["nodes"]))
     return finish(nodes, flows.saved(edges_of(ir, nodes)), list(names), list(decorators))
 
@@ -196,13 +218,17 @@ def update(
     uses = ir["calls"].select("path", "name").union(ir["bases"].select("path", F.substring_index("base", ".", -1))).union(
         ir["imports"].select("path", F.coalesce("target_name", "target_module")))
     asked = uses.join(moved.select("name").union(moved.select("qname")), "name", "left_semi").select("path")
-    again = flows.saved(touched.select("path").union(asked).union(_importers(ir["imports"], moved)).distinct())
-    part = {k: v.join(again, "path", "left_semi") for k, v in ir.items() if k in ("calls", "imports", "bases")} | {"types": ir["types"]}
+    changed = touched.join(was.select("path", "module").union(nodes.select("path", "module")), "path").select("module").distinct()
+    again = flows.saved(touched.select("path").union(asked).union(_importers(ir["imports"], moved)).union(_dependents(ir["imports"], changed)).distinct())
+    part = {k: v.join(again, "path", "left_semi") for k, v in ir.items() if k in ("calls", "imports", "bases")}
     kept = old["edges"].join(again, "path", "left_anti").where("kind <> 'contains'")
     # edges below a parent are one for each node and cheap, so they are made anew
-    redone = call_edges(part["calls"], nodes, part["imports"], part["types"])
-    for more in (import_edges(part["imports"], nodes), inherit_edges(part["bases"], part["imports"], nodes), contains_edges(nodes)):
-        redone = redone.unionByName(more.withColumn("ord", F.lit(0).cast("long")))
+    inherits = flows.saved(inherit_edges(part["bases"], part["imports"], nodes, ir.get("listed")))
+    extends = extends_of(kept.select("source", "target", "kind", "resolution").unionByName(inherits.select("source", "target", "kind", "resolution")))
+    # a re-export may lead through files that didn't change, so all imports take part
+    redone = call_edges(part["calls"], nodes, ir["imports"], ir["types"], ir.get("listed"), extends)
+    for more in (import_edges(part["imports"], nodes), inherits, contains_edges(nodes)):
+        redone = redone.unionByName(_plain(more))
     edges = flows.saved(repair_resolutions(kept, nodes).unionByName(redone).select(old["edges"].columns))
     gone = tombstones(was.withColumn("file", F.col("path")), nodes, old["edges"])
     same = digest(was, old["edges"]).first() == digest(nodes, edges).first()
@@ -214,3 +240,10 @@ def _importers(imports: DataFrame, moved: DataFrame) -> DataFrame:
     """Files with a star import of a module in which a name came or went."""
     changed = moved.select(F.substring_index("qname", "::", 1).alias("target_module")).distinct()
     return imports.where("is_star").join(changed, "target_module", "left_semi").select("path")
+
+
+def _dependents(imports: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files that import one of changed(module), or a module that does: what a name of theirs leads to may have changed."""
+    uses = imports.select("path", "module", F.explode(prefixes(F.col("target_module"))).alias("src")).distinct()
+    reached = closure(changed.select(F.lit(1).alias("key"), F.col("module").alias("node")), uses.select("src", F.col("module").alias("dst")).distinct())
+    return uses.join(reached.select(F.col("node").alias("src")), "src", "left_semi").select("path")

@@ -17,6 +17,7 @@ NODE = "struct<qname:string,kind:string,start_line:int,end_line:int,signature:st
 CALL = "struct<source:string,receiver:string,name:string,form:string,line:int>"
 IMPORT = "struct<local:string,target_module:string,target_name:string,is_star:boolean,ord:int>"
 BASE = "struct<cls:string,base:string>"
+TYPE = "struct<scope:string,receiver:string,type:string>"
 
 
 def read_tree(spark: SparkSession, path: str, suffixes: tuple[str, ...] = tuple(SUFFIXES)) -> DataFrame:
@@ -47,8 +48,10 @@ def vue_script(content: Column) -> Column:
 
 
 def parse_python(files: DataFrame) -> DataFrame:
-    """path, module, ok and arrays of nodes, calls, imports and bases, for files(path, content, module); a file that doesn't parse is not ok and empty.
+    """path, module, ok and arrays of nodes, calls, imports, bases, types and names, for files(path, content, module); a file that doesn't parse is not ok and empty.
 
+    types are the declared types that are a plain name: parameters without a default, annotated names right in a module's or function's body, and, for
+    methods, annotated fields of their class as self.<field>. names is what a literal `__all__` lists, null without one. Calls of super itself are left out.
     Each file is parsed alone in its task by the standard library's syntax tree; duplicates of a name keep the first.
     """
 
@@ -56,7 +59,24 @@ def parse_python(files: DataFrame) -> DataFrame:
         import ast
 
         def one(path: str, module: str, content: str) -> dict:
-            nodes, calls, imports, bases, seen = [], [], [], [], set()
+            nodes, calls, imports, bases, types, names, seen = [], [], [], [], [], None, set()
+
+            def annotated(body):
+                found = {}
+                for x in body:
+                    if isinstance(x, ast.AnnAssign) and isinstance(x.target, ast.Name) and isinstance(x.annotation, ast.Name):
+                        found.setdefault(x.target.id, x.annotation.id)
+                return found
+
+            def declare(node, scope, fields):
+                """Types of a function's parameters and body; fields are those of the class around."""
+                a = node.args
+                plain = [*a.posonlyargs, *a.args]
+                plain = plain[: len(plain) - len(a.defaults)] + [k for k, d in zip(a.kwonlyargs, a.kw_defaults, strict=True) if d is None]
+                found = dict(fields) | {x.arg: x.annotation.id for x in plain if isinstance(x.annotation, ast.Name)}
+                for k, v in annotated(node.body).items():
+                    found.setdefault(k, v)
+                types.extend({"scope": scope, "receiver": k, "type": v} for k, v in found.items())
 
             def add(qname, kind, node, parent, signature, decorators):
                 if qname not in seen:
@@ -74,9 +94,11 @@ def parse_python(files: DataFrame) -> DataFrame:
                         add(name, "class" if is_class else "method" if in_class else "function", child, scope, text, decorators)
                         if is_class:
                             bases.extend({"cls": name, "base": ast.unparse(b)} for b in child.bases)
+                        else:
+                            declare(child, name, {f"self.{k}": v for k, v in annotated(node.body).items()} if in_class else {})
                         walk(child, name, is_class)
                         continue
-                    if isinstance(child, ast.Call):
+                    if isinstance(child, ast.Call) and not (isinstance(child.func, ast.Name) and child.func.id == "super"):
                         f = child.func
                         simple, attribute = isinstance(f, ast.Name), isinstance(f, ast.Attribute)
                         calls.append({"source": scope, "receiver": ast.unparse(f.value) if attribute else None,
@@ -97,16 +119,23 @@ def parse_python(files: DataFrame) -> DataFrame:
                 add(module, "module", tree, None, module, [])
                 nodes[0]["end_line"] = (content or "").count("\n") + 1
                 walk(tree, module, False)
+                types.extend({"scope": module, "receiver": k, "type": v} for k, v in annotated(tree.body).items())
+                for x in tree.body:
+                    if isinstance(x, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in x.targets):
+                        items = x.value.elts if isinstance(x.value, (ast.List, ast.Tuple, ast.Set)) else [None]
+                        literal = all(isinstance(i, ast.Constant) and isinstance(i.value, str) for i in items)
+                        names = [i.value for i in items] if literal else None
+                        break
                 ok = True
             except (SyntaxError, ValueError, RecursionError):
-                nodes, calls, imports, bases, ok = [], [], [], [], False
-            return {"path": path, "module": module, "ok": ok, "nodes": nodes, "calls": calls, "imports": imports, "bases": bases}
+                nodes, calls, imports, bases, types, names, ok = [], [], [], [], [], None, False
+            return {"path": path, "module": module, "ok": ok, "nodes": nodes, "calls": calls, "imports": imports, "bases": bases, "types": types, "names": names}
 
         for pdf in batches:
             yield pd.DataFrame([one(p, m, c) for p, m, c in zip(pdf["path"], pdf["module"], pdf["content"], strict=True)])
 
     return files.select("path", "module", "content").mapInPandas(
-        run, f"path string, module string, ok boolean, nodes array<{NODE}>, calls array<{CALL}>, imports array<{IMPORT}>, bases array<{BASE}>"
+        run, f"path string, module string, ok boolean, nodes array<{NODE}>, calls array<{CALL}>, imports array<{IMPORT}>, bases array<{BASE}>, types array<{TYPE}>, names array<string>"
     )
 
 
@@ -115,6 +144,16 @@ def exploded(parsed: DataFrame, part: str) -> DataFrame:
     return parsed.select("path", "module", F.explode(part).alias("x")).select("path", "module", "x.*")
 
 
+def listed(parsed: DataFrame) -> DataFrame:
+    """module, names of the modules that state which names a star import shows."""
+    return parsed.where("names IS NOT NULL").select("module", "names")
+
+
+def index_input(parsed: DataFrame) -> dict[str, DataFrame]:
+    """The tables of parse_python that an index is built from."""
+    return {k: exploded(parsed, k) for k in ("nodes", "calls", "imports", "bases", "types")} | {"listed": listed(parsed)}
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """run, ord, kind, text of JSON-lines transcripts; malformed lines are skipped; a file is a run and byte order its order."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("run"), F.posexplode(F.split("value", "\n")).alias("ord", "line"))
