@@ -34,7 +34,7 @@ def impact(flow_slices: DataFrame, direct: DataFrame) -> DataFrame:
 
 
 def affected_entries(flows: DataFrame, nodes: DataFrame, symbols: DataFrame, tests: str = "exclude") -> DataFrame:
-    """symbol, entry: the entries of the flows that a symbol is on, filtered by tests."""
+    """symbol, entry: the entries of the flows that a symbol is on, filtered by tests; `reach.entries_of` finds them without flows."""
     ok = nodes.where(F.col("is_test").isin(TESTS[tests])).select(F.col("qname").alias("entry"))
     return flows.select(F.col("node").alias("symbol"), "entry").join(
         symbols.select(F.col("qname").alias("symbol")), "symbol", "left_semi"

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import module, short
-from codeloom.operators import changes, community, evaluate, flows, graph, impact, resolve, search
+from codeloom.operators import changes, community, evaluate, flows, graph, impact, reach, resolve, search
 from codeloom.sources.starschema import SQL, Graph, table
 from codeloom.streaming import watch
 
@@ -244,7 +244,9 @@ def impact_full(spark, d):
 WHERE node IN (FROM syms) AND entry IN (SELECT qname FROM nodes WHERE is_test = 0)""", recursive=True)
 def impact_entries(spark, d):
     g = Graph(spark, d)
-    return impact.affected_entries(_flows(g), g.nodes(), _symbols(g)).select("symbol", "entry")
+    nodes, calls = g.nodes(), flows.saved(g.calls())
+    entries = flows.entry_nodes(nodes, calls, NAMES, DECORATORS, RULES).join(nodes.where("is_test = 0").select("qname"), "qname", "left_semi")
+    return reach.entries_of(calls, _symbols(g), entries, RULES)
 
 
 def _covers(g: Graph) -> DataFrame:
