@@ -44,7 +44,9 @@ def mentions(texts: DataFrame, names: DataFrame, asked: DataFrame | None = None)
         met = held.join(asked.select("id", "name").distinct().join(n, "name"), ["id", "word"])
     one = met.where(F.size("runs") == 1).select("id", "name")
     longer = met.where(F.size("runs") > 1).select("id", "key", "name", "runs").join(t.select("id", "key", "text").distinct(), ["id", "key"])
-    return one.unionByName(longer.where(_meets(text_runs(F.col("text")), F.col("runs"))).select("id", "name")).distinct()
+    # the runs are bound to a variable, else every place would cut the text again
+    found = longer.where(F.exists(F.array(text_runs(F.col("text"))), lambda r: _meets(r, F.col("runs")))).select("id", "name")
+    return one.unionByName(found).distinct()
 
 
 def gold_kinds(golds: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
