@@ -1,4 +1,4 @@
-"""Queries of names in texts, gold kinds and contexts under a budget, with their oracle SQL."""
+"""Queries of names in texts, gold kinds, contexts under a budget and of checked cases, with their oracle SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import budget, words
 from codeloom.plans.catalogue import _query
+from codeloom.sources import records
 from codeloom.sources.starschema import Graph, table
 
 #: The first word and the first two words of each benchmark item are its names.
@@ -103,3 +104,29 @@ def context_sizes(spark, d):
 def context_sources(spark, d):
     """The changed sources as they fit the budget."""
     return _context(Graph(spark, d))["changed"].select("case", "ord", "qname", F.length("source").alias("n_chars"), "truncated")
+
+
+def _cases(g: Graph) -> DataFrame:
+    """Orders as records of cases, of which many break a rule."""
+    ranges = "map_from_entries(IF(ok % 5 = 0, array(), array(struct(file, array(array(IF(ok % 11 = 0, end_line + 1, start_line), end_line))))))"
+    record = f"""to_json(named_struct('id', IF(ok % 7 = 0, '', concat('c', ok)), 'changed_symbols', IF(ok % 3 = 0, array(), array(qname)),
+        'changed_ranges', {ranges}, 'gold_files', IF(ok % 13 = 0, array(), array(file))))"""
+    return g.orders().selectExpr("ok AS position", f"{record} AS record")
+
+
+_BROKEN = """+ o AS (SELECT *, CASE WHEN ok % 7 = 0 THEN '' ELSE 'c' || ok END AS id, CASE WHEN ok % 5 <> 0 AND ok % 11 = 0 THEN 1 WHEN ok % 7 = 0 THEN 2 WHEN ok % 13 = 0 THEN 3
+  WHEN ok % 3 = 0 AND ok % 5 = 0 THEN 4 ELSE 0 END AS bad FROM ords) """
+
+
+@_query(_BROKEN + """SELECT ok AS position, CASE bad WHEN 1 THEN 'case ' || id || ' has invalid line range' WHEN 2 THEN 'case ' || ok || ' requires a non-empty id'
+WHEN 3 THEN 'case ' || id || ' has invalid symbols or gold_files' ELSE 'case ' || id || ' requires changed_symbols or changed_ranges' END AS reason FROM o WHERE bad > 0""")
+def case_problems(spark, d):
+    """The records that are no benchmark cases, and the rule that each breaks first."""
+    return records.checked_cases(_cases(Graph(spark, d)))[1].select("position", "reason")
+
+
+@_query(_BROKEN + """SELECT id AS case_id, CASE WHEN ok % 3 = 0 THEN '' ELSE qname END AS symbols, CASE WHEN ok % 5 = 0 THEN '' ELSE file || ':' || start_line || '-' || end_line END AS ranges, file AS gold_files FROM o WHERE bad = 0""")
+def case_records(spark, d):
+    good = records.checked_cases(_cases(Graph(spark, d)))[0]
+    lines = F.transform(F.map_entries("ranges"), lambda e: F.concat(e["key"], F.lit(":"), e["value"][0][0].cast("string"), F.lit("-"), e["value"][0][1].cast("string")))
+    return good.select("case_id", F.array_join("symbols", ",").alias("symbols"), F.array_join(lines, ",").alias("ranges"), F.array_join("gold_files", ",").alias("gold_files"))
