@@ -45,7 +45,7 @@ def mentions(texts: DataFrame, names: DataFrame, asked: DataFrame | None = None)
     one = met.where(F.size("runs") == 1).select("id", "name")
     longer = met.where(F.size("runs") > 1).select("id", "key", "name", "runs").join(t.select("id", "key", "text").distinct(), ["id", "key"])
     # the runs are bound to a variable, else every place would cut the text again
-    found = longer.where(F.exists(F.array(text_runs(F.col("text"))), lambda r: _meets(r, F.col("runs")))).select("id", "name")
+    found = longer.where(F.col("text").contains(F.col("name")) & F.exists(F.array(text_runs(F.col("text"))), lambda r: _meets(r, F.col("runs")))).select("id", "name")
     return one.unionByName(found).distinct()
 
 
