@@ -74,35 +74,48 @@ def adjacency(edges: DataFrame, rules: dict[str, bool] | None = None) -> DataFra
     return traversable_calls(edges, rules).groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.min("ord").alias("ord"))
 
 
-def build_flows(entries: DataFrame, edges: DataFrame, max_depth: int | None = None, rules: dict[str, bool] | None = None) -> DataFrame:
-    """entry, node, position, depth: what each entry reaches, in the order of a first-in-first-out search.
+def start(entries: DataFrame) -> DataFrame:
+    """The first level of flows: each entry(qname) at position 0."""
+    zero = F.lit(0).cast("long")
+    return entries.select(F.col("qname").alias("entry"), F.col("qname").alias("node"), zero.alias("position"), F.lit(0).alias("depth"), zero.alias("top"))
 
-    The search goes level by level for all entries at once. A node found twice on a level keeps the smaller (position of
-    its parent, ord of the edge); new nodes of a level are numbered in that order after all earlier ones, which is
-    the order in which a queue would take them. Cycles end as visited nodes are not found again. Rows carry the last
-    position of their flow, so no level counts the earlier ones; every MERGE levels the visited are written as one table.
+
+def grow(level: DataFrame, done: DataFrame, adj: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """done(entry, node, position, depth) and all that is reached from its last levels, which may be of another depth in each flow.
+
+    `level` holds the last level of each flow that grows, with the flow's last position as `top`; `adj` is src, dst, ord.
     """
-    adj = saved(adjacency(edges, rules))
-    zero = F.lit(0).cast("long")
-    level = saved(entries.select(F.col("qname").alias("entry"), F.col("qname").alias("node"), zero.alias("position"), F.lit(0).alias("depth"), zero.alias("top")))
-    done, depth = level.drop("top"), 0
-    while (max_depth is None or depth < max_depth) and not level.isEmpty():
-        depth += 1
+    levels = 0
+    while not level.isEmpty():
+        levels += 1
+        if max_depth is not None:
+            level = level.where(F.col("depth") < max_depth)
         found = level.join(adj, F.col("node") == F.col("src")).groupBy("entry", F.col("dst").alias("node")).agg(
-            F.min(F.struct("position", "ord", "dst")).alias("at"), F.max("top").alias("top")
+            F.min(F.struct("position", "ord", "dst")).alias("at"), F.max("top").alias("top"), (F.max("depth") + 1).alias("depth")
         ).join(done.select("entry", "node"), ["entry", "node"], "left_anti")
         # one entry's new nodes of one level are ranked together
         w = W.partitionBy("entry")
         level = saved(found.select(
-            "entry", "node", (F.col("top") + F.row_number().over(w.orderBy("at"))).alias("position"), F.lit(depth).alias("depth"),
-            (F.col("top") + F.count("*").over(w)).alias("top"),
+            "entry", "node", (F.col("top") + F.row_number().over(w.orderBy("at"))).alias("position"), "depth", (F.col("top") + F.count("*").over(w)).alias("top"),
         ))
         done = done.unionByName(level.drop("top"))
-        if depth % MERGE == 0:
+        if levels % MERGE == 0:
             done = saved(done)
     return done
 
 
+def build_flows(entries: DataFrame, edges: DataFrame, max_depth: int | None = None, rules: dict[str, bool] | None = None) -> DataFrame:
+    """entry, node, position, depth: what each entry reaches, in the order of a first-in-first-out search.
+
+    The search goes level by level for all entries at once. A node found twice on a level keeps the smaller (position of
+    its parent, ord of the edge); new nodes of a level are numbered in that order after all earlier ones, which is
+    the order in which a queue would take them. Cycles end as visited nodes are not found again. Rows carry the last
+    position of their flow, so no level counts the earlier ones; every MERGE levels the visited are written as one table.
+    """
+    level = saved(start(entries))
+    return grow(level, level.drop("top"), saved(adjacency(edges, rules)), max_depth)
+
+
 def flow_stats(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes and distinct files of each flow."""
     return flows.join(nodes.select(F.col("qname").alias("node"), "file"), "node").groupBy("entry").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import glob_match, member, short
-from codeloom.operators import flows, graph
+from codeloom.operators import flow_upkeep, flows, graph
 from codeloom.operators.changes import repair_resolutions, tombstones
 from codeloom.operators.python_calls import resolve_python, truncated
 from codeloom.operators.resolve import cascade, closure, prefixes
@@ -197,12 +197,13 @@ def digest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def update(
     old: dict[str, DataFrame], ir: dict[str, DataFrame], touched: DataFrame, names: list[str] = (), decorators: list[str] = ()
 ) -> tuple[dict[str, DataFrame], DataFrame, bool]:
-    """The index after files changed, tombstones of what vanished, and whether flows were built again.
+    """The index after files changed, tombstones of what vanished, and whether flows were brought up to date.
 
     ir holds the parsed files as they are now, touched(path) those that changed, came or went. Nodes that were known keep
     their ids, new ones get ids from the largest on. Only edges of touched files are resolved again, against all nodes;
     labels of the others are mended, and other edges that could find a new target are those whose text names a
-    new symbol: their files are resolved again too. Flows are built again only if their digest changed.
+    new symbol: their files are resolved again too. If the digest of what flows depend on changed, those that go on from a node whose calls changed
+    grow again from there (`flow_upkeep`); others stay.
     """
     was = old["nodes"]
     fresh = graph.keep_first(ir["nodes"], ["qname"], ["path", "start_line"])
@@ -232,8 +233,11 @@ def update(
     edges = flows.saved(repair_resolutions(kept, nodes).unionByName(redone).select(old["edges"].columns))
     gone = tombstones(was.withColumn("file", F.col("path")), nodes, old["edges"])
     same = digest(was, old["edges"]).first() == digest(nodes, edges).first()
-    out = {"nodes": nodes, "edges": edges, "degrees": graph.degrees(edges, nodes), "flows": old["flows"]} if same else finish(nodes, edges, list(names), list(decorators))
-    return out, gone, not same
+    f = old["flows"]
+    if not same:
+        entries = flows.entry_nodes(nodes, edges, list(names), list(decorators))
+        f = flows.build_flows(entries, edges) if f is None else flow_upkeep.update_flows(f, entries, old["edges"], edges)[0]
+    return {"nodes": nodes, "edges": edges, "degrees": graph.degrees(edges, nodes), "flows": f}, gone, not same
 
 
 def _importers(imports: DataFrame, moved: DataFrame) -> DataFrame:
