@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.names import module, short
 from codeloom.operators import changes, community, evaluate, flows, graph, impact, reach, resolve, search
 from codeloom.sources.starschema import SQL, Graph, table
-from codeloom.streaming import watch
+from codeloom.streaming import follow, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -807,3 +807,15 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS
 SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""", graph_sql=False)
 def session_events(spark, d):
     return watch.sessions(table(spark, d, "events"))
+
+
+@_query("""WITH e AS (SELECT event_id, 'src/u' || user_id || CASE WHEN event_id % 4 = 0 THEN '.txt' ELSE '.py' END AS path, ts,
+  CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'added' ELSE 'modified' END AS change FROM events WHERE event_id % 4 <> 0),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts) AS k FROM g)
+SELECT path, arg_max(change, (ts, change = 'deleted', event_id)) AS change, max(ts) AS at, count(*) AS n_events FROM s GROUP BY path, k""", graph_sql=False)
+def settled_changes(spark, d):
+    """The last change of each file once it was quiet for eight hours, of events of which a third come twice."""
+    e = table(spark, d, "events").selectExpr("event_id", "concat('src/u', user_id, IF(event_id % 4 = 0, '.txt', '.py')) AS path", "ts",
+                                             "CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'added' ELSE 'modified' END AS change")
+    return follow.settled(e.unionByName(e.where("event_id % 3 = 0")), "8 hours")
