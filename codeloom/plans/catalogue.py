@@ -813,7 +813,7 @@ def session_events(spark, d):
   CASE event_type WHEN 'error' THEN 'deleted' WHEN 'signup' THEN 'added' ELSE 'modified' END AS change FROM events WHERE event_id % 4 <> 0),
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts) AS k FROM g)
-SELECT path, arg_max(change, (ts, change = 'deleted', event_id)) AS change, max(ts) AS at, count(*) AS n_events FROM s GROUP BY path, k""", graph_sql=False)
+SELECT path, arg_max(change, (ts, change = 'deleted', event_id)) AS change, max(ts) AS changed_at, count(*) AS n_events FROM s GROUP BY path, k""", graph_sql=False)
 def settled_changes(spark, d):
     """The last change of each file once it was quiet for eight hours, of events of which a third come twice."""
     e = table(spark, d, "events").selectExpr("event_id", "concat('src/u', user_id, IF(event_id % 4 = 0, '.txt', '.py')) AS path", "ts",

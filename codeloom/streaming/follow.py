@@ -14,7 +14,7 @@ from codeloom.sources.store import Store
 
 
 def settled(events: DataFrame, quiet: str = "500 milliseconds", late: str = "1 minute", suffixes: tuple[str, ...] = tuple(SUFFIXES)) -> DataFrame:
-    """path, change, at, n_events of files that were quiet for a while: one row for each run of events(event_id, path, change, ts), with its last change.
+    """path, change, changed_at, n_events of files that were quiet for a while: one row for each run of events(event_id, path, change, ts), with its last change.
 
     At equal times `deleted` wins, then the greater id. Events of one id count once; paths of other suffixes, and events without a path or time, are left out.
     On a stream a run is emitted when the watermark has passed its end, so events may come in any order within `late`; on a table all runs are.
@@ -22,8 +22,8 @@ def settled(events: DataFrame, quiet: str = "500 milliseconds", late: str = "1 m
     e = events.where(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1).isin(list(suffixes)) & F.col("ts").isNotNull())
     e = e.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else e.dropDuplicates(["event_id"])
     rank = F.struct("ts", F.coalesce(F.col("change") == "deleted", F.lit(False)), "event_id")
-    g = e.groupBy(F.session_window("ts", quiet).alias("w"), "path").agg(F.max_by("change", rank).alias("change"), F.max("ts").alias("at"), F.count("*").alias("n_events"))
-    return g.select("path", "change", "at", "n_events")
+    g = e.groupBy(F.session_window("ts", quiet).alias("w"), "path").agg(F.max_by("change", rank).alias("change"), F.max("ts").alias("changed_at"), F.count("*").alias("n_events"))
+    return g.select("path", "change", "changed_at", "n_events")
 
 
 def follow(
