@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.names import module
 from codeloom.operators import cases, impact, java, scans, search, service, specifiers, upkeep
 from codeloom.operators.flows import saved
-from codeloom.plans.catalogue import _DIRECT, _query
+from codeloom.plans.catalogue import _CHANGE, _DEAD, _DIRECT, _covers, _dead, _deletions, _functions, _query, _symbols, _uncovered
 from codeloom.sources.starschema import Graph, table
 
 # Java
@@ -361,3 +361,41 @@ def nested_tool_uses(spark, d):
     uses = scans.tool_uses(c.select(F.col("conv_id").alias("run"), F.col("turn").alias("ord"), line.alias("line")))
     available = c.select(F.col("conv_id").alias("run"), F.explode(F.array(F.lit("Read"), F.lit("Grep"))).alias("tool"))
     return scans.used_tools(uses, available).withColumn("tool_calls", F.array_join("tool_calls", ","))
+
+
+# answers
+
+
+@_query()
+def test_answers(spark, d):
+    """The tests to run for the symbols of each file, and for a symbol that isn't known."""
+    g = Graph(spark, d)
+    asked = g.nodes().join(_symbols(g), "qname", "left_semi").select(F.col("file").alias("question"), "qname").union(spark.createDataFrame([("gone.py", "no::such")], "q string, s string"))
+    heads = service.test_report(asked, saved(_covers(g)), g.nodes(), g.edges())["heads"]
+    return heads.withColumn("fallback_reasons", F.concat_ws("; ", "fallback_reasons"))
+
+
+@_query(f"+ {_DEAD} SELECT file, dead.qname AS symbol FROM dead JOIN (SELECT file FROM files) f USING (file)")
+def dead_file_symbols(spark, d):
+    return service.dead_report(*_dead(Graph(spark, d)))["file_symbols"]
+
+
+def _change_report(g: Graph) -> dict[str, DataFrame]:
+    gone, calls = _deletions(g), g.calls().selectExpr("target AS qname", "source")
+    return service.change_report(g.numstat(), _functions(g), _uncovered(g), gone, scans.diff_sections(_diff_lines(g)), calls.union(g.contains().selectExpr("target", "source")))
+
+
+@_query(f"""+ {_CHANGE}, x AS (SELECT ok AS diff_id, file, unnest([1, 2]) AS hunk, start_line, end_line, ok FROM ords),
+h AS (SELECT diff_id, file, hunk, CASE hunk WHEN 1 THEN start_line ELSE end_line END AS start, 3 - hunk AS n,
+  CASE hunk WHEN 1 THEN '@@ -' || ok % 40 || ',' || ok % 4 || ' +' || start_line || E',2 @@ def f\n+a\n b' ELSE '@@ -' || start_line || ' +' || end_line || E' @@\n+c' END AS text FROM x)
+SELECT fn.qname, diff_id, CAST(hunk AS BIGINT) AS hunk, CAST(h.start AS BIGINT) AS start, text FROM h JOIN fn ON fn.file = h.file AND fn.start_line <= h.start + n - 1 AND fn.end_line >= h.start
+WHERE fn.kind IN ('function', 'method', 'class')""")
+def change_function_diffs(spark, d):
+    """The hunks of all diffs that meet each changed symbol."""
+    return _change_report(Graph(spark, d))["diffs"]
+
+
+@_query(f"""+ {_CHANGE} SELECT DISTINCT qname, source FROM (SELECT target AS qname, source FROM calls UNION ALL SELECT qname, parent FROM nodes WHERE parent IS NOT NULL) WHERE qname IN (SELECT qname FROM gone)""")
+def change_deleted_upstream(spark, d):
+    """Who called or held the symbols that a change deleted, a row each."""
+    return _change_report(Graph(spark, d))["upstream"]
