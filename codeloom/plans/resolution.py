@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.names import module
 from codeloom.operators import cases, impact, java, scans, search, service, specifiers, upkeep
 from codeloom.operators.flows import saved
-from codeloom.plans.catalogue import _CHANGE, _DEAD, _DIRECT, _covers, _dead, _deletions, _functions, _query, _symbols, _uncovered
+from codeloom.plans.catalogue import _CHANGE, _DIRECT, _covers, _deletions, _functions, _query, _symbols, _uncovered
 from codeloom.sources.starschema import Graph, table
 
 # Java
@@ -375,11 +375,6 @@ def test_answers(spark, d):
     return heads.withColumn("fallback_reasons", F.concat_ws("; ", "fallback_reasons"))
 
 
-@_query(f"+ {_DEAD} SELECT file, dead.qname AS symbol FROM dead JOIN (SELECT file FROM files) f USING (file)")
-def dead_file_symbols(spark, d):
-    return service.dead_report(*_dead(Graph(spark, d)))["file_symbols"]
-
-
 def _change_report(g: Graph) -> dict[str, DataFrame]:
     gone, calls = _deletions(g), g.calls().selectExpr("target AS qname", "source")
     return service.change_report(g.numstat(), _functions(g), _uncovered(g), gone, scans.diff_sections(_diff_lines(g)), calls.union(g.contains().selectExpr("target", "source")))
