@@ -88,6 +88,17 @@ def test_cases(spark):
     assert (r["no::such"].found, r["no::such"].upstream, r["no::such"].n_entries) == (0, [], 0)
 
 
+def test_candidate_files_travel_to_their_cases_once(spark):
+    n = nodes(spark, *KNOWN)
+    s = spark.createDataFrame([("1", "b::Far.go", 1), ("1", "a::Own", 2), ("2", "a::Own", 5)], "case string, symbol string, rank long")
+    reached = spark.createDataFrame([("a::Own", "up", "b::Far", 1), ("a::Own", "down", "c::Twin", 1), ("b::Far.go", "up", "a::Mate", 1)], "symbol string, direction string, node string, rank long")
+    c = cases.candidate_files(s, reached, n)
+    assert [tuple(r) for r in c.orderBy("case", "rank").collect()] == [
+        ("1", "b.java", 1), ("1", "a.java", 2), ("1", "c.java", 3), ("2", "a.java", 1), ("2", "b.java", 2), ("2", "c.java", 3)]
+    plan = c._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("hashpartitioning(case") == 0 and c._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(case") == 1
+
+
 def test_upkeep(spark):
     before, after = nodes(spark, *KNOWN), nodes(spark, *KNOWN[:-2], "new::Thing.a_b")
     old = search.postings(search.searchable(before), "qname", list(search.FIELDS))
