@@ -173,6 +173,20 @@ def test_slices_impact_and_tests_match_plain_python(spark):
                 assert flags["gone::x"].fallback == 1 and flags["gone::x"].found == 0
 
 
+def test_slices_shuffle_no_pairs(spark):
+    f = spark.createDataFrame([("e", f"n{i:02}", i) for i in range(60)], "entry string, node string, position long")
+    symbols = f.select(F.col("node").alias("qname"))
+    near = flows.slices(f, symbols, F.lit(True), 3)
+    assert near.count() == 2 * (60 * 3 - 6)
+    # pairs come from a window; flows are joined with no other table by entry
+    assert "Join [entry#" not in near._jdf.queryExecution().executedPlan().toString()
+    sparse = flows.slices(f, symbols, F.col("position") % 20 == 7, 2)
+    got = {(r.symbol, r.direction, r.node) for r in sparse.collect()}
+    kept = [7, 27, 47]
+    want = {(f"n{i:02}", d, f"n{k:02}") for i in range(60) for d, ks in (("up", [k for k in kept if k < i][-2:]), ("down", [k for k in kept if k > i][:2])) for k in ks}
+    assert got == want
+
+
 def test_long_chain_and_registered_rules(spark):
     rows = [(f"c{i:03}", f"c{i + 1:03}", "call", "resolved") for i in range(40)] + [("c040", "s1", "call", "semantic"), ("s1", "s2", "call", "semantic")]
     e = edges_of(spark, rows).withColumn("rule_id", F.when(F.col("target") == "s1", "R1").otherwise("R2"))
