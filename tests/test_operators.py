@@ -235,6 +235,15 @@ def test_every_hunk_is_accounted_for(spark):
     assert tuple(total) == (4, 1, 14, 3, 4, 2)
 
 
+def test_equal_hunks_are_joined_once(spark):
+    h = spark.createDataFrame([("f", 60, 10)] * 3 + [("f", 1, 0), ("g", 5, 1)], "file string, start int, count int")
+    n = spark.createDataFrame([("f", "a", "function", 1, 200), ("f", "b", "function", 62, 70), ("g", "c", "class", 5, 5)], "file string, qname string, kind string, start_line int, end_line int")
+    o = changes.hunk_overlaps(h, n)
+    assert sorted(tuple(r) for r in o.collect()) == [("f", 60, 10, "a"), ("f", 60, 10, "b")]
+    # the hunks are made distinct before the join, the pairs after it
+    assert o._jdf.queryExecution().sparkPlan().toString().count("HashAggregate(keys=[file") == 4
+
+
 def test_delta_keeps_ids(spark):
     old = nodes_of(spark, ["m::a", "m::b"]).union(nodes_of(spark, ["k::z"], file="k.py").withColumn("id", F.lit(9).cast("long")))
     fresh = nodes_of(spark, ["m::b", "m::new1", "m::new2"]).drop("id")
