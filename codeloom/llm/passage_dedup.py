@@ -163,10 +163,9 @@ def repeated_passages(docs: DataFrame, *, unit_words: int = UNIT_WORDS, run_word
     found = "doc_id long, text_hash long, w0 int, w1 int, start int, end int"
     units = docs.mapInArrow(_units(unit_words, run_words, line_words), f"anchor long, digest long, {found}")
     place = F.struct("doc_id", "text_hash", "w0")
-    by_unit = units.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    again = ~F.col("first").eqNullSafe(F.col("last"))
-    # per anchor: its digests that repeat with their first places, and whether units differ
-    by_unit = materialise(by_unit.select("anchor", "digest", "first", again.alias("again")))
+    by_unit = units.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # per anchor: its digests that repeat with their first places, and whether units differ; a row that repeats counts too, and goes below as it isn't apart
+    by_unit = materialise(by_unit.select("anchor", "digest", "first", (F.col("n") > 1).alias("again")))
     forked = by_unit.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("forked"))
     wanted = materialise(by_unit.join(forked, "anchor", "left").where("again OR forked").select("digest", "first", "forked"))
     discard(spark, by_unit)
@@ -186,7 +185,7 @@ def repeated_passages(docs: DataFrame, *, unit_words: int = UNIT_WORDS, run_word
     grams = materialise(
         docs.join(listed, same_doc).select("doc_id", docs.text_hash, "text", "spans").mapInArrow(_grams(run_words), f"digest long, {found}")
     )
-    common = grams.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(again).select("digest", "first")
+    common = grams.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     edges = grams.join(common, "digest").where(apart).select(*at, of)
     later = placed.where("apart").select(*at, "of").union(edges).select(
         "doc_id", "text_hash", F.struct("w0", "w1", "start", "end", "of").alias("u")
