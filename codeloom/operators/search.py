@@ -39,11 +39,8 @@ def searchable(nodes: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """id, field, pos, token: every token of every searched column."""
-    parts = [docs.select(F.col(id_col).alias("id"), F.lit(k).alias("field"), F.posexplode(normal_tokens(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias("pos", "token")) for k, c in enumerate(columns)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fields = F.array(*[normal_tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(fields).alias("field", "tokens")).select("id", "field", F.posexplode("tokens").alias("pos", "token"))
 
 
 def bm25(docs: DataFrame, query: str, id_col: str, columns: list[str], limit: int | None = None) -> DataFrame:
