@@ -25,3 +25,10 @@ def test_postings_read_their_rows_once(spark):
     p = search.postings(docs, "id", ["x", "y"])
     assert sorted(tuple(r) for r in p.collect()) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (2, 1, 0, "c")]
     assert plan(p, "Union") == [0]
+def test_diff_sections_order_lines_once(spark):
+    rows = [(1, n, x) for n, x in enumerate(["noise", "diff --git a/p b/p", "@@ -1 +1 @@", "-x", "diff --git a/p b/p", "index", "@@ -2 +7,2 @@ f", "+a", "@@ -5 +9 @@", "diff --git a/q"])]
+    d = scans.diff_sections(spark.createDataFrame(rows, "diff_id long, line_no int, line string"))
+    assert sorted(tuple(r) for r in d.collect()) == [
+        (1, "p", 0, None, 2, "diff --git a/p b/p\nindex"), (1, "p", 1, 7, 2, "@@ -2 +7,2 @@ f\n+a"), (1, "p", 2, 9, 1, "@@ -5 +9 @@")]
+    # the lines once, the hunks once
+    assert plan(d, "Sort ") == [2]
