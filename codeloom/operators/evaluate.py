@@ -15,12 +15,16 @@ def fold_scores(gold: DataFrame, candidates: DataFrame, item: str) -> DataFrame:
 
     gold(case_id, item) with at least two items a case; candidates(case_id, seed, item) without the seed itself.
     """
-    many = gold.groupBy("case_id").agg(F.count("*").alias("n")).where("n >= 2")
-    g = gold.join(many, "case_id").withColumnRenamed(item, "seed")
-    c = candidates.where(F.col("seed") != F.col(item)).select("case_id", "seed", item).distinct()
-    hit = c.join(gold.select("case_id", item), ["case_id", item], "left_semi").groupBy("case_id", "seed").agg(F.count("*").alias("hits"))
-    total = c.groupBy("case_id", "seed").agg(F.count("*").alias("n_candidates"))
-    f = g.select("case_id", "seed", (F.col("n") - 1).alias("n_gold")).join(hit, ["case_id", "seed"], "left").join(total, ["case_id", "seed"], "left").na.fill(0)
+    c = candidates.where(F.col("seed") != F.col(item)).select("case_id", "seed", F.col(item).alias("item"), F.lit(0).alias("gold"))
+    g = gold.select("case_id", F.lit(None).cast(candidates.schema["seed"].dataType).alias("seed"), F.col(item).alias("item"), F.lit(1).alias("gold"))
+    # every step is by case, so rows dealt out by case stay where they are
+    d = c.unionByName(g).where("case_id IS NOT NULL").groupBy("case_id", "seed", "item").agg(F.max("gold").alias("gold"))
+    d = d.withColumn("hit", F.max("gold").over(W.partitionBy("case_id", "item")))
+    seed = F.when(F.col("gold") == 1, F.col("item")).otherwise(F.col("seed"))
+    s = d.select("case_id", seed.alias("seed"), "gold", "hit").groupBy("case_id", "seed").agg(
+        F.max("gold").alias("gold"), F.count_if((F.col("gold") == 0) & (F.col("hit") == 1)).alias("hits"),
+        F.count_if(F.col("gold") == 0).alias("n_candidates"))
+    f = s.withColumn("n_gold", F.sum("gold").over(W.partitionBy("case_id")) - 1).where("gold = 1 AND n_gold >= 1")
     return f.select(
         "case_id", "seed", "n_gold", "hits", (F.col("hits") / F.col("n_gold")).alias("recall"),
         F.coalesce(F.try_divide("hits", "n_candidates"), F.lit(0.0)).alias("precision"),

@@ -20,11 +20,6 @@ def test_spread_bounds_the_rows_of_a_partition(spark):
     assert plan(d.groupBy("k").count(), "Exchange") == [1]
 
 
-def test_postings_read_their_rows_once(spark):
-    docs = spark.createDataFrame([(1, "a B", None), (2, "", "c")], "id long, x string, y string")
-    p = search.postings(docs, "id", ["x", "y"])
-    assert sorted(tuple(r) for r in p.collect()) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (2, 1, 0, "c")]
-    assert plan(p, "Union") == [0]
 def test_diff_sections_order_lines_once(spark):
     rows = [(1, n, x) for n, x in enumerate(["noise", "diff --git a/p b/p", "@@ -1 +1 @@", "-x", "diff --git a/p b/p", "index", "@@ -2 +7,2 @@ f", "+a", "@@ -5 +9 @@", "diff --git a/q"])]
     d = scans.diff_sections(spark.createDataFrame(rows, "diff_id long, line_no int, line string"))
@@ -32,3 +27,21 @@ def test_diff_sections_order_lines_once(spark):
         (1, "p", 0, None, 2, "diff --git a/p b/p\nindex"), (1, "p", 1, 7, 2, "@@ -2 +7,2 @@ f\n+a"), (1, "p", 2, 9, 1, "@@ -5 +9 @@")]
     # the lines once, the hunks once
     assert plan(d, "Sort ") == [2]
+
+
+def test_fold_scores_stay_with_their_case(spark):
+    gold = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a"), (3, "x"), (3, "y"), (None, "a"), (None, "b")], "case_id long, item string")
+    cand = [(1, "a", "b"), (1, "a", "b"), (1, "a", "z"), (1, "b", "b"), (1, "c", "a"), (1, "c", "b"), (2, "a", "b"), (3, "x", "q"), (1, "nobody", "a")]
+    cand = spark.createDataFrame(cand, "case_id long, seed string, item string")
+    of = lambda d: spread(d, ["case_id"], 9, 3)
+    d = evaluate.fold_scores(of(gold), of(cand), "item")
+    assert sorted(tuple(r) for r in d.collect()) == [
+        (1, "a", 2, 1, 0.5, 0.5), (1, "b", 2, 0, 0.0, 0.0), (1, "c", 2, 2, 1.0, 1.0), (3, "x", 1, 0, 0.0, 0.0), (3, "y", 1, 0, 0.0, 0.0)]
+    assert plan(d, "Exchange", "SortMergeJoin", "BroadcastHashJoin") == [2, 0, 0]
+
+
+def test_postings_read_their_rows_once(spark):
+    docs = spark.createDataFrame([(1, "a B", None), (2, "", "c")], "id long, x string, y string")
+    p = search.postings(docs, "id", ["x", "y"])
+    assert sorted(tuple(r) for r in p.collect()) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (2, 1, 0, "c")]
+    assert plan(p, "Union") == [0]
