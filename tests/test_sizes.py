@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import evaluate, scans, search
+from codeloom.operators import community, evaluate, scans, search
 from codeloom.operators.sizes import spread
 
 
@@ -45,3 +45,15 @@ def test_postings_read_their_rows_once(spark):
     p = search.postings(docs, "id", ["x", "y"])
     assert sorted(tuple(r) for r in p.collect()) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (2, 1, 0, "c")]
     assert plan(p, "Union") == [0]
+
+
+def test_components_shrink_with_every_round(spark, monkeypatch):
+    written, plain = [], community.saved
+    monkeypatch.setattr(community, "saved", lambda d: (written.append((d.columns, plain(d))), written[-1][1])[1])
+    # a path, a ring, a star, a loop and an end that is null
+    pairs = [(f"p{i:03}", f"p{i + 1:03}") for i in range(99)] + [(f"r{i}", f"r{(i + 1) % 8}") for i in range(8)] + [("s0", f"s{i}") for i in range(1, 9)] + [("l", "l"), (None, "x")]
+    d = community.components(spark.createDataFrame(pairs, "a string, b string").withColumn("weight", F.lit(1)))
+    got = {r.qname: r.community for r in d.collect()}
+    assert got == {q: q[0] + {"p": "000", "r": "0", "s": "0"}.get(q[0], "") for a, b in pairs for q in (a, b) if q}
+    # an edge table a round at most, and each shorter
+    assert len([c for c, _ in written if c == ["a", "b"]]) <= 4
