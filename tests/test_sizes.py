@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import community, evaluate, scans, search
+from codeloom.operators import community, evaluate, reach, scans, search
 from codeloom.operators.sizes import spread
 
 
@@ -57,3 +57,15 @@ def test_components_shrink_with_every_round(spark, monkeypatch):
     assert got == {q: q[0] + {"p": "000", "r": "0", "s": "0"}.get(q[0], "") for a, b in pairs for q in (a, b) if q}
     # an edge table a round at most, and each shorter
     assert len([c for c, _ in written if c == ["a", "b"]]) <= 4
+
+
+def test_what_nothing_enters_is_no_part_of_the_search(spark, monkeypatch):
+    arcs = [(f"e{i}", "a") for i in range(30)] + [("e1", "c"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "c"), ("x", "y")]
+    seen, plain = [], reach.strong_components
+    monkeypatch.setattr(reach, "strong_components", lambda x: (seen.append(x.count()), plain(x))[1])
+    name = lambda *n: spark.createDataFrame([(q,) for q in n], "qname string")
+    d = reach.reaching(spark.createDataFrame(arcs, "src string, dst string"), name("a", "b", "d", "e3", "y", "lone"), name(*[f"e{i}" for i in range(30)], "b", "x", "lone"))
+    want = {(s, f"e{i}") for s in "abd" for i in range(30)} | {("b", "b"), ("d", "b"), ("e3", "e3"), ("y", "x"), ("lone", "lone")}
+    got = [tuple(r) for r in d.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert seen == [4]
