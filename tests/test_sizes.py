@@ -69,3 +69,13 @@ def test_what_nothing_enters_is_no_part_of_the_search(spark, monkeypatch):
     got = [tuple(r) for r in d.collect()]
     assert set(got) == want and len(got) == len(want)
     assert seen == [4]
+
+
+def test_coverage_counts_in_partitions_by_rows(spark, monkeypatch):
+    from codeloom.operators import graph
+
+    monkeypatch.setattr(graph, "EACH", 50)
+    e = spark.createDataFrame([(f"s{i % 40}", f"t{i}", "call", "resolved") for i in range(500)], "source string, target string, kind string, resolution string")
+    found = graph.coverage(e)
+    assert found.rdd.getNumPartitions() >= 20
+    assert {r.symbol: r.resolved_edges for r in found.collect()} == {f"t{i}": 1 for i in range(500)} | {f"s{i}": 12 + (i < 20) for i in range(40)}
