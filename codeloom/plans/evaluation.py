@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import budget, words
+from codeloom.operators.flows import saved
 from codeloom.plans.catalogue import _query
 from codeloom.sources import records
 from codeloom.sources.starschema import Graph, table
@@ -48,15 +49,22 @@ def _context(g: Graph) -> dict[str, DataFrame]:
     """Orders as cases: the parts of their lines are changed, the lines' suppliers neighbours, the parts' resolved calls downstream."""
     # a row per order and number, of which the tables may have several
     lines = g.t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
-    lines = lines.join(g.parts().select("pk", F.col("qname").alias("part"), "file", "p_name"), F.col("pk") == F.col("l_partkey"))
+    # what a part calls, two symbols at most, comes along with the part
+    calls = g.part_calls().selectExpr("source AS part", "target AS qname", "ord AS place").join(
+        g.nodes().where("kind IN ('class', 'function')").select("qname", F.col("file").alias("at")), "qname").groupBy("part").agg(F.collect_list(F.struct("place", "qname", "at")).alias("calls"))
+    parts = g.parts().select("pk", F.col("qname").alias("part"), "file", "p_name").join(calls, "part", "left")
+    lines = lines.join(parts, F.col("pk") == F.col("l_partkey"))
     lines = lines.join(g.suppliers().selectExpr("sk", "qname AS near", "file AS near_file"), F.col("sk") == F.col("l_suppkey"))
+    # five tables read the lines
+    lines = saved(lines.select("l_orderkey", "l_linenumber", "l_quantity", "part", "file", "p_name", "calls", "near", "near_file"))
     snippet = ["l_orderkey AS `case`", "CAST(l_linenumber AS BIGINT) AS ord"]
     source = "repeat(concat(p_name, '\\n'), CAST(l_quantity AS INT) + 30) AS source"
-    changed = lines.selectExpr(*snippet, "part AS qname", "file", "1 AS start_line", "l_linenumber AS end_line", source, "l_linenumber % 2 = 0 AS truncated")
+    # sources are long, so lines are dealt out before they have them
+    changed = lines.selectExpr(*snippet, "part", "file", "p_name", "l_quantity", "l_linenumber").repartition("case", "ord").selectExpr(
+        "`case`", "ord", "part AS qname", "file", "1 AS start_line", "l_linenumber AS end_line", source, "l_linenumber % 2 = 0 AS truncated")
     near = lines.selectExpr(*snippet, "near AS qname", "near_file AS file", "1 AS start_line", "l_linenumber AS end_line", "repeat(near, 9) AS source", "false AS truncated")
     impacts = lines.selectExpr(*snippet, "part AS symbol", "true AS found", "array(near) AS entries")
-    calls = g.calls().where("resolution = 'resolved' AND ord > 1000000").selectExpr("source AS part", "target AS qname", "ord AS place")
-    nodes = lines.select("l_orderkey", "l_linenumber", "part").join(calls, "part").join(g.nodes().select("qname", F.col("file").alias("at")), "qname").selectExpr(
+    nodes = lines.selectExpr("*", "inline(calls)").selectExpr(
         *snippet, "'downstream' AS direction", "place AS rank", "qname", "at AS file", "l_linenumber AS line")
     cases = lines.groupBy(F.col("l_orderkey").alias("case")).agg(F.sort_array(F.collect_set("part")).alias("symbols"))
     return budget.fit_context(cases, changed, near, impacts, nodes, LIMIT)
