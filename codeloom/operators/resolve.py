@@ -110,17 +110,22 @@ def cascade(calls: DataFrame, channels: list[tuple[str, DataFrame, bool]]) -> Da
     A channel is (name, hits(call, target), terminal). A call with hits in a channel is resolved there if there is one, and a
     candidate if there are several. A terminal channel also decides for calls that it lists with a null target: unresolved.
     """
-    out = calls.select("call").distinct()
-    found = None
-    for order, (name, hits, terminal) in enumerate(channels):
+    last = len(channels)
+    rows = calls.select("call", F.lit(last).alias("o"), F.lit(None).cast("string").alias("target"))
+    for order, (_, hits, terminal) in enumerate(channels):
         h = hits if terminal else hits.where("target IS NOT NULL")
-        g = h.groupBy("call").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
-        g = g.select("call", F.struct(F.lit(order).alias("o"), F.lit(name).alias("channel"), "n", "target").alias("x"))
-        found = g if found is None else found.unionByName(g)
-    best = found.groupBy("call").agg(F.min("x").alias("x"))
-    n = F.coalesce("x.n", F.lit(-1))
-    label = F.when(n == -1, "dynamic").when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("candidate")
-    return out.join(best, "call", "left").select("call", label.alias("resolution"), F.when(n == 1, F.col("x.target")).alias("target"), F.col("x.channel").alias("channel"))
+        rows = rows.unionByName(h.select("call", F.lit(order).alias("o"), "target"))
+    # all rows of a call meet once; none, one or several targets show in the least and the greatest
+    ends = rows.repartition("call").groupBy("call", "o").agg(F.min("target").alias("low"), F.max("target").alias("high"))
+    best = ends.groupBy("call").agg(F.min(F.struct("o", "low", "high")).alias("x"), F.max("o").alias("end")).where(F.col("end") == last)
+    return best.select("call", *_outcome(F.when(F.col("x.o") < last, F.col("x.o")), F.col("x.low"), F.col("x.high"), [c[0] for c in channels]))
+
+
+def _outcome(order: Column, low: Column, high: Column, names: list[str]) -> list[Column]:
+    """resolution, target, channel of a call from the order of the channel that decides, null if none does, and its least and greatest target."""
+    label = F.when(order.isNull(), "dynamic").when(low.isNull(), "unresolved").when(low == high, "resolved").otherwise("candidate")
+    channel = F.get(F.array(*[F.lit(x) for x in names]), order)
+    return [label.alias("resolution"), F.when(order.isNotNull() & (low == high), low).alias("target"), channel.alias("channel")]
 
 
 def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, types: DataFrame, stars: DataFrame | None = None) -> DataFrame:
@@ -129,22 +134,42 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, types:
     simple: local name, imported name, a name of a star import (stars: call, target), else unresolved. attribute: imported module, local class, declared type, self, else dynamic.
     imports(module, local, target_module, target_name, ord), where the last import of a name (the greatest ord) counts; types(scope, receiver, type).
     """
-    known = nodes.select("qname").distinct()
-    exists = lambda d: d.join(known.withColumnRenamed("qname", "target"), "target", "left_semi").select("call", "target")
-    simple, attr = calls.where("form = 'simple'"), calls.where("form = 'attribute'")
-    bound = imports.groupBy("module", "local").agg(F.max_by(F.struct("target_module", "target_name"), "ord").alias("b"))
+    known = nodes.select(F.col("qname").alias("target"), F.lit(True).alias("there")).distinct()
+    names = ("local", "import", "star", "module", "class", "type", "self")
+    simple, attribute = F.col("form") == "simple", F.col("form") == "attribute"
+    bound = imports.groupBy("module", F.col("local").alias("key")).agg(F.max_by(F.struct("target_module", "target_name"), "ord").alias("b"))
+    typed = types.groupBy(F.col("scope").alias("source"), "receiver").agg(F.collect_set("type").alias("types"))
+    c = calls.select("call", "source", "module", "receiver", "name", "form", F.when(simple, F.col("name")).when(attribute, F.col("receiver")).alias("key"))
+    c = c.join(bound, ["module", "key"], "left").join(typed, ["source", "receiver"], "left")
     to = member(F.col("b.target_module"), F.col("b.target_name"))
-    local = exists(simple.select("call", F.concat_ws("::", "module", "name").alias("target")))
-    imported = simple.join(bound, (simple.module == bound.module) & (simple.name == bound.local)).select("call", to.alias("target"))
-    imported = imported.join(known.withColumn("hit", F.lit(1)), F.col("target") == F.col("qname"), "left").select("call", F.when(F.col("hit") == 1, F.col("target")).alias("target"))
-    base = attr.join(bound, (attr.module == bound.module) & (attr.receiver == bound.local))
-    via_module = exists(base.select("call", member(F.when(F.col("b.target_name").isNull(), F.col("b.target_module")).otherwise(to), F.col("name")).alias("target")))
-    via_local = exists(attr.select("call", F.concat(F.concat_ws("::", "module", "receiver"), F.lit("."), F.col("name")).alias("target")))
-    via_type = exists(attr.join(types.withColumnRenamed("scope", "source"), ["source", "receiver"]).select("call", F.concat_ws(".", "type", "name").alias("target")))
-    own = attr.where("receiver IN ('self', 'cls')").select("call", F.concat_ws(".", F.regexp_extract("source", r"^(.*)\.[^.]*$", 1), "name").alias("target"))
-    decided = cascade(calls, [
-        ("local", local, False), ("import", imported, True), *([("star", exists(stars), False)] if stars is not None else []), ("module", via_module, False), ("class", via_local, False),
-        ("type", via_type, False), ("self", exists(own), False),
-    ])
+    via = member(F.when(F.col("b.target_name").isNull(), F.col("b.target_module")).otherwise(to), F.col("name"))
+    own = F.concat_ws(".", F.regexp_extract("source", r"^(.*)\.[^.]*$", 1), "name")
+
+    def tries(channel: str, target: Column) -> Column:
+        return F.array(F.struct(F.lit(names.index(channel)).alias("o"), target.alias("target")))
+
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<o:INT,target:STRING>>)")
+    only = lambda when, found: F.when(when, found).otherwise(none)
+    # what a call may mean is laid out beside it and looked up at once; its first try, which each has, stays for the call itself
+    first = F.when(simple, tries("local", F.concat_ws("::", "module", "name"))).when(
+        attribute, tries("class", F.concat(F.concat_ws("::", "module", "receiver"), F.lit("."), F.col("name")))).otherwise(
+        F.array(F.struct(F.lit(len(names)).alias("o"), F.col("source").alias("target"))))
+    of_type = F.transform(F.coalesce("types", F.array().cast("array<string>")), lambda t: F.struct(F.lit(names.index("type")).alias("o"), F.concat_ws(".", t, "name").alias("target")))
+    more = F.concat(
+        only(simple & F.col("b").isNotNull(), tries("import", to)), only(attribute & F.col("b").isNotNull(), tries("module", via)),
+        only(attribute, of_type), only(attribute & F.col("receiver").isin("self", "cls"), tries("self", own)))
+    rows = c.select("call", "source", "form", F.posexplode(F.concat(first, more)).alias("nth", "x"))
+    head = F.col("nth") == 0
+    rows = rows.select("call", F.when(head, F.col("source")).alias("source"), F.when(head, F.col("form")).alias("form"), head.alias("head"), "x.o", F.coalesce("x.target", F.lit("")).alias("target"))
+    if stars is not None:
+        rows = rows.unionByName(stars.where("target IS NOT NULL").select("call", F.lit(names.index("star")).alias("o"), "target", F.lit(False).alias("head")), True)
+    looked = rows.join(known, "target", "left").withColumn("there", F.col("there").isNotNull() & (F.col("o") < len(names)))
+    # an imported name decides even if it isn't known
+    applies = F.col("there") | (F.col("o") == names.index("import"))
+    per = W.partitionBy("call")
+    looked = looked.where(applies | F.col("head")).withColumn("best", F.min(F.when(applies, F.col("o"))).over(per))
+    hit = F.when(F.col("there") & (F.col("o") == F.col("best")), F.col("target"))
+    looked = looked.withColumn("low", F.min(hit).over(per)).withColumn("high", F.max(hit).over(per)).where("head")
+    decided = looked.select("call", "source", "form", *_outcome(F.col("best"), F.col("low"), F.col("high"), list(names)))
     final = F.when((F.col("resolution") == "dynamic") & (F.col("form") != "attribute"), "unresolved").otherwise(F.col("resolution"))
-    return calls.join(decided, "call").select("call", "source", "target", final.alias("resolution"), "channel")
+    return decided.select("call", "source", "target", final.alias("resolution"), "channel")

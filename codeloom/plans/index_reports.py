@@ -108,15 +108,22 @@ CASE WHEN n IN (1, 2, 3, 5) THEN 'resolved' WHEN n = 4 THEN 'dynamic' ELSE 'unre
 def index_calls(spark, d):
     """Calls in seven forms: an imported name, a member of an imported module, one of self, of an unknown receiver, a local class, another form, a missing import."""
     g = Graph(spark, d)
-    x = g.t("lineitem").join(g.orders().selectExpr("ok", "qname AS source", "module"), F.col("ok") == F.col("l_orderkey")).join(
-        g.parts().selectExpr("pk", "module AS pm"), F.col("pk") == F.col("l_partkey"))
+    # equal calls are one; rows are dealt out once for that and for the joins
+    one = lambda rows, key: rows.repartition(key).distinct()
+    lines = one(g.t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey")
+    orders, parts = one(g.orders().selectExpr("ok", "qname AS source", "module"), "ok"), one(g.parts().selectExpr("pk", "module AS pm"), "pk")
+    # calls and imports read the lines
+    x = flows.saved(lines.join(orders, F.col("ok") == F.col("l_orderkey")).join(parts, F.col("pk") == F.col("l_partkey")).select(
+        "l_orderkey", "l_linenumber", "ok", "pk", "pm", "source", "module"))
     calls = x.selectExpr(
         "concat_ws(':', l_orderkey, l_linenumber, pk) AS call", "source", "module", "element_at(array(NULL, concat('m_', pm), 'self', 'x', NULL, NULL, NULL), CAST(l_linenumber AS INT)) AS receiver",
         "element_at(array(concat('p', pk), concat('p', pk), concat('o', ok), 'run', substring_index(substring_index(source, '::', -1), '.', 1), 'f()', concat('q', pk)), CAST(l_linenumber AS INT)) AS name",
-        "element_at(array('simple', 'attribute', 'attribute', 'attribute', 'simple', 'other', 'simple'), CAST(l_linenumber AS INT)) AS form").distinct()
-    bind = lambda local, to, name: x.selectExpr("module", f"{local} AS local", f"{to} AS target_module", f"{name} AS target_name", "1 AS ord")
-    imports = bind("concat('p', pk)", "pm", "concat('p', pk)").union(bind("concat('m_', pm)", "pm", "CAST(NULL AS STRING)")).union(bind("concat('q', pk)", "pm", "concat('q', pk)")).distinct()
-    types = spark.createDataFrame([], "scope string, receiver string, type string")
+        "element_at(array('simple', 'attribute', 'attribute', 'attribute', 'simple', 'other', 'simple'), CAST(l_linenumber AS INT)) AS form")
+    bind = lambda local, name: f"named_struct('local', {local}, 'target_module', pm, 'target_name', {name}, 'ord', 1)"
+    # a row for each name that a module imports: the part, its module, the missing one
+    imports = x.select("module", "pm", "pk").distinct().selectExpr("module", f"""inline(array({bind("concat('p', pk)", "concat('p', pk)")}, {bind("concat('q', pk)", "concat('q', pk)")}))""").unionByName(
+        x.select("module", "pm").distinct().selectExpr("module", f"""inline(array({bind("concat('m_', pm)", "CAST(NULL AS STRING)")}))"""))
+    types = g.nations().selectExpr("module AS scope", "module AS receiver", "module AS type").where("false")
     return resolve.resolve_calls(calls, g.nodes(), imports, types).select("call", "source", "target", "resolution")
 
 

@@ -1,6 +1,6 @@
 """How often rows are dealt out anew, as plans have it."""
 
-from codeloom.operators import budget
+from codeloom.operators import budget, resolve
 
 
 def exchanges(df) -> int:
@@ -16,3 +16,17 @@ def test_context_meets_once_by_case(spark):
         empty("case string, ord long, direction string, rank long, qname string, file string, line int"), 100)
     assert exchanges(got["cases"]) <= 2
     assert exchanges(got["changed"]) <= 4
+
+
+def test_calls_are_looked_up_once(spark):
+    """What calls may mean is looked up in one exchange and decided in another; before, each channel had two of its own."""
+    calls = spark.createDataFrame([("1", "m::K.f", "m", None, "g", "simple"), ("2", "m::K.f", "m", "self", "h", "attribute"), ("2", "m::K.f", "m", "x", "h", "attribute"), ("3", "m::f", "m", None, "f()", "other")],
+                                  "call string, source string, module string, receiver string, name string, form string")
+    nodes = spark.createDataFrame([("m::K.h",), ("n::g",)], "qname string")
+    imports = spark.createDataFrame([("m", "g", "n", "gone", 1), ("m", "g", "n", "g", 2), ("m", "x", "n", None, 1)], "module string, local string, target_module string, target_name string, ord int")
+    types = spark.createDataFrame([("m::K.f", "x", "m::K"), ("m::K.f", "x", "n::L")], "scope string, receiver string, type string")
+    got = resolve.resolve_calls(calls, nodes, imports, types)
+    # two calls of one id are decided together, by the first channel of either
+    assert sorted((r["call"], r.target, r.resolution, r.channel) for r in got.collect()) == [
+        ("1", "n::g", "resolved", "import"), ("2", "m::K.h", "resolved", "type"), ("2", "m::K.h", "resolved", "type"), ("3", None, "unresolved", None)]
+    assert exchanges(got) <= 16
