@@ -75,10 +75,13 @@ def star_hits(asks: DataFrame, imports: DataFrame, symbols: DataFrame, listed: D
     listed(module, names) are the modules that state which names a star shows; others show all.
     """
     stars = imports.where("is_star").select("path", F.col("target_module").alias("module")).distinct()
-    hits = asks.select("call", "path", "name").join(stars, "path").join(symbols, ["module", "name"])
+    # a name is looked for once in a file, however many calls use it, and only if anything is called so
+    names = asks.select("path", "name").distinct().join(symbols.select("name").distinct(), "name", "left_semi")
+    hits = names.join(stars, "path").join(symbols, ["module", "name"])
     if listed is not None:
         hits = hits.join(listed, "module", "left").where("names IS NULL OR array_contains(names, name)")
-    return hits.select("call", F.col("qname").alias("target")).distinct()
+    hits = hits.select("path", "name", F.col("qname").alias("target")).distinct()
+    return asks.select("call", "path", "name").join(hits, ["path", "name"]).select("call", "target").distinct()
 
 
 def last_bindings(imports: DataFrame) -> DataFrame:

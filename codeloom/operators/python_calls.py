@@ -48,7 +48,9 @@ def reexports(asks: DataFrame, imports: DataFrame, known: DataFrame) -> DataFram
 def star_names(asks: DataFrame, imports: DataFrame, symbols: DataFrame, listed: DataFrame | None) -> DataFrame:
     """path, name, target: what asks(path, name) may be through star imports; listed(module, names) show their names alone."""
     stars = imports.where("is_star").select("path", F.col("target_module").alias("module")).distinct()
-    hits = asks.select("path", "name").distinct().join(stars, "path").join(symbols.select("module", "name", "qname"), ["module", "name"])
+    # only names that something has are asked of every star import
+    names = asks.select("path", "name").distinct().join(symbols.select("name").distinct(), "name", "left_semi")
+    hits = names.join(stars, "path").join(symbols.select("module", "name", "qname"), ["module", "name"])
     if listed is not None:
         hits = hits.join(listed.select("module", "names"), "module", "left").where("names IS NULL OR array_contains(names, name)")
     return hits.select("path", "name", F.col("qname").alias("target")).distinct()

@@ -1,6 +1,6 @@
 """How often rows are dealt out anew, as plans have it."""
 
-from codeloom.operators import budget, resolve
+from codeloom.operators import budget, index, resolve
 
 
 def exchanges(df) -> int:
@@ -30,3 +30,15 @@ def test_calls_are_looked_up_once(spark):
     assert sorted((r["call"], r.target, r.resolution, r.channel) for r in got.collect()) == [
         ("1", "n::g", "resolved", "import"), ("2", "m::K.h", "resolved", "type"), ("2", "m::K.h", "resolved", "type"), ("3", None, "unresolved", None)]
     assert exchanges(got) <= 16
+
+
+def test_names_are_asked_of_stars_once_a_file(spark):
+    """A name of many calls meets a file's star imports once; before, each call did."""
+    calls = spark.range(1000).selectExpr("CAST(id AS STRING) AS call", "'f' AS path", "'a' AS name")
+    imports = spark.range(50).selectExpr("'f' AS path", "concat('m', id) AS target_module", "true AS is_star")
+    symbols = spark.createDataFrame([("m1", "a", "m1::a"), ("m2", "b", "m2::b")], "module string, name string, qname string")
+    got = index.star_hits(calls, imports, symbols)
+    assert got.count() == 1000 and [r.target for r in got.select("target").distinct().collect()] == ["m1::a"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # the calls come in at the last join, above the one of names and star imports
+    assert plan.count("LeftSemi") == 1 and plan.index("Range (0, 1000") < plan.index("Range (0, 50")
