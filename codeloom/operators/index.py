@@ -218,7 +218,8 @@ def update(
     ids = every.select(F.col("qname").alias("parent"), F.col("id").alias("parent_id"))
     nodes = flows.saved(every.join(ids, "parent", "left"))
     # a name that came or went may change what any file that uses its last part refers to
-    moved = was.select("qname").exceptAll(nodes.select("qname")).union(nodes.select("qname").exceptAll(was.select("qname"))).select(short(F.col("qname")).alias("name"), "qname").distinct()
+    both = was.select("qname", F.lit(1).alias("n")).union(nodes.select("qname", F.lit(-1)))
+    moved = flows.saved(both.groupBy("qname").agg(F.sum("n").alias("n")).where("n <> 0").select(short(F.col("qname")).alias("name"), "qname"))
     uses = ir["calls"].select("path", "name").union(ir["bases"].select("path", F.substring_index("base", ".", -1))).union(
         ir["imports"].select("path", F.coalesce("target_name", "target_module")))
     asked = uses.join(moved.select("name").union(moved.select("qname")), "name", "left_semi").select("path")

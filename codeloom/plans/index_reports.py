@@ -81,8 +81,9 @@ UNION ALL SELECT *, 'contains', CASE WHEN source IN (SELECT qname FROM n2) THEN
 def index_update_edges(spark, d):
     """Contains and inherit edges after classes of some files vanished, brought up to date from the index as it was; the oracle builds them anew."""
     g = Graph(spark, d)
-    bases, imports = _bases(g)
-    n = g.nodes().select("*", F.col("file").alias("path"), module(F.col("qname")).alias("module")).drop("id")
+    # parsed tables are there as such, so what stands for them is made once
+    bases, imports = [flows.saved(x) for x in _bases(g)]
+    n = flows.saved(g.nodes().select("*", F.col("file").alias("path"), module(F.col("qname")).alias("module")).drop("id"))
     files = g.nations().where("nk % 3 = 0").selectExpr("file AS path")
     gone = g.customers().where("ck % 7 = 1").selectExpr("qname", "file AS path").join(F.broadcast(files), "path", "left_semi").select("qname")
     calls = spark.createDataFrame([], "path string, source string, module string, receiver string, name string, form string, line int")
